@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import encode, mixing, tokens
+from loomwright.llm import encode, language, mixing, pii, tokens
 from loomwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(table(spark, d, "text_rows"), table(spark, d, "lang_samples"))
+
+
+def p1_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.documents(table(spark, d, "text_rows"), language.fit(table(spark, d, "lang_samples"))).distinct()
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "text_rows"), language.fit(table(spark, d, "lang_samples")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return tokens.wrong_counts(table(spark, d, "text_rows"))
 
@@ -22,6 +34,14 @@ def p2_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.roll_up(tokens.apply_delta(None, tokens.cube_delta(None, state)))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(table(spark, d, "text_rows")).select("row_id", "kind", "start_char").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "text_rows"))
+
+
 def _budgets(spark: SparkSession, d: str, language: bool = True) -> tuple[DataFrame, DataFrame]:
     counted = mixing.record_tokens(table(spark, d, "text_rows"), language=language)
     return mixing.mix_budgets(table(spark, d, "data_plans"), counted, table(spark, d, "corpora")), counted
