@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwright.operators import drift
+from loomwright.runtime import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "raw_files"), drift.statistics_once(table(spark, d, "raw_rows")))
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_rows")
+    stats = drift.statistics_once(rows)
+    return drift.Projection(stats, drift.changes(table(spark, d, "raw_files"), stats)).table(rows)
+
+
+def queries() -> dict[str, Query]:
+    return {"p4_found": p4_found, "p4_table": p4_table}
 
 
 def oracle_sql() -> dict[str, str]:
