@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -50,17 +52,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or "file://" + os.path.join(tempfile.gettempdir(), "loomwright-shared")).rstrip("/")
+
+
+def _drop(path, conf) -> None:
+    try:
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone by then
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
+    """Cut the lineage: write a table to the cluster's shared folder and read it back.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests on one
-    machine) a folder of our own is set.
+    Computed once, complete when this returns, and readable after any executor is lost. Unlike
+    ``checkpoint()`` it doesn't compute the plan twice, and later joins know the table's size.
+    The table goes when the driver's process ends.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "loomwright-checkpoints"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/loomwright/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    jvm = spark.sparkContext._jvm
+    atexit.register(_drop, jvm.org.apache.hadoop.fs.Path(where), spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
