@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import encode, language, mixing, nearcopies, pii, tokens
+from loomwright.llm import encode, language, mainbody, mixing, nearcopies, pii, tokens
 from loomwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,14 @@ def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.NearCopies(table(spark, d, "text_rows")).documents()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.boilerplate(table(spark, d, "text_rows"))
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.bodies(table(spark, d, "text_rows")).distinct()
+
+
 def _budgets(spark: SparkSession, d: str, language: bool = True) -> tuple[DataFrame, DataFrame]:
     counted = mixing.record_tokens(table(spark, d, "text_rows"), language=language)
     return mixing.mix_budgets(table(spark, d, "data_plans"), counted, table(spark, d, "corpora")), counted
