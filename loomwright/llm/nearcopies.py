@@ -1,7 +1,7 @@
 """Near-duplicate texts by Golay-code fuzzy hashing, with exact verification.
 
 Every text becomes a fingerprint: one-permutation minhashes of its 5-character shingles, of
-which the lowest bit of most bins forms segments of 23 bits. Two texts of Jaccard similarity J
+which single bits form segments of 23 bits. Two texts of Jaccard similarity J
 differ in a bit with probability (1 - J) / 2. A segment is decoded to the nearest codewords of
 the binary (23, 12) Golay code, which gives several keys; two segments within a few errors of
 each other share one. By the pigeonhole principle errors can't spoil every segment, so each
@@ -13,8 +13,8 @@ shingle sets themselves.
 Texts are lower-cased, white space is collapsed and trimmed. Exact copies form classes first;
 only a class's smallest row id takes part in the search.
 
-Recall at similarity J is 1 - (1 - J^3 q)^10, q being the chance that two segments share one of 6
-codewords (0.73 at 0.75, 0.84 at 0.8, 0.91 at 0.85): 0.98 at 0.75, 0.996 at 0.8, 0.9998 at 0.85.
+Recall at similarity J is about 1 - (1 - J^3 q)^20, q being the chance that two segments share one
+of 2 codewords (0.31 at 0.75, 0.41 at 0.8, 0.50 at 0.85): 0.94 at 0.75, 0.99 at 0.8, 0.999 at 0.85.
 
 Defined results: null texts and texts under the least length take no part; a row id counts once;
 extra columns are ignored; an empty table gives an empty result.
@@ -37,8 +37,8 @@ LEAST_CHARS = 500
 #: Similarity from which two texts count, in hundredths.
 LEAST_SIMILARITY = 75
 
-BANDS, SEGMENT, ANCHORS, CODEWORDS = 10, 23, 3, 6
-BINS = BANDS * (SEGMENT + ANCHORS)
+BANDS, SEGMENT, ANCHORS, CODEWORDS = 20, 23, 3, 2
+BINS = 290
 #: Of 256 fingerprint bits, those in which candidates may differ: the expected 32 at 0.75 and 4 deviations.
 MOST_BITS = 54
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -118,22 +118,32 @@ def minhashes(texts: list[str]) -> np.ndarray:
     return _mix(out + np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """256 bits as four integers a text, and its BANDS x CODEWORDS keys."""
+@lru_cache(maxsize=1)
+def _places() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins and bit of every band's segment, and the bins of its anchors."""
+    order = np.random.default_rng(23).permuted(np.tile(np.arange(BINS), (BANDS, 1)), axis=1)
+    return order[:, :SEGMENT], np.arange(BANDS) % 8, order[:, SEGMENT : SEGMENT + ANCHORS]
+
+
+def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text: 256 bits as four integers, the segments of its bands, and the joined anchors of its bands."""
     m = minhashes(texts)
-    bits = (m & np.uint64(1)).astype(np.int64)
-    words = (bits[:, :256].reshape(-1, 4, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
-    segments = (bits[:, : BANDS * SEGMENT].reshape(-1, BANDS, SEGMENT) << np.arange(SEGMENT)).sum(axis=2)
-    anchors = m[:, BANDS * SEGMENT :].reshape(-1, BANDS, ANCHORS)
+    words = ((m[:, :256] & np.uint64(1)).reshape(-1, 4, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    bins, bit, anchors = _places()
+    segments = ((m[:, bins] >> bit[None, :, None].astype(np.uint64) & np.uint64(1)).astype(np.int64) << np.arange(SEGMENT)).sum(axis=2)
     joined = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
     for k in range(ANCHORS):
-        joined = _mix(joined ^ anchors[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-    keys = _mix(joined[:, :, None] ^ nearest_codewords(segments).astype(np.uint64))
-    return words, keys.reshape(len(texts), -1).view(np.int64)
+        joined = _mix(joined ^ m[:, anchors[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
+    return words, segments.astype(np.int32), joined.view(np.int64)
+
+
+def band_keys(segments: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Keys of each text: a band's anchors with each codeword near its segment."""
+    return _mix(joined.view(np.uint64)[:, :, None] ^ nearest_codewords(segments.astype(np.int64)).astype(np.uint64)).reshape(len(joined), -1).view(np.int64)
 
 
 def _prints(rows: DataFrame, least: int) -> DataFrame:
-    """(row_id, copy, bits, keys) of every row that takes part; copy is a 128-bit digest of the normal text."""
+    """(row_id, copy, bits, segments, anchors) of every row that takes part; copy is a 128-bit digest of the normal text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -146,15 +156,30 @@ def _prints(rows: DataFrame, least: int) -> DataFrame:
                 texts = [texts[i] for i in kept]
                 if not kept:
                     continue
-                bits, keys = fingerprints(texts)
+                bits, segments, anchors = fingerprints(texts)
                 digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(digests, pa.binary()), pa.array(list(bits), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["row_id", "copy", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(digests, pa.binary()), pa.array(list(bits), pa.list_(pa.int64())), pa.array(list(segments), pa.list_(pa.int32())), pa.array(list(anchors), pa.list_(pa.int64()))], names=["row_id", "copy", "bits", "segments", "anchors"])
 
     longs = F.array(F.lit(0).cast("bigint"))
-    schema = rows.select(F.col("row_id"), F.lit(b"").alias("copy"), longs.alias("bits"), longs.alias("keys")).schema
+    schema = rows.select(F.col("row_id"), F.lit(b"").alias("copy"), longs.alias("bits"), F.array(F.lit(0)).alias("segments"), longs.alias("anchors")).schema
     return map_arrow(spread(rows.select("row_id", "text")), run, schema)
 
 
+def _keys(classes: DataFrame) -> DataFrame:
+    """(key, class_id): the keys of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                segments = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+                keys = band_keys(segments, np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(np.int64))
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], names=["key", "class_id"])
+
+    schema = classes.select(F.lit(0).cast("bigint").alias("key"), "class_id").schema
+    return map_arrow(classes.select("class_id", "segments", "anchors"), run, schema)
+
+
 def _verified(pairs: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose shingle sets are similar enough, with the similarity."""
 
@@ -187,11 +212,11 @@ class NearCopies:
 
     def __init__(self, rows: DataFrame, least_chars: int = LEAST_CHARS, least_similarity: int = LEAST_SIMILARITY):
         prints = cut(_prints(rows, least_chars))
-        narrow = prints.groupBy("copy").agg(F.min("row_id").alias("class_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.count_distinct("row_id").alias("n"))
+        narrow = prints.groupBy("copy").agg(F.min("row_id").alias("class_id"), F.first("bits").alias("bits"), F.first("segments").alias("segments"), F.first("anchors").alias("anchors"), F.count_distinct("row_id").alias("n"))
         classes = cut(narrow)
         #: (class_id, row_id) of the rows that have exact copies.
         self.members = prints.select("copy", "row_id").join(classes.filter("n > 1").select("copy", "class_id"), "copy").select("class_id", "row_id").distinct()
-        keys = classes.select("class_id", F.explode("keys").alias("key"))
+        keys = _keys(classes)
         near = keys.withColumnRenamed("class_id", "a").join(keys.withColumnRenamed("class_id", "b"), "key").filter("a < b").select("a", "b").distinct()
         bits = classes.select("class_id", *[F.col("bits")[i].alias(f"w{i}") for i in range(4)])
         of = lambda side: bits.select(F.col("class_id").alias(side), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(4)])
