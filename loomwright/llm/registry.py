@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import encode, language, mainbody, mixing, nearcopies, pii, tokens
+from loomwright.llm import encode, language, leakage, mainbody, mixing, nearcopies, pii, tokens
 from loomwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_ids(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.filter("kind = 'exact'").select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).dropDuplicates(["doc_id", "item_id"])
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
