@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import encode, language, leakage, mainbody, mixing, nearcopies, pii, tokens
+from loomwright.llm import encode, language, leakage, mainbody, mixing, nearcopies, pii, sentences, tokens
 from loomwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).dropDuplicates(["doc_id", "item_id"])
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_rows(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
