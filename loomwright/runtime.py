@@ -18,7 +18,8 @@ _shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data directory."""
+    """One of the Parquet tables of a data directory; executors get this package before they need it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
