@@ -35,10 +35,10 @@ from loomwright.runtime import map_arrow, ship, spread, strings
 
 RUN_WORDS, RUN_LETTERS = 13, 26
 TERMS = 1 << 14
-RANK, OVERSAMPLE, ROUNDS = 128, 16, 2
+RANK, OVERSAMPLE, ROUNDS = 64, 16, 2
 FIT_PASSAGES = 20_000
 ITEM_WEIGHT = 4.0
-LEAST_COSINE = 0.3
+LEAST_COSINE = 0.45
 PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.75, 0.6
 BLOCK = 20_000
 SEED = 9
@@ -116,17 +116,18 @@ def item_passages(text: str | None, lang: str | None, memo: dict[str, int]) -> P
     if not text:
         return None
     if (lang or "").lower().startswith(("zh", "chinese", "zho")):
-        return Passages(normal(text), True, RUN_LETTERS, 4, memo)
-    return Passages(normal(text), False, RUN_WORDS, 3, memo)
+        return Passages(normal(text), True, RUN_LETTERS, 6, memo)
+    return Passages(normal(text), False, RUN_WORDS, 4, memo)
 
 
 def _vectors(p: Passages, table: np.ndarray) -> np.ndarray:
     """Sums of the terms' rows over every passage, by running sums."""
     if not len(p.terms):
         return np.zeros((len(p.starts), table.shape[1]), np.float32)
-    total = np.vstack([np.zeros((1, table.shape[1]), np.float64), np.cumsum(table[p.terms], axis=0, dtype=np.float64)])
+    total = np.zeros((len(p.terms) + 1, table.shape[1]), np.float32)
+    np.cumsum(table[p.terms], axis=0, out=total[1:])
     lo, hi = p.spans()
-    return (total[hi] - total[lo]).astype(np.float32)
+    return total[hi] - total[lo]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -270,8 +271,7 @@ class ItemIndex:
             cosine = _unit(_vectors(p, table)) @ vectors.T
             run = RUN_LETTERS if p.by_letters else RUN_WORDS
             grams = self.grams[p.by_letters]
-            hits = np.flatnonzero(cosine.max(axis=1) >= LEAST_COSINE)
-            for w in hits:
+            for w in np.flatnonzero(cosine.max(axis=1) >= LEAST_COSINE):
                 row = cosine[w]
                 near = np.flatnonzero(row >= LEAST_COSINE)
                 candidates = set(item_of[near].tolist())
