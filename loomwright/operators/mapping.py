@@ -160,10 +160,12 @@ def canonical(rows: DataFrame, text: Column, source: Column, fallback_source: Co
 
 def main_content(document: Column, condition: Mapping[str, object]) -> Column:
     """Conjunction of path equals scalar, compared as strings; an absent field is an error."""
-    out = F.lit(True)
+    # the check of presence comes first: a field that is absent is an error even after a mismatch
+    out, absent = F.lit(True), F.lit(None).cast("string")
     for path, wanted in condition.items():
         value = F.get(path_values(document, path), 0)
-        checked = F.when(value.isNull(), F.raise_error(F.lit(f"main_content: {path} is absent"))).otherwise(value)
+        absent = F.coalesce(absent, F.when(value.isNull(), F.lit(path)))
         text = json.dumps(wanted) if isinstance(wanted, bool) or wanted is None else str(wanted)
-        out = out & (checked == F.lit(text))
-    return out
+        out = out & (value == F.lit(text))
+    missing = F.raise_error(F.concat(F.lit("main_content: absent field "), absent)).cast("boolean")
+    return F.when(absent.isNotNull(), missing).otherwise(out)

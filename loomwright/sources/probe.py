@@ -20,7 +20,7 @@ SAMPLE = 65_536
 
 
 def files(spark: SparkSession, *roots: str, pattern: str | None = None) -> DataFrame:
-    """Regular files under the roots: path, length, content; a file once, in path order where written."""
+    """Regular files under the roots: path, length, content; a file once. The source leaves out files without a byte."""
     ship(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:

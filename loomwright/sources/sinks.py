@@ -101,11 +101,11 @@ def verified(objects: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def json_string(value: Column) -> Column:
-    """Canonical JSON string: only quotes, backslashes and control characters are escaped."""
+    """Canonical JSON string: only quotes, backslashes and control characters are escaped; null stays null."""
     quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     for code in (0x7F, 0x2028, 0x2029):
         quoted = F.replace(quoted, F.lit(f"\\u{code:04x}"), F.lit(chr(code)))
-    return F.replace(quoted, F.lit("\\/"), F.lit("/"))
+    return F.when(value.isNotNull(), F.replace(quoted, F.lit("\\/"), F.lit("/")))
 
 
 def jsonl_lines(rows: DataFrame) -> DataFrame:
