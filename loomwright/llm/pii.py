@@ -76,7 +76,7 @@ def _disguised(t: str) -> bool:
 class Normalised:
     """A normalised text and the way back to source positions."""
 
-    __slots__ = ("text", "_at", "_from", "_end")
+    __slots__ = ("text", "_at", "_from", "_made")
 
     def __init__(self, text: str):
         plain = text if text.isascii() or not _CHANGES.search(text) else text.translate(_PLAIN)
@@ -100,7 +100,7 @@ class Normalised:
         return out
 
     def _contract(self, plain: str, found: list[tuple[int, int, str]]) -> None:
-        parts, at, src, done, size = [], [0], [0], 0, 0
+        parts, at, src, made, done, size = [], [0], [0], [False], 0, 0
         for start, end, new in found:
             if start < done:
                 continue
@@ -109,12 +109,14 @@ class Normalised:
             if new:
                 at.append(size)
                 src.append(start)
+                made.append(True)
             size += len(new)
             at.append(size)
             src.append(end)
+            made.append(False)
             done = end
         parts.append(plain[done:])
-        self.text, self._at, self._from = "".join(parts), at, src
+        self.text, self._at, self._from, self._made = "".join(parts), at, src, made
 
     def source(self, position: int) -> int:
         if self._at is None:
@@ -123,7 +125,12 @@ class Normalised:
         return self._from[k] + position - self._at[k]
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return self.source(start), self.source(end - 1) + 1 if end > start else self.source(start)
+        """Source span of a normalised one; a disguise at its end belongs to it whole."""
+        if self._at is None:
+            return start, end
+        k = bisect_right(self._at, end - 1) - 1
+        last = self._from[k + 1] if self._made[k] else self._from[k] + end - self._at[k]
+        return self.source(start), last
 
 
 # ---- detectors --------------------------------------------------------------------------
