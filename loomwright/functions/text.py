@@ -52,9 +52,17 @@ def _bytes(items: Column) -> Column:
     return F.aggregate(items, F.lit(0), lambda a, x: a + F.octet_length(x))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value bound to a lambda's variable, so that it is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def repeated_structure(items: Column, text: Column) -> Column:
     """Whether too many elements, or too many of the text's bytes, repeat an earlier element."""
-    distinct = F.array_distinct(items)
+    return _once(items, lambda a: _once(F.array_distinct(a), lambda d: _repeats(a, d, text)))
+
+
+def _repeats(items: Column, distinct: Column, text: Column) -> Column:
     share = (F.size(items) - F.size(distinct)) / F.size(items)
     bytes_share = (_bytes(items) - _bytes(distinct)) / F.greatest(F.octet_length(text), F.lit(1))
     return F.when(F.size(items) >= LEAST_ELEMENTS, (share > MOST_REPEATED) | (bytes_share > MOST_REPEATED_BYTES)).otherwise(F.lit(False))
@@ -66,8 +74,12 @@ def boilerplate(text: Column) -> Column:
 
 def word_ngrams(items: Column, width: int) -> Column:
     """Runs of ``width`` words, joined; empty where there are fewer words."""
-    at = F.sequence(F.lit(1), F.size(items) - width + 1)
-    return F.when(F.size(items) >= width, F.transform(at, lambda i: F.array_join(F.slice(items, i, width), "\x1f"))).otherwise(F.array().cast("array<string>"))
+
+    def runs(a: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(a) - width + 1)
+        return F.when(F.size(a) >= width, F.transform(at, lambda i: F.array_join(F.slice(a, i, width), "\x1f"))).otherwise(F.array().cast("array<string>"))
+
+    return _once(items, runs)
 
 
 def _repeated_words(items: list[str], width: int) -> int:

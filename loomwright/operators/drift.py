@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.runtime import cut
+from loomwright.runtime import cut, spread
 
 #: Distinct field names that the projection accepts; more is an error, not a sample.
 MAX_NAMES = 5_000
@@ -46,7 +46,7 @@ def _type(value: Column) -> Column:
 
 def path_values(rows: DataFrame) -> DataFrame:
     """(file_id, line_no, path, value, type): the present values of every readable row."""
-    view = rows.select("file_id", "line_no", F.expr("try_parse_json(payload)").alias("doc"))
+    view = spread(rows.select("file_id", "line_no", "payload")).select("file_id", "line_no", F.expr("try_parse_json(payload)").alias("doc"))
     view = view.filter(F.schema_of_variant("doc").startswith("OBJECT"))
     spark = rows.sparkSession
     exploded = spark.sql("SELECT d.file_id, d.line_no, e.key AS path, e.value FROM {docs} d, LATERAL variant_explode(d.doc) e", docs=view)
@@ -59,7 +59,7 @@ def path_values(rows: DataFrame) -> DataFrame:
 
 
 def _share(text: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{kept}]", "")).cast("double")
+    return F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("double")
 
 
 def path_statistics(values: DataFrame) -> DataFrame:
@@ -121,23 +121,23 @@ def changes(files: DataFrame, stats: DataFrame) -> DataFrame:
     fields = [c for c in stats.columns if c != "file_id"]
     now = stats.join(pairs, "file_id").select("file_id", F.struct(*fields).alias("new"), F.col("path").alias("p"))
     then = pairs.join(stats.withColumnRenamed("file_id", "before"), "before").select("file_id", F.struct(*fields).alias("old"), F.col("path").alias("p"))
-    both = now.join(then, ["file_id", "p"], "full_outer")
-    retyped = both.filter("new IS NOT NULL AND old IS NOT NULL AND new.type <> old.type").select("file_id", F.lit("retyped").alias("change"), F.col("old.path").alias("old_field"), F.col("new.path").alias("new_field"))
-    single = both.filter("new IS NULL OR old IS NULL")
-    # one row a file: the fields that came and went; their number is bounded by two schemas
-    moved = single.groupBy("file_id").agg(F.collect_list(F.when(F.col("old").isNull(), F.col("new"))).alias("came"), F.collect_list(F.when(F.col("new").isNull(), F.col("old"))).alias("went"))
-    cand = moved.select("file_id", F.explode("came").alias("new"), "went").select("file_id", "new", F.explode("went").alias("old"))
+    # a row a file and changed field; read four times below, so it is written once
+    changed = "new IS NULL OR old IS NULL OR new.type <> old.type"
+    both = cut(now.join(then, ["file_id", "p"], "full_outer").filter(changed))
+    row = lambda df, change, old, new: df.select("file_id", F.lit(change).alias("change"), old.alias("old_field"), new.alias("new_field"))
+    retyped = row(both.filter("new IS NOT NULL AND old IS NOT NULL"), "retyped", F.col("p"), F.col("p"))
+    came, went = both.filter("old IS NULL").select("file_id", "new"), both.filter("new IS NULL").select("file_id", "old")
     told, score = _alike("old", "new")
-    top = (~F.col("new.path").startswith("meta.")) & (~F.col("old.path").startswith("meta.")) & (F.col("new.type") == F.col("old.type"))
-    cand = cand.filter(top & told).select("file_id", F.col("old.path").alias("old_field"), F.col("new.path").alias("new_field"), score.alias("score"))
+    top = ~F.col("new.path").startswith("meta.") & ~F.col("old.path").startswith("meta.") & (F.col("new.type") == F.col("old.type"))
+    # pairs within one file only: their number is bounded by two schemas
+    cand = came.join(went, "file_id").filter(top & told).select("file_id", F.col("old.path").alias("old_field"), F.col("new.path").alias("new_field"), score.alias("score"))
     best = lambda *k: Window.partitionBy("file_id", *k).orderBy(F.desc("score"), "old_field", "new_field")
-    renamed = cand.withColumn("a", F.row_number().over(best("old_field"))).withColumn("b", F.row_number().over(best("new_field"))).filter("a = 1 AND b = 1")
-    renamed = renamed.select("file_id", F.lit("renamed").alias("change"), "old_field", "new_field")
-    gone = renamed.select("file_id", "old_field", "new_field")
-    came = moved.select("file_id", F.explode("came").alias("x")).select("file_id", F.col("x.path").alias("new_field")).join(gone, ["file_id", "new_field"], "left_anti")
-    went = moved.select("file_id", F.explode("went").alias("x")).select("file_id", F.col("x.path").alias("old_field")).join(gone, ["file_id", "old_field"], "left_anti")
-    added = came.select("file_id", F.lit("added").alias("change"), F.lit("").alias("old_field"), "new_field")
-    removed = went.select("file_id", F.lit("removed").alias("change"), "old_field", F.lit("").alias("new_field"))
+    ranked = cand.withColumn("a", F.row_number().over(best("old_field"))).withColumn("b", F.row_number().over(best("new_field")))
+    pairs_found = cut(ranked.filter("a = 1 AND b = 1").select("file_id", "old_field", "new_field"))
+    renamed = row(pairs_found, "renamed", F.col("old_field"), F.col("new_field"))
+    new_left = came.select("file_id", F.col("new.path").alias("new_field")).join(pairs_found, ["file_id", "new_field"], "left_anti")
+    old_left = went.select("file_id", F.col("old.path").alias("old_field")).join(pairs_found, ["file_id", "old_field"], "left_anti")
+    added, removed = row(new_left, "added", F.lit(""), F.col("new_field")), row(old_left, "removed", F.col("old_field"), F.lit(""))
     return retyped.unionByName(renamed).unionByName(added).unionByName(removed)
 
 

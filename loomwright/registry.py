@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import dates, glob, hashing, privacy, text
 from loomwright.functions import license as licenses
 from loomwright.operators import audit, catalog, dedup, drift, filters, forecast, mapping, sampling, telemetry, training
-from loomwright.runtime import table
+from loomwright.runtime import spread, table
 from loomwright.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return dedup.identified(rows.withColumn("license", licenses.effective(F.col("license"), DEFAULT_LICENSE)))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that have a text, spread where the scan has fewer splits than the cluster has cores."""
+    return spread(table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text"))
+
+
 def first_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Rows of text_rows, each row id as it arrived first."""
     rows = table(spark, d, "text_rows").select("row_id", "ingested_at", *columns)
@@ -162,18 +167,18 @@ def email_flag(spark, d):
 
 
 def email_redaction_counts(spark, d):
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(text.EMAIL)).alias("n")).filter("n > 0")
+    return texts(spark, d).select("doc_id", F.regexp_count("text", F.lit(text.EMAIL)).alias("n")).filter("n > 0")
 
 
 def phone_candidates(spark, d):
     found = F.regexp_extract_all("text", F.lit(privacy.PHONE_CANDIDATE.pattern), F.lit(0))
     digits = lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))
     good = lambda x: (digits(x) <= 15) & ((digits(x) >= 10) | ((digits(x) >= 7) & x.rlike(r"^\+|[()]")))
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(F.filter(found, good)).alias("n")).filter("n > 0")
+    return texts(spark, d).select("doc_id", F.size(F.filter(found, good)).alias("n")).filter("n > 0")
 
 
 def privacy_redaction_full(spark, d):
-    out = table(spark, d, "documents").select("doc_id", privacy.redacted(F.col("text")).alias("r"))
+    out = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", privacy.redacted(F.col("text")).alias("r"))
     return out.select("doc_id", "r.*")
 
 
@@ -183,21 +188,21 @@ def metadata_redaction(spark, d):
 
 
 def boilerplate_lines(spark, d):
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.boilerplate(F.col("text")).alias("boilerplate_content"))
+    return texts(spark, d).select("doc_id", text.boilerplate(F.col("text")).alias("boilerplate_content"))
 
 
 def word_counts(spark, d):
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(text.words(F.col("text"))).alias("words"))
+    return texts(spark, d).select("doc_id", F.size(text.words(F.col("text"))).alias("words"))
 
 
 def top_trigram_fraction(spark, d):
-    words = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.words(F.col("text")).alias("w"))
+    words = texts(spark, d).select("doc_id", text.words(F.col("text")).alias("w"))
     grams = words.select("doc_id", F.size("w").alias("n"), F.explode(text.word_ngrams(F.col("w"), 3)).alias("g")).groupBy("doc_id", "n", "g").agg(F.count(F.lit(1)).alias("c"))
     return grams.groupBy("doc_id", "n").agg(F.max("c").alias("top")).select("doc_id", F.round(F.col("top") * 3 / F.col("n"), 6).alias("fraction"))
 
 
 def repetition_8gram(spark, d):
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.repetitive(F.col("text")).alias("repetitive_content"))
+    return texts(spark, d).select("doc_id", text.repetitive(F.col("text")).alias("repetitive_content"))
 
 
 # ---- sizes, samples and order -----------------------------------------------------------------------
@@ -470,7 +475,7 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.Projection(stats, drift.changes(table(spark, d, "raw_files"), stats)).table(rows)
 
 
-_HELPERS = {"documents", "first_rows", "shards_once", "table", "queries", "oracle_sql"}
+_HELPERS = {"documents", "first_rows", "shards_once", "texts", "table", "queries", "oracle_sql"}
 
 
 def queries() -> dict[str, Query]:
