@@ -149,3 +149,17 @@ def append_telemetry(rows: DataFrame, path: str) -> None:
 
 def read_telemetry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def worker_lines(begin: dict, records: DataFrame, order: list[str], evaluation: DataFrame | None = None, schema: int = 1) -> Iterator[str]:
+    """Frames of a worker's input: begin, evaluation records, records, end; rows stream partition by partition."""
+
+    def frame(kind: str, **more) -> str:
+        return json.dumps({"kind": kind, "schema": schema, **more}, ensure_ascii=False, separators=(",", ":"), default=str)
+
+    yield frame("begin", begin=begin)
+    for kind, rows in (("evaluation_record", evaluation), ("record", records)):
+        if rows is not None:
+            for r in rows.orderBy(*order).toLocalIterator(prefetchPartitions=True):
+                yield frame(kind, record=r.asDict(recursive=True))
+    yield frame("end")
