@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.runtime import running_before
+
 KEY = ["content_sha256", "license"]
 
 
@@ -33,9 +35,9 @@ def groups(rows: DataFrame, id_column: str) -> DataFrame:
     return rows.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("first_id")).filter("copies > 1")
 
 
-def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Position of each row among its copies (1 is the survivor)."""
-    return rows.withColumn("copy_no", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """Position of each row among its copies (1 is the survivor); a hot group of copies is many tasks."""
+    return running_before(rows, list(order), F.lit(1), "copy_no", KEY).withColumn("copy_no", (F.col("copy_no") + 1).cast("int"))
 
 
 def totals(rows: DataFrame) -> DataFrame:

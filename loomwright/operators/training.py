@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import hashing
+from loomwright.runtime import running_before
 
 #: Ids of the byte codec.
 PAD, BOS, EOS, OFFSET, VOCABULARY = 0, 1, 2, 3, 259
@@ -45,8 +46,7 @@ def interleaved(rows: DataFrame, weights: DataFrame, order: list[str], corpus: s
     is the greedy merge. Keys are compared exactly, as decimals of cross products over the common
     multiple of the weights.
     """
-    before = F.coalesce(F.sum(F.col(length) + 1).over(Window.partitionBy(corpus).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weighed = rows.join(weights, corpus).withColumn("emitted", before)
+    weighed = running_before(rows.join(weights, corpus), order, F.col(length) + 1, "emitted", [corpus])
     # the product of all weights, divided by the own one, makes the quotients integers
     scale = weights.agg(F.aggregate(F.collect_list(F.col("weight").cast("decimal(19,0)")), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)")).alias("scale"))
     exact = (F.col("emitted").cast("decimal(19,0)") * (F.col("scale") / F.col("weight")).cast("decimal(19,0)")).alias("merge_key")
@@ -54,14 +54,13 @@ def interleaved(rows: DataFrame, weights: DataFrame, order: list[str], corpus: s
 
 
 def weighted_rank(merged: DataFrame, order: list[str], corpus: str = "corpus") -> DataFrame:
-    """Position of every record in the merge, in one global order."""
-    return merged.withColumn("position", F.row_number().over(Window.orderBy("merge_key", corpus, *order)))
+    """Position of every record in the merge, in one global order, from 1."""
+    return running_before(merged, ["merge_key", corpus, *order], F.lit(1), "position").withColumn("position", F.col("position") + 1)
 
 
 def token_offsets(rows: DataFrame, order: list[str], length: str = "tokens", group: str | None = None) -> DataFrame:
     """Start of every record in the continuous stream of records and their ends."""
-    span = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.col(length) + 1).over(span), F.lit(0)))
+    return running_before(rows, order, F.col(length) + 1, "offset", [group] if group else [])
 
 
 def packed_sequences(total_tokens: Column, length: int) -> Column:

@@ -10,7 +10,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Contexts that already hold the package archive.
@@ -81,6 +82,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def running_before(df: DataFrame, order: list[str], value: Column, out: str, by: list[str] = ()) -> DataFrame:
+    """Sum of ``value`` over the rows before each one, within ``by``, in ``order``; no task sorts a whole group.
+
+    Rows are range-partitioned by (by, order), so that a hot group is many partitions; partitions
+    are summed, the sums are accumulated over the few partitions, and rows are ordered within
+    their partition only. Rows with equal keys share a partition.
+    """
+    by = list(by)
+    placed = cut(df.withColumn("__value", value).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part", *by).agg(F.sum("__value").alias("__sum"))
+    over_parts = F.sum("__sum").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("__part", *[F.col(k).alias(f"__by_{k}") for k in by], F.coalesce(over_parts, F.lit(0)).alias("__start"))
+    same = F.col("p.__part") == F.col("s.__part")
+    for k in by:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"s.__by_{k}"))
+    inner = F.sum("__value").over(Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = placed.withColumn("__inner", F.coalesce(inner, F.lit(0)))
+    total = (F.col("p.__inner") + F.col("s.__start")).alias(out)
+    return ranked.alias("p").join(starts.alias("s"), same).select(*[F.col(f"p.{c}") for c in df.columns], total)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
     """Python strings of an Arrow column; bytes that aren't UTF-8 become replacement characters."""
     try:
