@@ -13,7 +13,7 @@ bincount and one sort rank a block of segments.
 
 Defined results: null, empty and letterless texts have no language and score 0; repeated row
 ids are reported once; extra columns are ignored. Profiles are fitted on at most
-``MAX_SAMPLES`` labelled rows.
+``MAX_SAMPLES`` labelled rows; without any, nothing has a language.
 """
 
 from __future__ import annotations
@@ -258,6 +258,9 @@ class Judged:
     def __init__(self, profiles: Profiles, texts: list[str | None]):
         b = self.segments = Segments(texts)
         docs = len(texts)
+        if not profiles.languages:
+            self._unjudged(docs)
+            return
         distance, distinct = profiles.distances(b)
         mass = distance * distinct[:, None]
         total = np.zeros((docs, len(profiles.languages)))
@@ -287,6 +290,14 @@ class Judged:
         self.segment_score = np.where(self.segment_language >= 0, np.clip(np.round(1000 * np.minimum(1, 2.5 * held)), 0, 1000), 0).astype(np.int32)
 
 
+    def _unjudged(self, docs: int) -> None:
+        """Without profiles nothing has a language."""
+        self.codes, self.letters = [], np.zeros((docs, 0), np.int64)
+        self.sum, self.counts = np.bincount(self.segments.doc_of, weights=self.segments.letters, minlength=docs).astype(np.int64), np.zeros((docs, 0), bool)
+        self.main, self.score = np.full(docs, -1), np.zeros(docs, np.int32)
+        self.segment_language, self.segment_score = np.full(self.segments.n, -1), np.zeros(self.segments.n, np.int32)
+
+
 def fit(samples: DataFrame, label: str = "language", text: str = "text", order: str = "sample_id") -> Profiles:
     """Profiles of at most ``MAX_SAMPLES`` labelled rows."""
     rows = samples.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).orderBy(order, text).limit(MAX_SAMPLES).select(label, text).collect()

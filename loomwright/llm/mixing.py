@@ -120,20 +120,20 @@ def mix_shares(budgets: DataFrame) -> DataFrame:
     return by.select("plan_id", "source", (F.col("weight") / F.col("weight_sum").cast("double")).alias("asked_share"), "actual_share", F.col("budget").alias("budget_tokens"), "available_tokens", F.when(F.col("requested_tokens") > 0, gives.cast("double")).alias("reachable_share"), F.coalesce(exact, F.lit(False)).alias("short"))
 
 
-def mix_selection(budgets: DataFrame, tokens: DataFrame, seed: int = SEED, buckets: int = 64) -> DataFrame:
+def mix_selection(budgets: DataFrame, tokens: DataFrame, seed: int = SEED) -> DataFrame:
     """The records of each leaf: (plan_id, source, row_id, repeats), repeats being the epochs that hold it.
 
     Whole epochs need no order: every record of the leaf is taken floor(budget / tokens) times.
     Only the last, partial epoch is a token prefix of a seeded permutation. The prefix is found
-    in two steps, so that no task orders a whole leaf: hash buckets are summed and ranked, and
-    records are ordered within their bucket alone.
+    in two steps, so that no task orders a whole leaf: 4,096 hash buckets are summed and ranked,
+    and records are ordered within their bucket alone.
     """
     leaf = ["plan_id", "domain", "language", "source"]
     wanted = budgets.filter("budget > 0").select(*leaf, "budget", "available_tokens")
     wanted = wanted.withColumn("epochs", F.floor(F.col("budget") / F.col("available_tokens"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available_tokens"))
     scored = wanted.join(tokens, ["source", "language"]).filter("n_tokens > 0")
     order = F.xxhash64(F.lit(seed), "plan_id", F.col("epochs"), "row_id")
-    scored = scored.withColumn("score", order).withColumn("bucket", F.shiftrightunsigned(F.col("score").bitwiseXOR(F.lit(-(2**63))), 58))
+    scored = scored.withColumn("score", order).withColumn("bucket", F.shiftrightunsigned(F.col("score").bitwiseXOR(F.lit(-(2**63))), 52))
     sums = scored.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.withColumn("before", before).drop("s")

@@ -16,7 +16,7 @@ only a class's smallest row id takes part in the search.
 Recall at similarity J is about 1 - (1 - J^3 q)^20, q being the chance that two segments share one
 of 2 codewords (0.31 at 0.75, 0.41 at 0.8, 0.50 at 0.85): 0.94 at 0.75, 0.99 at 0.8, 0.999 at 0.85.
 
-Defined results: null texts and texts under the least length take no part; a row id counts once;
+Defined results: null texts, texts under the least length and rows without an id take no part; a row id counts once;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -162,7 +162,7 @@ def _prints(rows: DataFrame, least: int) -> DataFrame:
 
     longs = F.array(F.lit(0).cast("bigint"))
     schema = rows.select(F.col("row_id"), F.lit(b"").alias("copy"), longs.alias("bits"), F.array(F.lit(0)).alias("segments"), longs.alias("anchors")).schema
-    return map_arrow(spread(rows.select("row_id", "text")), run, schema)
+    return map_arrow(spread(rows.filter("row_id IS NOT NULL").select("row_id", "text")), run, schema)
 
 
 def _keys(classes: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def test_near_copies_against_brute_force(spark):
 
 
 def test_near_copies_of_nothing(spark):
-    df = spark.createDataFrame([(1, None)], "row_id bigint, text string")
+    df = spark.createDataFrame([(1, None), (None, "x" * 600), (None, "x" * 600)], "row_id bigint, text string")
     assert nearcopies.NearCopies(df).links().count() == 0
 
 

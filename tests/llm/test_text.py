@@ -186,6 +186,7 @@ def test_language_tables(spark):
     spans = [r for r in language.segments(rows, language.fit(samples)).collect() if r.row_id == 4]
     assert {r.language for r in spans} == {"en", "de"} and max(r.end_char for r in spans) == len(en) + 1 + len(de)
     assert language.wrong_labels(rows.limit(0), samples).count() == 0
+    assert language.wrong_labels(rows, samples.limit(0)).count() == 0 and language.segments(rows, language.fit(samples.limit(0))).count() == 0
 
 
 # ---- tokens and encoding -----------------------------------------------------------------------------
