@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.runtime import map_arrow, ship, spread, strings
+from loomwright.runtime import cut, map_arrow, ship, spread, strings
 
 RUN_WORDS, RUN_LETTERS = 13, 26
 TERMS = 1 << 14
@@ -62,15 +62,18 @@ def letters(text: str) -> str:
     return "".join(_WORD.findall(text))
 
 
-def _bucket(term: str, memo: dict[str, int]) -> int:
-    b = memo.get(term)
-    if b is None:
+def _buckets(terms: list[str], memo: dict[str, int]) -> np.ndarray:
+    """Hash buckets of terms; a task remembers those it has met."""
+    out = list(map(memo.get, terms))
+    if None in out:
         import xxhash
 
         if len(memo) > 400_000:
             memo.clear()
-        b = memo[term] = xxhash.xxh32_intdigest(term) & (TERMS - 1)
-    return b
+        for i, b in enumerate(out):
+            if b is None:
+                out[i] = memo[terms[i]] = xxhash.xxh32_intdigest(terms[i]) & (TERMS - 1)
+    return np.array(out, np.int64)
 
 
 class Passages:
@@ -86,12 +89,12 @@ class Passages:
             for m in _PIECE.finditer(self.stream):
                 p = m.group()
                 at.append(m.start())
-                terms.append(_bucket(p if len(p) > 1 or previous is None else previous + p, memo))
+                terms.append(p if len(p) > 1 or previous is None else previous + p)
                 previous = p if len(p) == 1 else None
-            self.at, self.terms = np.array(at, np.int64), np.array(terms, np.int64)
+            self.at, self.terms = np.array(at, np.int64), _buckets(terms, memo)
         else:
             self.stream = words(text)
-            self.terms = np.array([_bucket(w, memo) for w in self.stream], np.int64)
+            self.terms = _buckets(self.stream, memo)
             self.at = np.arange(len(self.stream))
         n = len(self.stream)
         starts = np.arange(0, max(1, n - size + stride), stride) if n else np.zeros(0, np.int64)
@@ -209,14 +212,13 @@ def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, rank
     few = documents.select("text").filter(F.length("text") > 0).orderBy(F.xxhash64("text", F.lit(SEED))).limit(FIT_PASSAGES // 10)
     corpus = map_arrow(few, cut_up, schema).limit(FIT_PASSAGES)
     sample = corpus.unionByName(spark.createDataFrame(held, schema)) if held else corpus
-    sample = sample.repartition(8).persist()
+    sample = cut(sample.repartition(8))
     rng = np.random.default_rng(SEED)
     basis = np.linalg.qr(rng.standard_normal((TERMS, rank + OVERSAMPLE)))[0].astype(np.float32)
     for _ in range(ROUNDS):
         basis = np.linalg.qr(_gram(sample, basis, idf))[0].astype(np.float32)
     small = basis.T @ _gram(sample, basis, idf)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    sample.unpersist()
     return (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
@@ -259,7 +261,7 @@ class ItemIndex:
                 self.grams[kind].setdefault(gram, set()).add(item)
         for kind, held in grouped.items():
             if held:
-                self.kinds[kind] = (_unit(np.vstack([v for _, v, _, _ in held])), np.concatenate([[i] * len(v) for i, v, _, _ in held]), np.concatenate([s for _, _, s, _ in held]), np.concatenate([e for _, _, _, e in held]))
+                self.kinds[kind] = (np.ascontiguousarray(_unit(np.vstack([v for _, v, _, _ in held])).T), np.concatenate([[i] * len(v) for i, v, _, _ in held]), np.concatenate([s for _, _, s, _ in held]), np.concatenate([e for _, _, _, e in held]))
 
     def leaks(self, text: str | None, table: np.ndarray, memo: dict[str, int]) -> dict:
         """item -> (kind, cosine, share of the item passage in common, share of its rare terms)."""
@@ -268,7 +270,7 @@ class ItemIndex:
             if p.by_letters not in self.kinds or not len(p.terms):
                 continue
             vectors, item_of, first, last = self.kinds[p.by_letters]
-            cosine = _unit(_vectors(p, table)) @ vectors.T
+            cosine = _unit(_vectors(p, table)) @ vectors
             run = RUN_LETTERS if p.by_letters else RUN_WORDS
             grams = self.grams[p.by_letters]
             for w in np.flatnonzero(cosine.max(axis=1) >= LEAST_COSINE):
