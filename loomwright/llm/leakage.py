@@ -119,8 +119,8 @@ def item_passages(text: str | None, lang: str | None, memo: dict[str, int]) -> P
     if not text:
         return None
     if (lang or "").lower().startswith(("zh", "chinese", "zho")):
-        return Passages(normal(text), True, RUN_LETTERS, 6, memo)
-    return Passages(normal(text), False, RUN_WORDS, 4, memo)
+        return Passages(normal(text), True, RUN_LETTERS, 8, memo)
+    return Passages(normal(text), False, RUN_WORDS, 6, memo)
 
 
 def _vectors(p: Passages, table: np.ndarray) -> np.ndarray:
