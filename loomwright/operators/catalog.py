@@ -73,8 +73,8 @@ def longest_prefix(paths: DataFrame, selections: DataFrame, path: str = "path",
 
 def map_sums(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     """Key-wise sums of a map column, as a map with sorted keys."""
-    flat = rows.select(*by, F.explode(column).alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
-    return flat.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+    flat = rows.select(*by, F.explode(column).alias("__key", "__value")).groupBy(*by, "__key").agg(F.sum("__value").alias("__value"))
+    return flat.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__key", "__value")))).alias(column))
 
 
 def reconcile(declared: DataFrame, computed: DataFrame, key: str, measures: list[str]) -> DataFrame:
