@@ -200,6 +200,26 @@ _CLOSING = re.compile(
     rf"[ \t]*({_TURNED}|{_STRAIGHT})[ \t]*$"
 )
 
+#: Names in scripts without Latin letters, by a title before them or by a phrase in their script. Matras are no word characters to ``re``.
+_HINDI = r"[\u0900-\u0963\u0966-\u097f]+"
+_HINDI_CASE = r"(?:ने|को|से|का|की|के|में|पर|और|द्वारा)(?![\u0900-\u0963\u0966-\u097f])"
+_HINDI_NAME = rf"{_HINDI}(?:(?: (?!{_HINDI_CASE}){_HINDI}){{1,2}}(?=,| {_HINDI_CASE}))?"
+_CYRILLIC_INITIAL, _CYRILLIC_TOKEN = r"[А-ЯЁ]\.", r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
+_CYRILLIC_NAME = rf"(?:{_CYRILLIC_INITIAL} ?)*{_CYRILLIC_TOKEN}(?: (?:{_CYRILLIC_INITIAL} ?)*{_CYRILLIC_TOKEN}){{0,2}}(?: ?{_CYRILLIC_INITIAL})*"
+_HAN = r"[\u3041-\u3096\u30a1-\u30fa\u30fc\u3005\u4e00-\u9fff]"
+_HAN_NAME = rf"{_HAN}{{2,5}}?(?:[ \u3000・·]{_HAN}{{1,6}}?)?(?=様|さん|氏|先生|女士|[\s。、,;)」]|$)"
+_THAI_NAME = r"[\u0e01-\u0e4e]+(?: [\u0e01-\u0e4e]+)?(?=[\s,;.]|$)"
+_NATIVE = [
+    (("डॉ", "प्रो", "श्री", "कुमारी"), re.compile(rf"(?<![\u0900-\u097f])(?:डॉ\.|डॉक्टर|प्रो\.|श्री|श्रीमती|सुश्री|कुमारी) ({_HINDI_NAME})")),
+    (("г-", "д-р", "Д-р", "осп", "окт", "роф", "По сл", "Контакт", "Подпись"), re.compile(rf"(?<!\w)(?:[Гг]-(?:н|на|ну|жа|жи|же|жу)|[Гг]осподин[ау]?|[Гг]оспож[аиеу]|[Дд]-р|[Дд]октор[ау]?|[Пп]рофессор[ау]?|[Пп]роф\.|По словам|Контакт ?:|Подпись ?:) ?(?<=[ .:])({_CYRILLIC_NAME})(?!\w)")),
+    (("联系人", "担当"), re.compile(rf"(?:联系人|担当者?) ?[:：] ?({_HAN_NAME})")),
+    (("ดร.", "นาย ", "นาง ", "นางสาว ", "คุณ "), re.compile(rf"(?<![\u0e01-\u0e4e])(?:ดร\. ?|(?:นาย|นางสาว|นาง|คุณ) )({_THAI_NAME})")),
+    (("С уважением", "此致", "敬具", "सादर", "ด้วยความเคารพ"), re.compile(
+        rf"(?m)^[ \t]*(?:С уважением[,;:]?[ \t]*\n+[ \t]*(?P<ru>{_CYRILLIC_NAME})|(?:此致|敬具)[,;:]?[ \t]*\n+[ \t]*(?P<han>{_HAN}{{2,5}}(?:[ \u3000・·]{_HAN}{{1,6}})?)"
+        rf"|सादर[,;:]?[ \t]*\n+[ \t]*(?P<hi>{_HINDI}(?: {_HINDI}){{0,3}})|ด้วยความเคารพ[,;:]?[ \t]*\n+[ \t]*(?P<th>[\u0e01-\u0e4e]+(?: [\u0e01-\u0e4e]+){{0,2}}))[ \t]*$"
+    )),
+]
+
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
     if "@" in t:
@@ -265,6 +285,11 @@ def _names(t: str) -> Iterator[tuple[int, int]]:
     if "\n" in t:
         for m in _CLOSING.finditer(t):
             yield m.span(1)
+    if not t.isascii():
+        for hints, form in _NATIVE:
+            if any(h in t for h in hints):
+                for m in form.finditer(t):
+                    yield m.span(m.lastindex)
 
 
 def find_items(text: str | None) -> list[tuple[str, int, int]]:
