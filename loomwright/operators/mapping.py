@@ -76,6 +76,13 @@ def encode_conversation(messages: Column, tools: Column | None = None) -> Column
     return escaped(body)
 
 
+def conversation_text(payload: Column) -> Column:
+    """Contents and contexts of an encoded conversation, joined by line feeds."""
+    messages = F.from_json(payload, "messages array<struct<content: string, context: string>>")["messages"]
+    parts = F.flatten(F.transform(messages, lambda m: F.when(F.coalesce(m["context"], F.lit("")) == "", F.array(m["content"])).otherwise(F.array(m["content"], m["context"]))))
+    return F.array_join(parts, "\n")
+
+
 def valid_conversation(messages: Column) -> Column:
     """At least one user and one assistant message, and no message without content."""
     has = lambda role: F.exists(messages, lambda m: m["role"] == role)

@@ -116,7 +116,7 @@ def scanned(spark: SparkSession, one: Input, number: int) -> DataFrame:
     reason = F.when(F.col("broken"), "malformed").when(F.coalesce(F.trim(F.regexp_replace("text", r"\s", " ")), F.lit("")) == "", "empty")
     if one.profile is not None and one.profile.license_policy:
         reason = reason.when(~glob.matches(F.col("license"), list(one.profile.license_policy)), "license-policy")
-    return rows.withColumn("reject_reason", reason).select(F.lit(number).alias("input_no"), "path", "position", "source", "text", "license", "license_raw", "language", "date", "meta", "main_content", "reject_reason")
+    return rows.withColumn("reject_reason", reason).select(F.lit(number).alias("input_no"), "path", "position", "source", "text", "license", "license_raw", "language", "date", "meta", "main_content", F.lit(one.profile is not None and one.profile.kind != "record-map" and one.format in ("json", "jsonl", "parquet")).alias("conversation"), "reject_reason")
 
 
 def scan_plan(spark: SparkSession, plan: Plan) -> DataFrame:
@@ -126,7 +126,7 @@ def scan_plan(spark: SparkSession, plan: Plan) -> DataFrame:
 
 def redacted(rows: DataFrame) -> DataFrame:
     """Texts, sources and metadata without direct identifiers, and the replacements counted together."""
-    with_structs = rows.withColumns({"r": privacy.redacted(F.col("text")), "s": privacy.redacted(F.col("source")), "m": privacy.redacted_json(F.col("meta"))})
+    with_structs = rows.withColumns({"r": privacy.redacted_payload(F.col("text"), F.col("conversation")), "s": privacy.redacted(F.col("source")), "m": privacy.redacted_json(F.col("meta"))})
     count = lambda c: F.col(f"r.{c}") + F.col(f"s.{c}") + F.col(f"m.{c}")
     return with_structs.withColumns({
         "text": F.col("r.text"), "source": F.col("s.text"), "meta": F.col("m.text"), "redacted_email_addresses": count("email_addresses"), "redacted_ip_addresses": count("ip_addresses"),
@@ -140,8 +140,9 @@ def ingested(scan: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     kept = dedup.survivors(rows, "input_no", "path", "position")
     if seed is not None:
         kept = dedup.without_seed(kept, seed)
-    assessed = kept.withColumns({
-        "email_addresses": text.has_email(F.col("text")), "boilerplate_content": text.boilerplate(F.col("text")), "repetitive_content": text.repetitive(F.col("text")),
+    said = kept.withColumn("said", F.when(F.col("conversation"), mapping.conversation_text(F.col("text"))).otherwise(F.col("text")))
+    assessed = said.withColumns({
+        "email_addresses": text.has_email(F.col("said")), "boilerplate_content": text.boilerplate(F.col("said")), "repetitive_content": text.repetitive(F.col("said")),
         "token_count": F.octet_length("text").cast("bigint"), "source_name": F.lit(None).cast("string"), "language_score": F.lit(None).cast("int"),
     })
     return canonical_view(assessed)
