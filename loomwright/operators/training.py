@@ -11,6 +11,8 @@ from loomwright.runtime import running_before
 
 #: Ids of the byte codec.
 PAD, BOS, EOS, OFFSET, VOCABULARY = 0, 1, 2, 3, 259
+#: Largest weight of a corpus in an interleave; its square has to fit a long.
+MOST_WEIGHT = 1_000_000_000
 
 
 def epochs(rows: DataFrame, n: int) -> DataFrame:
@@ -43,14 +45,15 @@ def interleaved(rows: DataFrame, weights: DataFrame, order: list[str], corpus: s
     """Weighted merge of corpora: always the corpus that emitted the least for its weight, ties by name.
 
     A corpus's key, tokens emitted before the record over the weight, only grows, so sorting by it
-    is the greedy merge. Keys are compared exactly, as decimals of cross products over the common
-    multiple of the weights.
+    is the greedy merge. Keys are compared exactly: two fractions under MOST_WEIGHT differ by more
+    than one part of its square, so whole quotient and fraction in such parts order them as they are.
     """
-    weighed = running_before(rows.join(weights, corpus), order, F.col(length) + 1, "emitted", [corpus])
-    # the product of all weights, divided by the own one, makes the quotients integers
-    scale = weights.agg(F.aggregate(F.collect_list(F.col("weight").cast("decimal(19,0)")), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)")).alias("scale"))
-    exact = (F.col("emitted").cast("decimal(19,0)") * (F.col("scale") / F.col("weight")).cast("decimal(19,0)")).alias("merge_key")
-    return weighed.crossJoin(F.broadcast(scale)).select(*weighed.columns, exact)
+    weight, emitted, parts = F.col("weight"), F.col("emitted"), F.lit(MOST_WEIGHT**2).cast("decimal(19,0)")
+    valid = F.when(F.coalesce(weight.between(1, MOST_WEIGHT), F.lit(False)), weight.cast("bigint")).otherwise(F.raise_error(F.lit(f"weights lie between 1 and {MOST_WEIGHT}")).cast("bigint"))
+    weighed = running_before(rows.join(weights.withColumn("weight", valid), corpus), order, F.col(length) + 1, "emitted", [corpus])
+    whole = F.call_function("div", emitted, weight).cast("decimal(19,0)") * parts
+    fraction = F.call_function("div", (emitted % weight).cast("decimal(10,0)") * parts, weight.cast("decimal(10,0)"))
+    return weighed.withColumn("merge_key", (whole + fraction).cast("decimal(38,0)"))
 
 
 def weighted_rank(merged: DataFrame, order: list[str], corpus: str = "corpus") -> DataFrame:

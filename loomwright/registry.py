@@ -261,8 +261,12 @@ def calibration_budget_sample(spark, d):
 
 
 def weighted_interleave_order(spark, d):
-    rows = first_rows(spark, d, "source", "token_count").filter("token_count > 0").select("row_id", F.col("source").alias("corpus"), F.col("token_count").alias("tokens"))
-    weights = table(spark, d, "corpora").filter("corpus IN ('web/openpages', 'mail/devlists', 'books/almanacs')").select("corpus", F.length("corpus").cast("bigint").alias("weight"))
+    """All rows that have a source, in the merge of all corpora; where the token count is missing or negative, the byte codec's counts."""
+    every = table(spark, d, "text_rows").select("row_id", F.struct("ingested_at", "source", "token_count", F.octet_length("text").alias("bytes")).alias("f"))
+    tokens = F.when(F.col("f.token_count") >= 0, F.col("f.token_count")).otherwise(F.coalesce("f.bytes", F.lit(0))).cast("bigint")
+    rows = every.groupBy("row_id").agg(F.min("f").alias("f")).select("row_id", F.col("f.source").alias("corpus"), tokens.alias("tokens"))
+    names = table(spark, d, "corpora").select("corpus").union(rows.select("corpus")).filter("corpus IS NOT NULL").distinct()
+    weights = names.select("corpus", F.greatest(F.length("corpus"), F.lit(1)).cast("bigint").alias("weight"))
     merged = training.interleaved(rows, weights, ["row_id"])
     return training.weighted_rank(merged, ["row_id"]).select("row_id", "corpus", F.col("position").cast("bigint").alias("position"))
 
