@@ -29,6 +29,9 @@ _BLANK = re.compile(r"(?:\r\n|\r|\n| )(?:[^\S\r\n ]*(?:\r\n|\r|\n| ))+")
 _CLOSERS = "\"'”’»›)）]】」』〉》"
 _NODE = re.compile(rf"[.!?…。！？।॥｡‼⁇⁈⁉]+(?:[    ]?[»›]|[{re.escape(_CLOSERS)}])*")
 _OPENERS = "\"'“‘„«‹(（[【「『〈《¿¡*_-–—"
+#: Closing mark by opening mark; straight marks and » open by what stands around them.
+_QUOTES = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
+_QUOTE = re.compile(r'["“”„«»「」『』]')
 _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[^\S]+(?=[ก-ฺเ-๎])")
 _WIDE_END = re.compile(r"[。！？｡‼⁇⁈⁉]")
 
@@ -87,17 +90,25 @@ def _word_before(text: str, end: int, start: int) -> str:
     return text[k:end]
 
 
-def _open_quotes(text: str, start: int, end: int) -> bool:
-    """Whether a quotation opened after ``start`` still stands at ``end``."""
-    depth = 0
-    for c in text[start:end]:
-        if c in "“„«「『":
-            depth += 1
-        elif c in "”»」』" and depth:
-            depth -= 1
-        elif c == '"':
-            depth = 0 if depth else 1
-    return depth > 0
+def _quotations(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(opening, closing) positions of the outermost quotations that close before ``end``."""
+    stack: list[tuple[str, int]] = []
+    for m in _QUOTE.finditer(text, start, end):
+        c, at = m.group(), m.start()
+        before, after = text[at - 1] if at > start else " ", text[at + 1] if at + 1 < end else " "
+        if stack and c == stack[-1][0]:
+            # a straight mark after a space and before a letter opens another one
+            if c != '"' or not before.isspace() or after.isspace():
+                opened = stack.pop()[1]
+                if not stack:
+                    yield opened, at
+                continue
+        if c in _QUOTES:
+            stack.append((_QUOTES[c], at))
+        elif c in '"»' and not after.isspace() and (before.isspace() or not before.isalnum() and before not in _CLOSERS or c == '"' and _spaceless(before)):
+            if c == '"' and stack and stack[-1][0] == '"':
+                stack.pop()  # the one before never closed
+            stack.append(('"' if c == '"' else "«", at))
 
 
 def _wide_score(text: str, node: re.Match, following: str) -> float:
@@ -173,9 +184,23 @@ def _score(text: str, start: int, node: re.Match, end: int) -> float:
     return 1.0
 
 
+def _linked(text: str, nodes: list[tuple[int, float]], quotations: list[tuple[int, int]], end: int) -> list[tuple[int, float]]:
+    """Nodes without those inside a quotation that its sentence goes on after."""
+    ends = dict(nodes)
+    for opened, closed in quotations:
+        # the node that takes in the closing mark, with the marks behind it
+        last = next((p for p, _ in nodes if p > closed), end + 1)
+        closing = closed + 1 <= last <= closed + 4 and all(c in _CLOSERS for c in text[closed:last])
+        if ends[last] <= 0 if closing else text[closed + 1 : end].strip():
+            nodes = [(p, score) for p, score in nodes if not opened < p <= closed]
+    return nodes
+
+
 def _block(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Sentences of a block without blank lines."""
     nodes = [(m.end(), _score(text, start, m, end)) for m in _NODE.finditer(text, start, end)]
+    if len(nodes) > 1 and (quotations := list(_quotations(text, start, end))):
+        nodes = _linked(text, nodes, quotations, end)
     # spaces between Thai letters: the rule of the script makes each a boundary
     nodes += [(m.start(), 1.0) for m in _THAI_GAP.finditer(text, start, end)]
     at = start
