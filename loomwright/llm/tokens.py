@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.runtime import map_arrow, spread, strings
+from loomwright.runtime import cut, map_arrow, spread, strings
 
 #: Where the tokenizer's ranks lie; a parameter of every function here.
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -104,16 +104,17 @@ def update_counts(table: DataFrame | None, rows: DataFrame, text: str = "text",
     return counted if table is None else table.select(*counted.columns).unionByName(counted)
 
 
+def complete_counts(table: DataFrame | None, rows: DataFrame, path: str = RANKS_PATH) -> DataFrame:
+    """(content_hash, n_tokens) under this tokenizer from the count table, content it lacks encoded; written once."""
+    counts = update_counts(table, rows, path=path)
+    return cut(counts.filter(F.col("tokenizer_hash") == tokenizer_hash(path)).select("content_hash", "n_tokens"))
+
+
 def members(rows: DataFrame, corpora: DataFrame, path: str = RANKS_PATH, counts: DataFrame | None = None) -> DataFrame:
     """What each row id adds to the budget: source, language, domain, content hash and tokens."""
     domains = corpora.select(F.col("corpus").alias("source"), F.col("domain")).dropDuplicates(["source"])
-    flat = rows.select("row_id", "ingested_at", "source", F.col("language").alias("language"), content_hash(F.col("text")).alias("content_hash"), "text")
-    if counts is None:
-        counted = with_token_counts(flat, "text", ["row_id", "ingested_at", "source", "language", "content_hash"], path=path)
-        kept = once(counted, "row_id", "ingested_at", "source", "language", "content_hash", "n_tokens")
-    else:
-        mine = counts.filter(F.col("tokenizer_hash") == tokenizer_hash(path)).select("content_hash", "n_tokens")
-        kept = once(flat, "row_id", "ingested_at", "source", "language", "content_hash").join(mine, "content_hash")
+    flat = rows.select("row_id", "ingested_at", "source", F.col("language").alias("language"), content_hash(F.col("text")).alias("content_hash"))
+    kept = once(flat, "row_id", "ingested_at", "source", "language", "content_hash").join(complete_counts(counts, rows, path), "content_hash")
     # the corpora table is fixed and small; Spark broadcasts it by its measured size
     return kept.join(domains, "source", "left").select("row_id", "source", "language", "domain", "content_hash", "n_tokens")
 
@@ -149,7 +150,8 @@ def roll_up(cells: DataFrame) -> DataFrame:
 
 def wrong_counts(rows: DataFrame, path: str = RANKS_PATH) -> DataFrame:
     """Row ids whose token_count is null, or over twice or under half the tokens of the text."""
-    counted = with_token_counts(rows.select("row_id", "ingested_at", "token_count", "text"), "text", ["row_id", "ingested_at", "token_count"], path=path)
+    flat = rows.select("row_id", "ingested_at", "token_count", content_hash(F.col("text")).alias("content_hash"))
+    counted = flat.join(complete_counts(None, rows, path), "content_hash")
     told = once(counted, "row_id", "ingested_at", "token_count", "n_tokens")
     said, real = F.col("token_count").cast("decimal(20,0)"), F.col("n_tokens")
     return told.filter(said.isNull() | (said > 2 * real) | (2 * said < real)).select("row_id")
