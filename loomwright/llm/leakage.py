@@ -38,7 +38,7 @@ TERMS = 1 << 14
 RANK, OVERSAMPLE, ROUNDS = 64, 16, 2
 FIT_PASSAGES = 20_000
 ITEM_WEIGHT = 4.0
-LEAST_COSINE = 0.45
+LEAST_COSINE = 0.3
 PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.75, 0.6
 BLOCK = 20_000
 SEED = 9
