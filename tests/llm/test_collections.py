@@ -21,7 +21,7 @@ def test_golay_code():
     rng = np.random.default_rng(1)
     for m in rng.integers(0, 4096, 50):
         errors = sum(1 << int(b) for b in rng.choice(23, 3, replace=False))
-        assert nearcopies.nearest_codewords(np.array([words[m] ^ errors]))[0][0] == m  # three errors are corrected
+        assert nearcopies.nearest_codewords(np.array([words[m] ^ errors]))[0] == m  # three errors are corrected
 
 
 def test_near_copies_against_brute_force(spark):
