@@ -1,13 +1,20 @@
 """Sentence boundaries across languages and scripts.
 
-A blank line ends a sentence. Within a block, gaps are found and classified by script. Spaced
-scripts have a terminator lattice: every run of end marks with its closing marks is a node that is
-a boundary or not, scored by the word before it (abbreviation, initial, ordinal), the token after
-it (case, script, reporting clause) and whether a quotation goes on; the path of the best score
-is taken, quotations linking neighbouring nodes. Spaceless scripts are cut into words by a
-dictionary word lattice (dynamic programming over dictionary words, unknown letters costing more)
-and their gaps - end marks in Chinese and Japanese, spaces in Thai - are classified by the final
-particle before and the opening word after them.
+A blank line ends a sentence. Within a block, gaps become the nodes of a lattice, scored by script,
+and the best path over the nodes gives the boundaries.
+
+Spaced scripts have a terminator lattice: every run of end marks with its closing marks is a node,
+scored by the word before it (abbreviation, initial, ordinal), the token after it (case, script,
+reporting clause) and what the mark is. Spaceless scripts are cut into words on both sides of a gap
+by a dictionary word lattice (dynamic programming over dictionary words, unknown letters costing
+more); their gaps - end marks and spaces in Chinese and Japanese, spaces in Thai - are classified
+by the final particle that ends the words before and the opening or reporting word that begins the
+words after.
+
+A path takes a node as a boundary, for its score, or passes it. Quotations are states of the path:
+once it took a boundary inside one, it has to take one where the quotation closes too, since an end
+mark inside a quotation that its sentence goes on after is no boundary. Nodes with a score below
+zero are never taken.
 
 Defined results: null, empty and blank texts have no sentences; positions count code points of the
 text as it stands, without white space around the sentence; a heading or fragment set off by blank
@@ -49,14 +56,30 @@ ABBREVIATIONS = frozenset(
 MAY_END = frozenset("etc usw p.m a.m inc ltd corp co bros u.s.a т.д т.п др ff al u.a v.chr n.chr".split())
 #: Words after a German ordinal.
 AFTER_ORDINAL = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jahrhunderts Jahrtausend Kapitel Stock Auflage Band Tag Woche Monat Platz Klasse Mal Geburtstag Teil Schritt Sitzung".split())
-#: Dictionary of the word lattice: opening words that carry a quotation's sentence on, opening words of new ones, final particles, common words.
-GOES_ON = frozenset("这 这就 这就是 这是 那 那就是 几个 几个字 几句 没有 没有人 没人 无人 的 他 她 我 便 就 是 一句 一行 四个字 之类 等 字样 等字样 说 问 答 写道 と とだけ とは という といった って など の と言 とのこと が を に は も".split())
-FINAL_PARTICLES = frozenset("了 吗 呢 吧 啊 呀 嘛 です ます ました でしょう でした ません か ね よ ください ครับ ค่ะ คะ นะ แล้ว หรือยัง ไหม มั้ย เถอะ".split())
-COMMON_WORDS = frozenset("关于 来源 版本 比例 请 第 许可证 管理员 目录 报告 会议 记录 市立 档案馆 夜间 任务 对象 存储 なぜ 次 本文 窓 割合 公開 担当者 管理者 索引 情報源 รายงาน ดัชนี ทำไม คลัง สำเนา อัตรา เครื่อง บันทึก กฎ".split())
-_DICTIONARY = GOES_ON | FINAL_PARTICLES | COMMON_WORDS
+#: Dictionary of the word lattice. Words that go on with the sentence of a quotation before them: reports, copulas, case marks.
+GOES_ON = frozenset("这 这就 这就是 这是 那 那就是 几个 几个字 几句 没有 没有人 没人 无人 的 他 她 我 便 就 是 一句 一行 四个字 之类 等 字样 等字样 说 问 答 写道 喊道 道 と とだけ とは という といった って など の と言 とのこと が を に は も".split())
+#: Particles and endings after which a sentence of a spaceless script is complete.
+FINAL_PARTICLES = frozenset(
+    "了 吗 呢 吧 啊 呀 嘛 啦 哦 么 而已 罢了 です ます ました でしょう でした ません だ だった ない か ね よ な わ ぞ さ ください である ครับ ครับผม ค่ะ คะ จ้ะ จ้า นะ แล้ว หรือยัง ไหม มั้ย หรือ เถอะ สิ เลย ด้วย เท่านั้น".split()
+)
+#: Words that open a sentence: conjunctions, adverbs, pronouns, questions.
+OPENERS = frozenset(
+    "但是 但 然而 不过 所以 因此 于是 而且 另外 此外 同时 后来 最后 首先 其次 然后 因为 如果 虽然 为什么 我们 你们 他们 她们 它们 大家 今天 昨天 明天 请 "
+    "しかし でも だから そして また それで そこで ところが さらに なお つまり なぜ もし 次に 最後に 私 私たち 彼 彼女 これ それ あれ この その "
+    "แต่ และ ดังนั้น เพราะ ถ้า เมื่อ นอกจากนี้ อย่างไรก็ตาม ต่อมา สุดท้าย ทำไม เรา เขา ฉัน ผม วันนี้ เมื่อวาน".split()
+)
+#: Common words that keep the lattice from reading a particle out of the middle of another word.
+COMMON_WORDS = frozenset(
+    "一个 一些 什么 怎么 哪里 这里 那里 自己 可以 需要 已经 还是 就是 不是 关于 根据 时候 现在 以后 以前 了解 为了 除了 目的 的确 有的 吧台 问题 "
+    "ここ そこ どこ こと もの ため よう とき する した して いる ある なる から まで より など たち もう まだ かも だけ ではない なかった "
+    "การ ความ ที่ ของ ใน เป็น มี ไม่ ได้ ให้ จะ กับ จาก โดย".split()
+)
+_DICTIONARY = GOES_ON | FINAL_PARTICLES | OPENERS | COMMON_WORDS
 _LONGEST = max(map(len, _DICTIONARY))
-#: Letters of a spaceless script around a gap that the lattice reads.
+#: Letters of a spaceless script on each side of a gap that the lattice reads.
 _REACH = 12
+#: Gaps without an end mark: white space between two letters of Chinese or Japanese, within a line.
+_WIDE_GAP = re.compile(r"(?<=[\u3040-\u30ff\u3400-\u9fff])[ \t\u3000]+(?=[\u3040-\u30ff\u3400-\u9fff])")
 _SPEECH = re.compile(r"^[^।.!?]{0,80}(?:पूछा|कहा|बोला|बोली|लिखा|उत्तर|जवाब)")
 
 
@@ -111,20 +134,31 @@ def _quotations(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             stack.append(('"' if c == '"' else "«", at))
 
 
-def _wide_score(text: str, node: re.Match, following: str) -> float:
+def _around(text: str, start: int, at: int, to: int, end: int) -> tuple[str, str]:
+    """The last word before ``at`` and the first word from ``to`` on, by the word lattice."""
+    before = re.search(r"[^\W\d_]*\Z", text[max(start, at - _REACH) : at]).group()
+    after = re.match(r"[^\W\d_]*", text[to : min(end, to + _REACH)]).group()
+    left, right = word_lattice(before), word_lattice(after)
+    return (left[-1] if left else ""), (right[0] if right else "")
+
+
+def _gap_score(text: str, start: int, at: int, to: int, end: int, base: float) -> float:
+    """Gap of a spaceless script: a final particle before and an opening word after speak for it, a word that goes on against it."""
+    last, opening = _around(text, start, at, to, end)
+    return base + 0.5 * (last in FINAL_PARTICLES) + 0.5 * (opening in OPENERS) - 2.0 * (opening in GOES_ON and opening not in OPENERS)
+
+
+def _wide_score(text: str, start: int, node: re.Match, end: int) -> float:
     """Gap after an end mark of a spaceless script."""
-    closed = any(c in _CLOSERS for c in node.group())
-    if not closed:
-        return 1.0
+    following = text[node.end() : end]
     ahead = following.lstrip()
-    if not ahead:
+    if not any(c in _CLOSERS for c in node.group()) or not ahead:
         return 1.0
     if ahead[0] in "，、；：,;:":
         return -1.0
     if node.group()[-1] in ")）]】" and not any(c in "\"”’»」』" for c in node.group()):
         return 1.0
-    opening = word_lattice(ahead[:_REACH])[0]
-    return -1.0 if opening in GOES_ON else 1.0
+    return _gap_score(text, start, node.start(), node.end() + len(following) - len(ahead), end, 0.8)
 
 
 def _score(text: str, start: int, node: re.Match, end: int) -> float:
@@ -134,7 +168,7 @@ def _score(text: str, start: int, node: re.Match, end: int) -> float:
     if not after.strip():
         return 1.0
     if _WIDE_END.search(marks):
-        return _wide_score(text, node, after)
+        return _wide_score(text, start, node, end)
     spaced = after[0].isspace()
     if not spaced:
         return 1.0 if marks[0] in "!?।॥" and _spaceless(after[0]) else -9.0
@@ -184,31 +218,76 @@ def _score(text: str, start: int, node: re.Match, end: int) -> float:
     return 1.0
 
 
-def _linked(text: str, nodes: list[tuple[int, float]], quotations: list[tuple[int, int]], end: int) -> list[tuple[int, float]]:
-    """Nodes without those inside a quotation that its sentence goes on after."""
-    ends = dict(nodes)
-    for opened, closed in quotations:
-        # the node that takes in the closing mark, with the marks behind it
+def _best_path(nodes: list[tuple[int, float]], quotations: list[tuple[int, int, int]]) -> list[int]:
+    """Positions of the boundaries on the best path over (position, score) nodes.
+
+    Quotations are (opening mark, closing mark, position of the node that closes it; 0 where the
+    text ends with it, -1 where the sentence goes on without a node). The state is whether the
+    path took a boundary inside the quotation that it is in; every state keeps its best score and
+    the way there.
+    """
+    paths: dict[bool, tuple[float, tuple | None]] = {False: (0.0, None)}
+    left = list(reversed(quotations))
+
+    def keep(into: dict, state: bool, path: tuple[float, tuple | None]) -> None:
+        if state not in into or path[0] > into[state][0]:
+            into[state] = path
+
+    def close(closing: int) -> None:
+        """Leave a quotation that no node closes; where its sentence goes on, boundaries inside are no path."""
+        nonlocal paths
+        after: dict = {}
+        for cut, path in paths.items():
+            if not cut or closing == 0:
+                keep(after, False, path)
+        paths = after
+
+    for position, score in nodes:
+        while left and position > left[-1][1] and position != left[-1][2]:
+            close(left.pop()[2])
+        inside = bool(left) and left[-1][0] < position <= left[-1][1]
+        closes = bool(left) and position == left[-1][2]
+        after: dict = {}
+        for cut, (gain, way) in paths.items():
+            if score > 0:
+                keep(after, inside, (gain + score, (position, way)))
+            if not (closes and cut):
+                keep(after, cut and not closes, (gain, way))
+        if closes:
+            left.pop()
+        paths = after
+    while left:
+        close(left.pop()[2])
+    way, out = max(paths.values(), key=lambda p: p[0])[1], []
+    while way is not None:
+        out.append(way[0])
+        way = way[1]
+    return out[::-1]
+
+
+def _closings(text: str, nodes: list[tuple[int, float]], start: int, end: int) -> list[tuple[int, int, int]]:
+    """Quotations of a block with the node that takes in each one's closing mark, with the marks behind it."""
+    out = []
+    for opened, closed in _quotations(text, start, end):
         last = next((p for p, _ in nodes if p > closed), end + 1)
         closing = closed + 1 <= last <= closed + 4 and all(c in _CLOSERS for c in text[closed:last])
-        if ends[last] <= 0 if closing else text[closed + 1 : end].strip():
-            nodes = [(p, score) for p, score in nodes if not opened < p <= closed]
-    return nodes
+        out.append((opened, closed, last if closing else (-1 if text[closed + 1 : end].strip() else 0)))
+    return out
 
 
 def _block(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Sentences of a block without blank lines."""
     nodes = [(m.end(), _score(text, start, m, end)) for m in _NODE.finditer(text, start, end)]
-    if len(nodes) > 1 and (quotations := list(_quotations(text, start, end))):
-        nodes = _linked(text, nodes, quotations, end)
-    # spaces between Thai letters: the rule of the script makes each a boundary
-    nodes += [(m.start(), 1.0) for m in _THAI_GAP.finditer(text, start, end)]
+    # spaces between Thai letters: the rule of the script makes each a boundary, whatever the words around it
+    nodes += [(m.start(), max(0.1, _gap_score(text, start, m.start(), m.end(), end, 1.0))) for m in _THAI_GAP.finditer(text, start, end)]
+    # spaces between Chinese or Japanese letters: both a final particle and an opening word are needed
+    nodes += [(m.start(), _gap_score(text, start, m.start(), m.end(), end, -0.9)) for m in _WIDE_GAP.finditer(text, start, end)]
+    nodes.sort()
     at = start
-    for position, score in sorted(nodes):
-        if position <= at or score <= 0:
-            continue
-        yield at, position
-        at = position
+    for position in _best_path(nodes, _closings(text, nodes, start, end) if len(nodes) > 1 else []):
+        if position > at:
+            yield at, position
+            at = position
     yield at, end
 
 
