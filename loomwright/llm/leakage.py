@@ -5,14 +5,20 @@ every run of 13 words (26 letters or digits, for Chinese items) lies whole in on
 into passages of that length. Passages become TF-IDF vectors over hashed terms, the document
 frequencies counted over all documents, and are projected on a latent basis: the leading right
 singular vectors of a passage matrix, found by randomised subspace iteration whose matrix
-products run on the executors. Item passages whose cosine with a document passage is large enough
-are candidates. A candidate is a leak when it shares a run of the required length; else the
-longest common subsequence of words and the presence of the item's rare terms (its answer) tell
-a paraphrase.
+products run on the executors.
 
-The basis, not the search, is fitted on a bounded sample: all item passages and at most
-``FIT_PASSAGES`` document passages, chosen by hash. Every document is searched. The query set
-(items) is walked in blocks of ``BLOCK`` passages.
+The item passages of a block stand in an inverted file: spherical k-means puts their latent vectors
+into lists, a document passage meets the lists whose centre is near it, and of these the item
+passages with a large enough cosine are its candidates. A candidate is verified by the longest
+common subsequence of the document passage and the item: one as long as the required run lets the
+check of the run itself decide (an exact leak); else the share of the item passage in common and
+the presence of the item's rare terms (its answer) tell a paraphrase.
+
+The basis, not the search, is fitted on a bounded sample: all item passages and about
+``FIT_PASSAGES`` document passages, those of the documents whose hash lies under a threshold that
+follows from the counted passages; of one document at most a hundredth of that, evenly spread.
+Every document is searched. The query set (items, at most ``MOST_ITEMS``, else an error) is walked
+in blocks of ``BLOCK`` passages.
 
 Defined results: null, empty and short texts hold no passages and no leaks; repeated documents
 are each reported; ties don't matter, since all candidates above the threshold are checked; extra
@@ -21,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,12 +42,19 @@ from loomwright.runtime import cut, map_arrow, ship, spread, strings
 
 RUN_WORDS, RUN_LETTERS = 13, 26
 TERMS = 1 << 14
-RANK, OVERSAMPLE, ROUNDS = 64, 16, 2
+RANK, OVERSAMPLE, ROUNDS = 128, 16, 2
 FIT_PASSAGES = 20_000
 ITEM_WEIGHT = 4.0
-LEAST_COSINE = 0.3
-PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.75, 0.6
+#: Steps between item passages, in words and in letters.
+STRIDE_WORDS, STRIDE_LETTERS = 3, 4
+#: Cosine from which an item passage is a candidate, and that of a list's centre from which its passages are looked at.
+LEAST_COSINE, LIST_COSINE = 0.4, 0.1
+PARAPHRASE_SHARE, PARAPHRASE_ANSWER = 0.6, 0.5
 BLOCK = 20_000
+#: Items of the query set that the driver holds; more is an error.
+MOST_ITEMS = 200_000
+#: Documents that a task searches at a time.
+TOGETHER = 256
 SEED = 9
 
 _WORD = re.compile(r"[^\W_]+")
@@ -119,8 +133,8 @@ def item_passages(text: str | None, lang: str | None, memo: dict[str, int]) -> P
     if not text:
         return None
     if (lang or "").lower().startswith(("zh", "chinese", "zho")):
-        return Passages(normal(text), True, RUN_LETTERS, 8, memo)
-    return Passages(normal(text), False, RUN_WORDS, 6, memo)
+        return Passages(normal(text), True, RUN_LETTERS, STRIDE_LETTERS, memo)
+    return Passages(normal(text), False, RUN_WORDS, STRIDE_WORDS, memo)
 
 
 def _vectors(p: Passages, table: np.ndarray) -> np.ndarray:
@@ -133,6 +147,39 @@ def _vectors(p: Passages, table: np.ndarray) -> np.ndarray:
     return total[hi] - total[lo]
 
 
+class Windows:
+    """All passages of several texts: their terms in one array, where each passage begins and ends, and whose it is."""
+
+    def __init__(self, passages: list[Passages], stride: int):
+        starts = [p.starts for p in passages]
+        counts = np.array([len(x) for x in starts])
+        self.owner = np.repeat(np.arange(len(passages)), counts)
+        self.window = np.arange(len(self.owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        edges = [np.searchsorted(p.at, np.append(x, x[-1] + stride)) for p, x in zip(passages, starts)]
+        sizes = np.array([len(p.terms) for p in passages])
+        offsets = np.cumsum(sizes) - sizes
+        self.terms = np.concatenate([p.terms for p in passages])
+        self._from = np.concatenate([e + o for e, o in zip(edges, offsets)])
+        self._to = np.concatenate([np.append(e[1:], n) + o for e, n, o in zip(edges, sizes, offsets)])
+        # a passage is two neighbouring steps; each text has one step more than passages
+        self._step = np.arange(len(self.owner)) + self.owner
+        self.first, self.last = self._from[self._step], self._to[self._step + 1]
+
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        """Unit sums of the terms' rows over every passage, each step summed once."""
+        steps = np.zeros((len(self._from), table.shape[1]), np.float32)
+        for k in range(int((self._to - self._from).max())):
+            at = self._from + k
+            inside = at < self._to
+            steps[inside] += table[self.terms[at[inside]]]
+        return _unit(steps[self._step] + steps[self._step + 1])
+
+    def wide(self, rows: np.ndarray, width: int, fill: int) -> np.ndarray:
+        """Terms of some passages as rows of ``width``, short ones filled up."""
+        at = self.first[rows][:, None] + np.arange(width)
+        return np.where(at < self.last[rows][:, None], self.terms[np.minimum(at, len(self.terms) - 1)], fill)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -140,28 +187,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
 # ---- document frequencies and the latent basis ---------------------------------------------
 
 
-def inverse_frequencies(documents: DataFrame) -> np.ndarray:
-    """IDF of every hashed term, over all documents; a fixed number of counts reaches the driver."""
+def inverse_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """IDF of every hashed term over all documents, and the number of passages; a fixed number of counts reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        df = np.zeros(TERMS + 1, np.int64)
+        df = np.zeros(TERMS + 2, np.int64)
         for batch in batches:
             for s in strings(batch.column(0)):
                 df[TERMS] += 1
-                seen = [p.terms for p in document_passages(s, memo)]
-                if seen:
-                    df[np.unique(np.concatenate(seen))] += 1
+                held = document_passages(s, memo)
+                if held:
+                    df[np.unique(np.concatenate([p.terms for p in held]) if len(held) > 1 else held[0].terms)] += 1
+                    df[TERMS + 1] += sum(len(p.starts) for p in held)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(df[hit])], names=["term", "n"])
 
     zero = F.lit(0).cast("bigint")
     counts = map_arrow(spread(documents.select("text")), run, documents.select(zero.alias("term"), zero.alias("n")).schema)
-    rows = counts.groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most TERMS + 1 rows
-    df = np.zeros(TERMS + 1)
+    rows = counts.groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most TERMS + 2 rows
+    df = np.zeros(TERMS + 2)
     for r in rows:
         df[r.term] = r.n
-    return np.log((1 + df[TERMS]) / (1 + df[:TERMS])) + 0.1
+    return np.log((1 + df[TERMS]) / (1 + df[:TERMS])) + 0.1, int(df[TERMS + 1])
+
+
+def _products(passages: list, weights: list, basis: np.ndarray, idf: np.ndarray, out: np.ndarray) -> None:
+    """Add A'(A basis) of some passages to ``out``, through the dense matrix over the terms that they have."""
+    lengths = [len(t) for t in passages]
+    if not sum(lengths):
+        return
+    terms, place = np.unique(np.concatenate([np.asarray(t, np.int64) for t in passages]), return_inverse=True)
+    x = np.zeros((len(passages), len(terms)), np.float32)
+    np.add.at(x, (np.repeat(np.arange(len(passages)), lengths), place), 1.0)
+    x *= idf[terms].astype(np.float32)
+    x *= (np.array(weights) / np.maximum(np.linalg.norm(x, axis=1), 1e-9))[:, None].astype(np.float32)
+    out[terms] += x.T @ (x @ basis[terms])
 
 
 def _gram(sample: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -172,12 +233,9 @@ def _gram(sample: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((TERMS, width), np.float64)
         for batch in batches:
-            terms, weights = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for t, w in zip(terms, weights):
-                ids = np.array(t)
-                x = idf[ids]
-                x = x * (w / max(np.linalg.norm(x), 1e-9))
-                np.add.at(out, ids, x[:, None] * (x @ basis[ids]))
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                _products(part.column(0).to_pylist(), part.column(1).to_pylist(), basis, idf, out)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([out[i * rows : (i + 1) * rows].astype(np.float32).tobytes() for i in range(blocks)], pa.binary())], names=["block", "part"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
@@ -191,7 +249,7 @@ def _gram(sample: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out.reshape(TERMS, width)
 
 
-def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, n_passages: int, rank: int = RANK) -> np.ndarray:
     """TERMS x rank right singular vectors of the passage matrix, by randomised subspace iteration."""
     spark = documents.sparkSession
     memo: dict[str, int] = {}
@@ -200,17 +258,21 @@ def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, rank
         p = item_passages(text, lang, memo)
         if p is not None:
             held += [(p.terms[a:b].tolist(), ITEM_WEIGHT) for a, b in zip(*p.spans()) if b > a]
+    most = FIT_PASSAGES // 100
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local: dict[str, int] = {}
         for batch in batches:
-            terms = [p.terms[a:b].tolist() for s in strings(batch.column(0)) for p in document_passages(s, local) for a, b in zip(*p.spans()) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int64())), pa.array([1.0] * len(terms))], names=["terms", "weight"])
+            for s in strings(batch.column(0)):
+                spans = [(p.terms, a, b) for p in document_passages(s, local) for a, b in zip(*p.spans()) if b > a]
+                spans = spans[:: -(-len(spans) // most) or 1]
+                yield pa.RecordBatch.from_arrays([pa.array([t[a:b].tolist() for t, a, b in spans], pa.list_(pa.int64())), pa.array([1.0] * len(spans))], names=["terms", "weight"])
 
     schema = documents.select(F.array(F.lit(0).cast("bigint")).alias("terms"), F.lit(1.0).alias("weight")).schema
-    # documents by hash first, so that only a bounded number of them is cut up for the fit
-    few = documents.select("text").filter(F.length("text") > 0).orderBy(F.xxhash64("text", F.lit(SEED))).limit(FIT_PASSAGES // 10)
-    corpus = map_arrow(few, cut_up, schema).limit(FIT_PASSAGES)
+    # a hash threshold: no text is sorted or moved to choose the sample
+    share = min(1.0, FIT_PASSAGES / max(1, n_passages))
+    few = documents.select("text").filter(F.length("text") > 0).filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    corpus = map_arrow(few, cut_up, schema)
     sample = corpus.unionByName(spark.createDataFrame(held, schema)) if held else corpus
     sample = cut(sample.repartition(8))
     rng = np.random.default_rng(SEED)
@@ -237,65 +299,127 @@ def common_subsequence(a: list[str] | str, b: list[str] | str) -> int:
     return len(a) - row.bit_count()
 
 
+class InvertedFile:
+    """Unit vectors in lists around the centres of a spherical k-means."""
+
+    def __init__(self, vectors: np.ndarray, rounds: int = 8):
+        n = len(vectors)
+        centres = vectors[np.random.default_rng(SEED).choice(n, min(n, int(2 * n**0.5) + 1), replace=False)]
+        for _ in range(rounds):
+            sums = np.zeros_like(centres)
+            np.add.at(sums, (vectors @ centres.T).argmax(axis=1), vectors)
+            empty = ~sums.any(axis=1)
+            sums[empty] = centres[empty]
+            centres = _unit(sums)
+        of = (vectors @ centres.T).argmax(axis=1)
+        self.centres = np.ascontiguousarray(centres.T)
+        self.lists = [np.flatnonzero(of == k) for k in range(len(centres))]
+        self.vectors = [np.ascontiguousarray(vectors[ids].T) for ids in self.lists]
+
+    def near(self, queries: np.ndarray, least: float = LEAST_COSINE, to_list: float = LIST_COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, cosine) of the pairs from ``least`` on, within the lists from ``to_list`` on."""
+        met = queries @ self.centres >= to_list
+        out: list[tuple] = []
+        for k, ids in enumerate(self.lists):
+            rows = np.flatnonzero(met[:, k])
+            if len(rows) and len(ids):
+                cosine = queries[rows] @ self.vectors[k]
+                q, v = np.nonzero(cosine >= least)
+                out.append((rows[q], ids[v], cosine[q, v]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return tuple(np.concatenate(part) for part in zip(*out))
+
+
 class ItemIndex:
-    """Latent vectors of a block of item passages, and what the checks need of their items."""
+    """Latent vectors of a block of item passages in inverted files, and what the checks need of their items."""
 
     def __init__(self, items: list[tuple], table: np.ndarray, idf: np.ndarray):
         memo: dict[str, int] = {}
-        self.kinds: dict[bool, tuple] = {}
         grouped: dict[bool, list] = {False: [], True: []}
-        self.streams: dict = {}
-        self.rare: dict = {}
-        self.grams: dict[bool, dict] = {False: {}, True: {}}
+        of: dict[bool, list] = {False: [], True: []}
+        #: By item: the terms of its passages, by their number in the file.
+        self.passages: list[dict] = []
+        self.ids, self.streams, self.rare, self.grams, self.known = [], [], [], [], []
+        self.has = np.zeros((len(items), TERMS + 1), bool)
         for item, lang, text in items:
             p = item_passages(text, lang, memo)
-            if p is None:
+            if p is None or not len(p.terms):
                 continue
-            kind, run = p.by_letters, RUN_LETTERS if p.by_letters else RUN_WORDS
-            grouped[kind].append((item, _vectors(p, table), p.starts, p.ends))
-            self.streams[item] = p.stream
+            at, run = len(self.ids), RUN_LETTERS if p.by_letters else RUN_WORDS
+            self.ids.append(item)
+            grouped[p.by_letters].append(_vectors(p, table))
+            self.streams.append(p.stream)
             order = np.argsort(-idf[p.terms], kind="stable")[: max(3, len(p.terms) // 5)]
-            self.rare[item] = set(p.terms[order].tolist())
-            for k in range(len(p.stream) - run + 1):
-                gram = p.stream[k : k + run] if kind else " ".join(p.stream[k : k + run])
-                self.grams[kind].setdefault(gram, set()).add(item)
+            self.rare.append(set(p.terms[order].tolist()))
+            self.grams.append({tuple(p.stream[k : k + run]) for k in range(len(p.stream) - run + 1)})
+            # single words, or pairs of letters, of the item
+            self.known.append(frozenset(map(operator.add, p.stream, p.stream[1:])) if p.by_letters else frozenset(p.stream))
+            self.passages.append({len(of[p.by_letters]) + k: p.terms[a:b].tolist() for k, (a, b) in enumerate(zip(*p.spans()))})
+            of[p.by_letters] += [at] * len(p.starts)
+            self.has[at, p.terms] = True
+        self.least = PARAPHRASE_SHARE * np.array([min(RUN_WORDS, len(x)) for x in self.streams])
+        self.kinds: dict[bool, tuple] = {}
         for kind, held in grouped.items():
             if held:
-                self.kinds[kind] = (np.ascontiguousarray(_unit(np.vstack([v for _, v, _, _ in held])).T), np.concatenate([[i] * len(v) for i, v, _, _ in held]), np.concatenate([s for _, _, s, _ in held]), np.concatenate([e for _, _, _, e in held]))
-
-    def leaks(self, text: str | None, table: np.ndarray, memo: dict[str, int]) -> dict:
-        """item -> (kind, cosine, share of the item passage in common, share of its rare terms)."""
+                self.kinds[kind] = (InvertedFile(_unit(np.vstack(held))), np.array(of[kind]))
+
+    def candidates(self, passages: list[Passages], table: np.ndarray, kind: bool) -> Iterator[tuple[int, int, int, int, float]]:
+        """(passages, window, item, item passage, cosine): each window's items above the cosine, with their best passage."""
+        index, item_of = self.kinds[kind]
+        every = Windows(passages, RUN_LETTERS if kind else RUN_WORDS)
+        query, vector, cosine = index.near(every.vectors(table))
+        item = item_of[vector]
+        order = np.lexsort((vector, -cosine, item, query))
+        query, vector, cosine, item = query[order], vector[order], cosine[order], item[order]
+        first = np.append(True, (query[1:] != query[:-1]) | (item[1:] != item[:-1])) if len(query) else np.zeros(0, bool)
+        query, vector, cosine, item = query[first], vector[first], cosine[first], item[first]
+        if not kind and len(query):
+            # a common subsequence holds no more words than the passage has of the item's
+            enough = self.has[item[:, None], every.wide(query, 2 * RUN_WORDS, TERMS)].sum(axis=1) >= self.least[item]
+            query, vector, cosine, item = query[enough], vector[enough], cosine[enough], item[enough]
+        yield from zip(every.owner[query].tolist(), every.window[query].tolist(), item.tolist(), vector.tolist(), cosine.tolist())
+
+    def check(self, p: Passages, window: int, item: int, vector: int) -> tuple[str, float, float] | None:
+        """(kind, share of the item passage in common, share of its rare terms) of a candidate that is a leak.
+
+        Subsequences are looked for only where enough single words (letter pairs, terms) agree for one.
+        """
+        run = RUN_LETTERS if p.by_letters else RUN_WORDS
+        piece, stream, known = p.stream[p.starts[window] : p.ends[window]], self.streams[item], self.known[item]
+        agree = sum(map(known.__contains__, map(operator.add, piece, piece[1:]))) + 1 if p.by_letters else sum(map(known.__contains__, piece))
+        if agree >= run and common_subsequence(stream, piece) >= run and any(tuple(piece[k : k + run]) in self.grams[item] for k in range(len(piece) - run + 1)):
+            return "exact", 1.0, 1.0
+        lo, hi = np.searchsorted(p.at, (p.starts[window], p.ends[window]))
+        mine, asked = p.terms[lo:hi].tolist(), self.passages[item][vector]
+        least = PARAPHRASE_SHARE * len(asked)
+        if sum(map(frozenset(asked).__contains__, mine)) < least:
+            return None
+        share = common_subsequence(asked, mine) / max(1, len(asked))
+        if share < PARAPHRASE_SHARE:
+            return None
+        answer = len(self.rare[item].intersection(p.terms.tolist())) / len(self.rare[item])
+        return ("paraphrase", share, answer) if answer >= PARAPHRASE_ANSWER else None
+
+    def leaks(self, texts: list[str | None], table: np.ndarray, memo: dict[str, int]) -> dict:
+        """(text number, item) -> (kind, cosine, share, answer), the surest finding of each."""
         out: dict = {}
-        for p in document_passages(text, memo):
-            if p.by_letters not in self.kinds or not len(p.terms):
+        held: dict[bool, list] = {kind: [] for kind in self.kinds}
+        for i, s in enumerate(texts):
+            for p in document_passages(s, memo):
+                if p.by_letters in held and len(p.terms):
+                    held[p.by_letters].append((i, p))
+        for kind, each in held.items():
+            if not each:
                 continue
-            vectors, item_of, first, last = self.kinds[p.by_letters]
-            cosine = _unit(_vectors(p, table)) @ vectors
-            run = RUN_LETTERS if p.by_letters else RUN_WORDS
-            grams = self.grams[p.by_letters]
-            for w in np.flatnonzero(cosine.max(axis=1) >= LEAST_COSINE):
-                row = cosine[w]
-                near = np.flatnonzero(row >= LEAST_COSINE)
-                candidates = set(item_of[near].tolist())
-                piece = p.stream[p.starts[w] : p.ends[w]]
-                for k in range(len(piece) - run + 1):
-                    for item in grams.get(piece[k : k + run] if p.by_letters else " ".join(piece[k : k + run]), ()):
-                        if item in candidates:
-                            best = float(row[near][item_of[near] == item].max())
-                            out[item] = ("exact", max(best, out.get(item, ("", 0.0))[1]), 1.0, 1.0)
-                top = near[row[near] >= PARAPHRASE_COSINE]
-                if len(top):
-                    terms = set(p.terms.tolist())
-                    for item in set(item_of[top].tolist()):
-                        if item in out:
-                            continue
-                        mine = top[item_of[top] == item]
-                        j = mine[np.argmax(row[mine])]
-                        asked = self.streams[item][first[j] : last[j]]
-                        share = common_subsequence(asked, piece) / max(1, len(asked))
-                        answer = len(self.rare[item] & terms) / max(1, len(self.rare[item]))
-                        if share >= PARAPHRASE_SHARE and answer >= 0.5:
-                            out[item] = ("paraphrase", float(row[j]), share, answer)
+            passages = [p for _, p in each]
+            for o, window, item, vector, cosine in self.candidates(passages, table, kind):
+                key = (each[o][0], self.ids[item])
+                if out.get(key, ("",))[0] == "exact" and out[key][1] >= cosine:
+                    continue
+                found = self.check(passages[o], window, item, vector)
+                if found and (found[0] == "exact", cosine) > (out.get(key, ("",))[0] == "exact", out.get(key, ("", 0.0))[1]):
+                    out[key] = (found[0], cosine, *found[1:])
         return out
 
 
@@ -306,27 +430,28 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     rows) and walked in blocks; each block is one pass over the documents.
     """
     ship(documents.sparkSession)
-    held = [(r.item_id, r.lang, r.text) for r in items.select("item_id", "lang", "text").filter(F.length("text") > 0).dropDuplicates(["item_id"]).collect()]
+    held = [(r.item_id, r.lang, r.text) for r in items.select("item_id", "lang", "text").filter(F.length("text") > 0).dropDuplicates(["item_id"]).limit(MOST_ITEMS + 1).collect()]
+    if len(held) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items; divide the query set")
     held.sort(key=lambda r: (r[0] is None, r[0]))
     zero = F.lit(0.0)
     schema = documents.select("doc_id").join(items.select("item_id"), F.lit(True)).select("doc_id", "item_id", F.lit("").alias("kind"), zero.alias("cosine"), zero.alias("shared"), zero.alias("answer")).schema
     if not held:
         return documents.sparkSession.createDataFrame([], schema)
-    idf = inverse_frequencies(documents)
-    table = (latent_basis(documents, held, idf) * idf[:, None]).astype(np.float32)
+    idf, n_passages = inverse_frequencies(documents)
+    table = (latent_basis(documents, held, idf, n_passages) * idf[:, None]).astype(np.float32)
     kinds = {f.name: pa.int64() if f.dataType.simpleString() == "bigint" else None for f in schema}
 
     def search(block: list[tuple]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, memo = ItemIndex(block, table, idf), {}
             for batch in batches:
-                at, found = [], []
-                for i, s in enumerate(strings(batch.column(1))):
-                    for item, how in index.leaks(s, table, memo).items():
-                        at.append(i)
-                        found.append((item, *how))
-                columns = [[f[k] for f in found] for k in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], kinds["item_id"]), pa.array(columns[1], pa.string()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=[f.name for f in schema])
+                for start in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(start, TOGETHER)
+                    found = index.leaks(strings(part.column(1)), table, memo)
+                    at, rows = [i for i, _ in found], [(item, *how) for (_, item), how in found.items()]
+                    columns = [[f[k] for f in rows] for k in range(5)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], kinds["item_id"]), pa.array(columns[1], pa.string()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=[f.name for f in schema])
 
         return map_arrow(spread(documents.select("doc_id", "text")), run, schema)
 
@@ -338,5 +463,5 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             block, size = [], 0
         if row is not None:
             block.append(row)
-            size += max(1, len(row[2]) // 15)
+            size += max(1, len(row[2]) // 8)
     return out
