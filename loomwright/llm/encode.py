@@ -1,10 +1,13 @@
 """Encoding of a corpus with a byte-level BPE vocabulary by recursive queries.
 
 Every task holds the merge table in an in-process DuckDB. Texts are split into words by the
-tokenizer's pattern; distinct words become token-position rows (one row a byte at first). A
-recursive query joins neighbouring rows to the merge table, contracts each word's leftmost pair
-of minimum rank and goes on until no word has a pair left; an ordered aggregation gives a word's
-ids. A task remembers the ids of words it has met.
+tokenizer's pattern, and words into pieces between bytes that stand side by side in no token of the
+vocabulary, across which no merge can reach. Distinct pieces become token-position rows (one row a
+byte at first). A recursive query joins neighbouring rows to the merge table, finds each piece's
+pair of minimum rank and contracts it from the left wherever it stands, until no piece has a pair
+left; an ordered aggregation gives a piece's ids. A merge makes only pairs of higher rank than its
+own, so that the leftmost pair of minimum rank again and again is the same pair until it is used up:
+a round does all of these at once. A task remembers the ids of the words it has met.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens
 are ordinary text; every input row gives one output row, repeated rows as often as they come;
@@ -39,15 +42,20 @@ WITH RECURSIVE state(word, pos, tok, depth) AS (
   UNION ALL
   SELECT * FROM (
     WITH near AS (
-      SELECT word, pos, tok, depth, lead(pos) OVER w AS next_pos, lead(tok) OVER w AS next_tok
-      FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), best AS (
-      SELECT near.word, arg_min({'pos': near.pos, 'gone': near.next_pos, 'made': merge.made}, (merge.rank::BIGINT << 32) + near.pos) AS x
-      FROM near JOIN merge ON near.tok = merge.head AND near.next_tok = merge.tail
-      WHERE near.depth < $depth GROUP BY near.word
+      SELECT word, pos, tok, depth, lead(tok) OVER w AS next_tok FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), ranked AS (
+      SELECT near.*, merge.rank, merge.made, min(merge.rank) OVER (PARTITION BY word) AS best
+      FROM near LEFT JOIN merge ON near.tok = merge.head AND near.next_tok = merge.tail WHERE near.depth < $depth
+    ), runs AS (
+      SELECT *, coalesce(rank = best, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, coalesce(rank = best, false) ORDER BY pos) AS run
+      FROM ranked WHERE best IS NOT NULL
+    ), taken AS (
+      -- of overlapping occurrences (a token twice) every second one, from the left
+      SELECT *, hit AND (row_number() OVER (PARTITION BY word, hit, run ORDER BY pos)) % 2 = 1 AS first FROM runs
+    ), kept AS (
+      SELECT *, lag(first, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM taken
     )
-    SELECT near.word, near.pos, CASE WHEN near.pos = best.x.pos THEN best.x.made ELSE near.tok END, near.depth + 1
-    FROM near JOIN best USING (word) WHERE near.pos <> best.x.gone
+    SELECT word, pos, CASE WHEN first THEN made ELSE tok END, depth + 1 FROM kept WHERE NOT gone
   )
 )
 SELECT word, any_value(depth) AS depth, list(tok ORDER BY pos) AS ids
@@ -76,13 +84,19 @@ class RecursiveBpe:
         self.first = np.zeros(256, np.int32)
         for b, c in printable_bytes().items():
             self.first[b] = vocab[c]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.joined = np.zeros((256, 256), bool)
+        value = {c: b for b, c in printable_bytes().items()}
+        for token in vocab:
+            data = [value[c] for c in token if c in value]
+            self.joined[data[:-1], data[1:]] = True
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = pa.table({k: pa.array(v, pa.int32()) for k, v in (("head", [vocab[a] for a, _ in pairs]), ("tail", [vocab[b] for _, b in pairs]), ("made", [vocab[a + b] for a, b in pairs]), ("rank", range(len(pairs))))})
         self.db.register("merges", merges)
         self.db.execute("CREATE TABLE merge AS SELECT * FROM merges")
         self.db.unregister("merges")
         self.split = regex.compile(SPLIT_PATTERN).findall
         self.known: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
 
     def _contract(self, tokens: list, into: list) -> None:
         """Encode words, given as arrays of token ids, into the same places of ``into``."""
@@ -111,24 +125,35 @@ class RecursiveBpe:
                     into[pending[word]] = ids
             pending = unfinished
 
+    def cut(self, data: bytes) -> list[bytes]:
+        """Pieces of a word between bytes that are neighbours in no token."""
+        import numpy as np
+
+        codes = np.frombuffer(data, np.uint8)
+        at = [0, *(np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        words.sort(key=len)
+        cut = {word: self.cut(word.encode("utf-8", "replace")) for word in words}
+        fresh = sorted({p for pieces in cut.values() for p in pieces if p not in self.pieces}, key=len)
         chunk, size = [], 0
-        for i, word in enumerate(words):
-            data = word.encode("utf-8", "replace")
-            chunk.append((word, self.first[np.frombuffer(data, np.uint8)]))
-            size += len(data)
-            if size >= CHUNK_BYTES or i == len(words) - 1:
+        for i, piece in enumerate(fresh):
+            chunk.append(piece)
+            size += len(piece)
+            if size >= CHUNK_BYTES or i == len(fresh) - 1:
                 out: list = [None] * len(chunk)
-                self._contract([t for _, t in chunk], out)
-                self.known.update((w, ids) for (w, _), ids in zip(chunk, out))
+                self._contract([self.first[np.frombuffer(p, np.uint8)] for p in chunk], out)
+                self.pieces.update(zip(chunk, out))
                 chunk, size = [], 0
+        for word, pieces in cut.items():
+            self.known[word] = self.pieces[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in self.pieces[p]]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.known) > MEMO_WORDS:
+        if len(self.known) + len(self.pieces) > MEMO_WORDS:
             self.known.clear()
+            self.pieces.clear()
         split = [self.split(t) if t else [] for t in texts]
         fresh = {w for words in split for w in words if w not in self.known}
         if fresh:
