@@ -4,7 +4,8 @@ A plan asks shares of ``requested_tokens`` from sources. Leaves are (domain, lan
 a source's weight goes to its languages in proportion to their tokens. Every leaf can give its
 tokens ``max_repeats`` times. What a leaf can't give goes to its siblings of the same domain and
 language, then to other languages of the domain, then to other domains, each time in proportion
-to the weights of those that still have room. A leaf's records come in seeded epochs, each a
+to the weights of those that still have room. The first step, a leaf's own share against its room,
+is done in exact fractions: a leaf that lacks any of its share makes its source short. A leaf's records come in seeded epochs, each a
 permutation of the leaf, cut where the running token count reaches the budget.
 
 Defined results: weights that are null or not positive count as 0; a source without rows has
@@ -14,6 +15,8 @@ id counts once.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ SEED = 20260
 
 SHARES_SCHEMA = (
     "plan_id bigint, domain string, language string, source string, weight bigint, weight_sum decimal(38,0),"
-    "requested_tokens bigint, available_tokens bigint, max_repeats int, asked double, budget double, actual_share double"
+    "requested_tokens bigint, available_tokens bigint, max_repeats int, asked double, budget double, actual_share double, lacks boolean"
 )
 
 
@@ -62,13 +65,26 @@ def _fill(room: dict, weight: dict, amount: float) -> dict:
     return given
 
 
+def _own_shares(leaves: pd.DataFrame) -> dict:
+    """The exact share that every leaf is asked for: its source's, in proportion to its tokens."""
+    of = leaves.groupby("source", dropna=False).available_tokens
+    total, count = of.transform("sum"), of.transform("size")
+    return {
+        k: Fraction(int(requested) * int(weight), int(weight_sum)) * (Fraction(int(mine), int(every)) if every else Fraction(1, int(n)))
+        for k, requested, weight, weight_sum, mine, every, n in zip(leaves.index, leaves.requested_tokens, leaves.weight, leaves.weight_sum, leaves.available_tokens, total, count)
+    }
+
+
 def _budget(leaves: pd.DataFrame) -> pd.DataFrame:
     """Budgets of one plan's leaves: shortages move to siblings before ancestors."""
-    room = dict(zip(leaves.index, leaves.available_tokens * leaves.max_repeats))
-    share = dict(zip(leaves.index, leaves.asked))
-    given = {k: min(share[k], float(room[k])) for k in room}
+    room = {k: int(a) * int(r) for k, a, r in zip(leaves.index, leaves.available_tokens, leaves.max_repeats)}
+    share = _own_shares(leaves)
+    own = {k: min(share[k], room[k]) for k in room}
+    leaves["asked"] = [float(share[k]) for k in leaves.index]
+    leaves["lacks"] = [own[k] < share[k] for k in leaves.index]
+    given, short = {k: float(x) for k, x in own.items()}, {k: float(share[k] - own[k]) for k in room}
+    share = {k: float(x) for k, x in share.items()}
     levels = [["domain", "language"], ["domain"], []]
-    short = {k: share[k] - given[k] for k in room}
     for keys in levels:
         groups = leaves.groupby(keys, dropna=False).groups.values() if keys else [leaves.index]
         for group in groups:
@@ -94,30 +110,21 @@ def mix_budgets(plans: DataFrame, tokens: DataFrame, corpora: DataFrame) -> Data
     """
     ship(plans.sparkSession)
     sums = tokens.groupBy("source", "language").agg(F.sum("n_tokens").alias("available_tokens"))
-    whole = Window.partitionBy("plan_id", "source")
     domains = corpora.select(F.col("corpus").alias("source"), "domain").dropDuplicates(["source"])
     leaves = demands(plans).join(sums, "source", "left").join(domains, "source", "left")
     leaves = leaves.fillna({"available_tokens": 0, "language": "", "domain": ""})
-    part = F.when(F.sum("available_tokens").over(whole) > 0, F.col("available_tokens") / F.sum("available_tokens").over(whole)).otherwise(1.0 / F.count(F.lit(1)).over(whole))
-    asked = F.col("requested_tokens") * F.col("weight").cast("double") / F.col("weight_sum").cast("double") * part
-    leaves = leaves.select("plan_id", "domain", "language", "source", "weight", "weight_sum", "requested_tokens", "available_tokens", F.col("max_repeats").cast("int").alias("max_repeats"), asked.alias("asked"), F.lit(0.0).alias("budget"), F.lit(0.0).alias("actual_share"))
+    leaves = leaves.select("plan_id", "domain", "language", "source", "weight", "weight_sum", "requested_tokens", "available_tokens", F.col("max_repeats").cast("int").alias("max_repeats"), F.lit(0.0).alias("asked"), F.lit(0.0).alias("budget"), F.lit(0.0).alias("actual_share"), F.lit(False).alias("lacks"))
     return leaves.groupBy("plan_id").applyInPandas(_budget, SHARES_SCHEMA)
 
 
 def mix_shares(budgets: DataFrame) -> DataFrame:
-    """Asked and actual share of every weighted source, and whether its capacity falls short of the ask.
-
-    The comparison is exact, in integers: repeats times tokens times the weight sum against
-    the request times the weight.
-    """
+    """Asked and actual share of every weighted source, and whether its leaves lack any of it after their own share."""
     by = budgets.groupBy("plan_id", "source").agg(
         F.first("weight").alias("weight"), F.first("weight_sum").alias("weight_sum"), F.first("requested_tokens").alias("requested_tokens"), F.first("max_repeats").alias("max_repeats"),
-        F.sum("available_tokens").alias("available_tokens"), F.sum("budget").alias("budget"), F.sum("actual_share").alias("actual_share"),
+        F.sum("available_tokens").alias("available_tokens"), F.sum("budget").alias("budget"), F.sum("actual_share").alias("actual_share"), F.bool_or("lacks").alias("short"),
     )
-    big = lambda c: F.col(c).cast("decimal(38,0)")
-    gives = (F.col("available_tokens").cast("decimal(19,0)") * F.col("max_repeats").cast("decimal(10,0)")) / big("requested_tokens")
-    exact = F.expr("CAST(available_tokens AS DECIMAL(19,0)) * max_repeats") * F.col("weight_sum").cast("decimal(19,0)") < F.col("requested_tokens").cast("decimal(19,0)") * F.col("weight").cast("decimal(19,0)")
-    return by.select("plan_id", "source", (F.col("weight") / F.col("weight_sum").cast("double")).alias("asked_share"), "actual_share", F.col("budget").alias("budget_tokens"), "available_tokens", F.when(F.col("requested_tokens") > 0, gives.cast("double")).alias("reachable_share"), F.coalesce(exact, F.lit(False)).alias("short"))
+    gives = (F.col("available_tokens").cast("decimal(19,0)") * F.col("max_repeats").cast("decimal(10,0)")) / F.col("requested_tokens").cast("decimal(38,0)")
+    return by.select("plan_id", "source", (F.col("weight") / F.col("weight_sum").cast("double")).alias("asked_share"), "actual_share", F.col("budget").alias("budget_tokens"), "available_tokens", F.when(F.col("requested_tokens") > 0, gives.cast("double")).alias("reachable_share"), "short")
 
 
 def mix_selection(budgets: DataFrame, tokens: DataFrame, seed: int = SEED) -> DataFrame:

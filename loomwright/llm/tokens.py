@@ -3,7 +3,8 @@
 Counts are kept by (content hash, tokenizer hash), so that a text is encoded once for a
 tokenizer and never again while its content stays. Budget cubes over source, language and
 domain change by signed deltas: an added row adds its count, a removed row takes it away and
-a changed row does both.
+a changed row does both; ``deliver`` finds them from a delivery alone, and ``prune_counts`` takes
+content that no row holds any more out of the count table.
 
 Defined results: a null or empty text has 0 tokens; strings that look like special tokens are
 ordinary text; a row id that arrives several times counts once, as it arrived first; extra
@@ -135,6 +136,28 @@ def cube_delta(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
     return both.groupBy(*CUBE_KEYS).agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).filter("tokens <> 0 OR rows <> 0")
 
 
+def deliver(state: DataFrame, arrived: DataFrame | None, removed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(signed cells, new state) of a delivery: arrived members replace rows of their id, removed ids go.
+
+    Only the delivery's ids are looked up in the state, so unchanged rows are neither aggregated
+    nor moved; a row that arrives as it stood cancels itself.
+    """
+    ids = [df.select("row_id") for df in (arrived, removed) if df is not None]
+    if not ids:
+        raise ValueError("nothing is delivered")
+    touched = (ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).filter("row_id IS NOT NULL").distinct()
+    left, gone = state.join(touched, "row_id", "left_anti"), state.join(touched, "row_id", "left_semi")
+    if arrived is None:
+        return cube_delta(gone, None), left
+    came = arrived if removed is None else arrived.join(removed.select("row_id"), "row_id", "left_anti")
+    return cube_delta(gone, came), left.unionByName(came.select(*left.columns))
+
+
+def prune_counts(table: DataFrame, state: DataFrame) -> DataFrame:
+    """The count table without content that no member holds any more."""
+    return table.join(state.select("content_hash").distinct(), "content_hash", "left_semi")
+
+
 def apply_delta(cube: DataFrame | None, delta: DataFrame) -> DataFrame:
     """The finest cells after a delta; cells without rows go."""
     every = delta if cube is None else cube.select(*delta.columns).unionByName(delta)
