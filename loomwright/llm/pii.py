@@ -161,12 +161,14 @@ _ID_LABEL = re.compile(r"(?i)(?:passport|passeport|pasaporte|passaporte|reisepas
 _CITY = r"[A-ZÀ-Þ][\w'’\-]+(?: [A-ZÀ-Þ][\w'’\-]+)?"
 _STREET = [
     re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]? (?:[A-ZÀ-Þ][\w'’\-]+ ){{1,3}}(?:Street|Road|Lane|Avenue|Terrace|Drive|Court|Place|Square|Close|Boulevard|St\.|Rd\.|Ln\.|Ave\.|Blvd\.)(?!\w)(?:, (?:Apt|Apartment|Flat|Unit|Suite)\.? ?\w+)?(?:, {_CITY}(?: \d{{4,6}})?)?"),
+    re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]? (?:[NSEW]\.? )?(?:[A-ZÀ-Þ][\w'’\-]+ ){{1,3}}(?:St|Rd|Ave|Blvd|Ln|Dr|Ct|Pl|Sq|Hwy|Pkwy|Way|Row)(?!\w)(?: (?:NE|NW|SE|SW|N|S|E|W)(?!\w))?(?:, (?:Apt|Apartment|Flat|Unit|Suite)\.? ?\w+)?(?:, {_CITY}(?: \d{{4,6}})?)?"),
+    re.compile(rf"(?<![\w.\-/])(?:\d{{1,5}} )?(?:[NSEW]\.? )?\d{{1,3}}(?:st|nd|rd|th) (?:Avenue|Ave|Street|St)(?!\w)(?: (?:NE|NW|SE|SW|N|S|E|W)(?!\w))?,? {_CITY}(?: \d{{4,6}})?"),
     re.compile(rf"(?<![\w.\-/])\d{{1,5}}(?: ?(?:bis|ter|[a-z]))?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|route) (?:de la |de l['’]|des |du |de |d['’])?[A-ZÀ-Þ][\w'’\-]+(?: [A-ZÀ-Þ][\w'’\-]+)*(?:,? \d{{5}} {_CITY})?"),
     re.compile(rf"(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Rua|Travessa) (?:de (?:la |los |las )?|do |da )?[A-ZÀ-Þ][\w'’\-]+(?: [A-ZÀ-Þ][\w'’\-]+)?,? \d{{1,5}}(?:, \d{{1,2}}\.? ?[ºª°] ?\w?)?(?:, \d{{5}}(?:-\d{{3}})? {_CITY})?"),
     re.compile(rf"(?<!\w)[A-ZÄÖÜ][\w\-]+(?:straße|strasse|weg|gasse|platz|allee|damm) \d{{1,4}} ?[a-z]?(?!\w)(?:, \d{{5}} {_CITY})?"),
     re.compile(r"(?<!\w)(?:ул\.|улица|пр\.|проспект|переулок) ?[А-ЯЁ][\w\-]+(?: [А-ЯЁ][\w\-]+)?,? ?(?:д\.|дом)? ?\d{1,4}(?:, ?(?:кв\.|квартира) ?\d+)?"),
 ]
-_STREET_HINT = [re.compile(h) for h in (r"Street|Road|Lane|Avenue|Terrace|Drive|Court|Place|Square|Close|Boulevard|St\.|Rd\.|Ln\.|Ave\.|Blvd\.", r" (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|route) ", r"Calle|Avenida|Plaza|Paseo|Rua|Travessa", r"(?:straße|strasse|weg|gasse|platz|allee|damm) \d", r"ул|пр")]
+_STREET_HINT = [re.compile(h) for h in (r"Street|Road|Lane|Avenue|Terrace|Drive|Court|Place|Square|Close|Boulevard|St\.|Rd\.|Ln\.|Ave\.|Blvd\.", r" (?:St|Rd|Ave|Blvd|Ln|Dr|Ct|Pl|Sq|Hwy|Pkwy|Way|Row)(?!\w)", r"\d(?:st|nd|rd|th) (?:Ave|St)", r" (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|route) ", r"Calle|Avenida|Plaza|Paseo|Rua|Travessa", r"(?:straße|strasse|weg|gasse|platz|allee|damm) \d", r"ул|пр")]
 
 _CAP = r"(?!\S*@)[A-ZÀ-ÞŁŚŠŽ][\w'’]*\w"
 _TOKEN = rf"(?:al-)?{_CAP}(?:-{_CAP})*"
@@ -183,19 +185,91 @@ _TITLED = re.compile(rf"(?:{_TITLES}) ((?:(?:{_TITLES}) )*)({_TURNED}|{_STRAIGHT
 #: In sentences of capitals every word looks like a name: initials and one word, or two words.
 _LOUD = re.compile(rf"(?:MRS?|MS|MISS|DR|PROF|SRA?|DRA|MME|M|FRAU|HERRN?)\.? ({_TURNED}|(?:{_INITIAL} )+{_TOKEN}|{_TOKEN} (?:{_INITIAL} )*(?:(?:VAN|DE|VON|AL) )?{_TOKEN})(?= [A-ZÀ-Þ]{{2,}} |,? [A-ZÀ-Þ] )")
 _MONSIEUR = re.compile(rf"(?:^|(?<=[.!?»\n] )|(?<=\n))M\. ({_TURNED}|{_STRAIGHT})(?= (?:[a-zàâéè]+|a) )")
-#: Phrases after which, or before which, a person is named.
-_BEFORE = (
-    "Signed,", "From:", "Cc:", "To:", "Contact:", "Contact :", "Contacto:", "Contato:", "Ansprechpartner:", "Ansprechpartnerin:", "Contatto:",
-    "According to", "Laut", "Según", "Selon", "Segundo", "Nobody told", "The row lists", "ask for", "Transcribed by", "Written by", "Translated by",
-    "keys stay with", "llaves quedan con", "clés restent chez", "Schlüssel bleiben bei", "chaves ficam com", "can reach", "The parcel for",
-    "По словам", "Контакт:", "联系人：", "联系人:", "担当：", "Подпись:", "Firmado,", "Gezeichnet,", "Signé,", "Assinado,",
-)
-_CUED = re.compile("(?:" + "|".join(map(re.escape, sorted(_BEFORE, key=len, reverse=True))) + rf") ?({_ANY})")
-_PAIRED = re.compile(rf"(?<!\w)({_ANY}) (?:and|und|y|et|e) ({_ANY})(?= (?:counted|signed|wrote|agreed|met|zählten|contaron|ont compté|contaram) )")
+#: Phrases after which a person is named, by what they do there. Each stands with a small and a capital first letter.
+_LABELS = (
+    "Signed,|From:|Cc:|To:|Name:|Author:|Attn:|Attention:|Contact:|Contact :|Contacto:|Contato:|Ansprechpartner:|Ansprechpartnerin:|Contatto:|Nombre:|Nom:|Nome:|Autor:|Auteur:|Auteur :|Firmado,|Gezeichnet,|Signé,|Assinado,|"
+    "По словам|Контакт:|Подпись:|联系人：|联系人:|担当：|担当:"
+).split("|")
+_INTRODUCED = (
+    "my name is|I am|I'm|I’m|this is|on behalf of|mein Name ist|ich heiße|ich bin|im Namen von|me llamo|mi nombre es|soy|en nombre de|je m'appelle|je m’appelle|mon nom est|je suis|au nom de|"
+    "meu nome é|chamo-me|me chamo|sou|sou o|sou a|em nome de|according to|laut|según|selon|segundo|d'après|d’après|de acordo com|de acuerdo con"
+).split("|")
+_MADE_BY = [
+    f"{verb} {by}"
+    for verbs, by in (
+        ("transcribed written translated edited signed reviewed prepared sent drawn painted approved reported illustrated founded", "by"),
+        ("escrito escrita traducido traducida firmado firmada revisado revisada enviado enviada traduzido traduzida assinado assinada revisto revista", "por"),
+        ("écrit écrite traduit traduite signé signée relu relue envoyé envoyée", "par"), ("geschrieben übersetzt unterschrieben geprüft verfasst", "von"),
+    )
+    for verb in verbs.split()
+]
+_DONE_TO = (
+    "told|asked|ask for|thanked|met|meet|reach|reached|phone|phoned|called|emailed|contacted|visited|interviewed|married|invited|hired|informed|greeted|lists|knows|helped|"
+    "preguntar por|pregunte por|conocí a|llamó a|llame a|avisó a|invitó a|contactar a|demandez|rencontré|appelé|prévenu|invité|contacter|"
+    "fragen Sie nach|traf|treffe|rief|besuchte|kenne|fragte|grüßte|procure|conheci|chamou|convidou|contacte|avisou"
+).split("|")
+_BESIDE = [
+    f"{verb} {by}"
+    for verbs, preps in (
+        ("stay stays live lives work works worked spoke speak talked met talk", "with to"), ("queda quedan vive viven trabaja trabajan hablo habló hablé hablar reunió", "con"),
+        ("fica ficam mora moram trabalha trabalham falei falou falar reuniu", "com"), ("reste restent habite habitent travaille travaillent", "chez avec"), ("parlé parler parlez", "avec à"),
+        ("bleibt bleiben wohnt wohnen arbeitet arbeiten", "bei mit"), ("sprach sprechen rede redete", "mit"),
+    )
+    for verb in verbs.split() for by in preps.split()
+]
+_MEANT_FOR = [
+    f"{thing} {by}"
+    for things, by in (
+        ("parcel letter package message note invitation ticket room gift call", "for"), ("paquete carta mensaje nota regalo llamada encomenda mensagem recado presente", "para"),
+        ("colis lettre message mot paquet cadeau", "pour"), ("Paket Brief Nachricht Geschenk Anruf", "für"),
+    )
+    for thing in things.split()
+]
+#: Verbs whose subject is a person, spoken or signed.
+_SAID = (
+    "said|says|asked|replied|explained|answered|smiled|laughed|wrote|lives|retired|counted|signed|agreed|met|sagte|fragte|antwortete|erklärte|schrieb|wohnt|lachte|zählten|"
+    "dijo|preguntó|respondió|explicó|escribió|vive|contaron|a dit|a demandé|a répondu|a écrit|a expliqué|habite|ont compté|ont signé|disse|perguntou|respondeu|explicou|escreveu|mora|contaram"
+).split("|")
+#: Words of organisations, places and things; a name holds none of them. Words that begin sentences.
+_THINGS = re.compile(
+    r"(?:^|[ -])(?:Street|Road|Avenue|Lane|Project|Operation|Team|Group|Press|Archives?|Archiv|Library|University|Universität|College|School|Institute|Committee|Council|Company|Corporation|Bank|Museum|Hospital|Church|Station|Bridge|River|"
+    r"Lake|Mountain|Island|City|Town|Village|County|State|Republic|Ministry|Department|Office|Court|House|Hall|Park|Garden|Tower|Version|Release|Protocol|System|Server|Service|Software|License|Licence|Report|Record|Index|Catalogue|Registry|"
+    r"Society|Association|Foundation|Club|Union|Party|Army|Times|Journal|Review|Award|Prize|Festival|Conference|January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|"
+    r"Straße|Platz|Stadt|Verein|Gesellschaft|Bibliothek|Calle|Ciudad|Universidad|Biblioteca|Archivo|Rue|Ville|Université|Bibliothèque|Cidade|Universidade|Arquivo|New|North|South|East|West|Saint|San|Los|Las|Great)(?![\w])"
+)
+_OPENS = re.compile(
+    r"(?:The|This|That|These|Those|A|An|In|On|At|By|For|From|With|And|But|Or|If|When|While|After|Before|Since|It|He|She|We|They|You|I|My|Our|Your|His|Her|Their|There|Here|No|Not|All|Each|Every|Some|Many|One|Two|What|Who|How|Why|Where|"
+    r"Der|Die|Das|Den|Dem|Ein|Eine|Und|Aber|Wenn|Nach|Vor|Im|In|Am|Es|Er|Sie|Wir|Ich|El|La|Los|Las|Un|Una|Y|Pero|Cuando|En|De|Con|Le|Les|Une|Et|Mais|Quand|Dans|Avec|O|Os|As|Um|Uma|E|Mas|Quando|Em|Com) "
+)
+#: Titles start no name; they have their own form.
+_TITLE_FIRST = re.compile(rf"(?:{_TITLES}) ")
+_AFTER = re.compile(rf" ({_ANY})")
+_AFTER_LABEL = re.compile(rf" ?({_ANY})")
+_SUBJECT = re.compile(rf"(?<![\w.@-])(?:({_ANY}) (?:and|und|y|et|e) )?({_ANY})\Z")
+#: Letters before a verb that may hold its subjects.
+_SUBJECT_REACH = 110
+
+
+@lru_cache(maxsize=1)
+def _cues():
+    """Automaton over all phrases: (what it is, length) where one ends."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for kind, phrases in (("after", [*_INTRODUCED, *_MADE_BY, *_DONE_TO, *_BESIDE, *_MEANT_FOR]), ("label", _LABELS)):
+        for phrase in phrases:
+            for first in {phrase[0], phrase[0].upper()}:
+                out.add_word(first + phrase[1:], (kind, len(phrase)))
+    for verb in _SAID:
+        # a verb may be a phrase of its own too; the space before it keeps them apart
+        out.add_word(" " + verb, ("before", len(verb) + 1))
+    out.make_automaton()
+    return out
+
+
 _LOUD_HINTS = ("MR. ", "MRS. ", "MS. ", "DR. ", "PROF. ", "SR. ", "SRA. ", "DRA. ", "MME ", "M. ", "FRAU ", "HERR")
-_PAIR_HINT = re.compile(r" (?:counted|signed|wrote|agreed|met|zählten|contaron|ont compté|contaram) ")
 _CLOSING = re.compile(
-    r"(?m)^[ \t]*(?:Best wishes|Best regards|Kind regards|Warm regards|Regards|Sincerely|Yours sincerely|Yours|Cheers|Thanks|Un saludo|Saludos|Atentamente|Bien à vous|Cordialement"
+    r"(?m)^[ \t]*(?:Best wishes|Best regards|Best|All the best|Love|Thank you|Respectfully|Herzliche Grüße|Liebe Grüße|Beste Grüße|Grüße|Hochachtungsvoll|Un abrazo|Cordiales saludos|Bien cordialement|Amicalement|Abraços|Cumprimentos|Kind regards|Warm regards|Regards|Sincerely|Yours sincerely|Yours|Cheers|Thanks|Un saludo|Saludos|Atentamente|Bien à vous|Cordialement"
     r"|Viele Grüße|Mit freundlichen Grüßen|Atenciosamente|Um abraço|Com os melhores cumprimentos|С уважением|此致|敬具|सादर|ด้วยความเคารพ)[,;:]?[ \t]*\n+"
     rf"[ \t]*({_TURNED}|{_STRAIGHT})[ \t]*$"
 )
@@ -265,13 +339,29 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
             yield "identity_number", m.start(), m.end()
 
 
+def _person(t: str, start: int, end: int) -> bool:
+    """Whether a capitalised sequence can be a person: no word of a thing or place, and no word that begins sentences."""
+    return not _THINGS.search(t, start, end) and not _OPENS.match(t, start, end) and not _TITLE_FIRST.match(t, start, end)
+
+
 def _names(t: str) -> Iterator[tuple[int, int]]:
-    if _PAIR_HINT.search(t):
-        for m in _PAIRED.finditer(t):
+    for last, (kind, size) in _cues().iter(t):
+        end, start = last + 1, last + 1 - size
+        if t[end : end + 1].isalnum() and kind != "label" or kind == "after" and start and t[start - 1].isalnum():
+            continue
+        if kind == "before":
+            m = _SUBJECT.search(t[max(0, start - _SUBJECT_REACH) : start])
+            if m:
+                base = max(0, start - _SUBJECT_REACH)
+                spans = [(base + m.start(k), base + m.end(k)) for k in (1, 2) if m.group(k)]
+                # before a French verb M. is a title, elsewhere an initial
+                french = t.startswith((" a ", " ont ", " habite"), start)
+                if all(_person(t, *x) and not (french and t.startswith("M. ", x[0])) for x in spans):
+                    yield from spans
+            continue
+        m = (_AFTER if kind == "after" else _AFTER_LABEL).match(t, end)
+        if m and _person(t, *m.span(1)):
             yield m.span(1)
-            yield m.span(2)
-    for m in _CUED.finditer(t):
-        yield m.span(1)
     for m in _TITLED.finditer(t):
         if not m.start() or not t[m.start() - 1].isalnum():
             yield m.span(2)
