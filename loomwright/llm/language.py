@@ -13,7 +13,7 @@ bincount and one sort rank a block of segments.
 
 Defined results: null, empty and letterless texts have no language and score 0; repeated row
 ids are reported once; extra columns are ignored. Profiles are fitted on at most
-``MAX_SAMPLES`` labelled rows; without any, nothing has a language.
+``MAX_SAMPLES`` labelled rows of each label; without any, nothing has a language.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.runtime import map_arrow, spread, strings
 
-#: Bound on the labelled rows that a fit reads.
-MAX_SAMPLES = 2_000
+#: Samples that profiles are fitted on, of each label, and labels.
+MAX_SAMPLES, MAX_LABELS = 200, 200
 #: N-grams of a profile.
 PROFILE = 400
 #: Letters that a row needs to be judged.
@@ -299,8 +299,12 @@ class Judged:
 
 
 def fit(samples: DataFrame, label: str = "language", text: str = "text", order: str = "sample_id") -> Profiles:
-    """Profiles of at most ``MAX_SAMPLES`` labelled rows."""
-    rows = samples.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).orderBy(order, text).limit(MAX_SAMPLES).select(label, text).collect()
+    """Profiles of at most ``MAX_SAMPLES`` labelled rows of each label, the first by ``order``; ``MAX_LABELS`` labels at most."""
+    first = F.row_number().over(Window.partitionBy(label).orderBy(order, text))
+    known = samples.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(label, text, order)
+    rows = known.withColumn("__n", first).filter(F.col("__n") <= MAX_SAMPLES).select(label, text).limit(MAX_LABELS * MAX_SAMPLES + 1).collect()
+    if len(rows) > MAX_LABELS * MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_LABELS} labels of {MAX_SAMPLES} samples")
     return Profiles([(r[0], r[1]) for r in rows])
 
 

@@ -1,12 +1,15 @@
 """Main body of web pages by tree scoring over the lines of their text.
 
-A page's text is read as a tree: the page holds containers, a container holds neighbouring lines
-of one nature (paragraphs and their lists, or link lines). Paragraphs get points for length and
-commas and pass them to their container and, at half, to the page region around it; points are
-discounted by link density, the share of a line's characters that sit in link-like pieces
-(menus, breadcrumbs, action words, notices). The best container is the main body; containers
-beside it are kept if they have a small share of its score at least. With the body go the lists
-within it, the title line right above it, and a lone line between two of its parts.
+A page's text is read as a tree: the page holds regions, a region holds containers that stand
+close together, and a container holds neighbouring lines of one nature (paragraphs with their
+lists). Paragraphs get points for length and commas and pass them to their ancestors: whole to
+their container, half to their region, a quarter to the page. Points are discounted by link
+density, the share of a line's characters that sit in link-like pieces; what makes a piece
+link-like is its shape (short pieces between separators, menus of capitalised words, a call to do
+something on the site, a notice), of which the fixed words are one feature. The container with the
+most points, its own and what its region adds, is the main body; containers beside it, in its
+region or another, are kept if they have a small share of its points at least. With the body go the
+lists within it, the title line right above it, and a lone line between two of its parts.
 
 Lines are those between line feeds, numbered from 1; blank lines are neither body nor
 boilerplate. A page without any paragraph keeps its lines that don't look like links.
@@ -62,6 +65,18 @@ NOTICE = re.compile(
     r"^subscribe\b|newsletter\b|s'abonner|^suscr[ií]base|^assine|boletín|^share (?:this|on)|^seite teilen|^diese seite teilen|^partager|^compartir|^compartilhar|^powered by|^betrieben mit|^propulsé par|^fait avec|^funciona con|^desarrollado con|"
     r"^(?:terms|privacy|imprint|impressum|datenschutz|mentions légales|aviso legal|nutzungsbedingungen|condiciones|conditions)\b[^.]*$"
 )
+#: Verbs that call to do something on a site, first in a short line; and things one does it with.
+CALL = re.compile(
+    r"(?i)^(?:please )?(?:follow|join|like|share|subscribe|sign up|sign in|log in|register|download|click|tap|read more|see more|show more|load more|view all|learn more|get in touch|contact us|create an? account|get the|try our|"
+    r"folgen|folge|teilen|abonnieren|melden|registrieren|herunterladen|klicken|weiterlesen|mehr (?:lesen|anzeigen)|síganos|sigue|síguenos|únete|comparte|suscríbete|regístrate|descarga|haz clic|leer más|ver más|"
+    r"suivez|rejoignez|partagez|abonnez|inscrivez|téléchargez|cliquez|lire la suite|voir plus|siga|junte-se|partilhe|compartilhe|subscreva|inscreva|registe|baixe|descarregue|clique|leia mais|ver mais)\b"
+)
+SITE = re.compile(
+    r"(?i)\b(?:us|our|newsletters?|mailing list|e-?mails?|updates?|offers?|account|app|apps|social|media|facebook|twitter|instagram|youtube|linkedin|rss|feed|here|page|site|website|cookies?|friends|comments?|more|now|today|free|"
+    r"uns|unser\w*|konto|hier|seite|kostenlos|jetzt|nosotros|nuestr\w+|cuenta|aquí|página|gratis|ahora|nous|notre|nos|compte|ici|gratuit\w*|maintenant|nossos?|nossas?|conta|aqui|grátis|agora|redes|sociais|sociales|sociaux|réseaux|sozialen|medien)\b"
+)
+#: Words of a line that may still be a call.
+CALL_WORDS = 14
 _SEPARATED = re.compile(r" ?[|·»•›→] ?| > | / ")
 _BULLET = re.compile(r"^[ \t]*(?:[*•\-–+]|\d{1,2}[.)])[ \t]+")
 _ENDS = re.compile(r"[.!?…。！？।:;][\"'”’»）)\]]*$|[.!?…。！？][\"'”’»）)\]]*$")
@@ -72,9 +87,14 @@ def _words(line: str) -> int:
     return len(line.split()) + len(_SPACELESS.findall(line)) // 2
 
 
+def is_call(line: str) -> bool:
+    """A short sentence or phrase that calls to do something on the site."""
+    return _words(line) <= CALL_WORDS and bool(CALL.match(line)) and bool(SITE.search(line))
+
+
 def link_density(line: str) -> float:
-    """Share of the line in link-like pieces; 1 for menus, breadcrumbs and notices."""
-    if NOTICE.search(line) or SIDE_HEADINGS.match(line):
+    """Share of the line in link-like pieces; 1 for menus, breadcrumbs, calls and notices."""
+    if NOTICE.search(line) or SIDE_HEADINGS.match(line) or is_call(line):
         return 1.0
     bare = _BULLET.sub("", line).strip()
     if bare.lower() in MENU_WORDS:
@@ -111,6 +131,17 @@ class Line:
         self.points = (1 + commas + min(len(text) / 100, 3)) * (1 - self.density) if self.kind == "paragraph" else 0.0
 
 
+def regions_of(containers: list[list[int]], gap: int = 2) -> list[list[int]]:
+    """Numbers of the containers of every region: those with less than ``gap`` other lines between them."""
+    out: list[list[int]] = []
+    for k, c in enumerate(containers):
+        if k and c[0] - containers[k - 1][-1] <= gap:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    return out
+
+
 def boilerplate_lines(text: str | None) -> list[int]:
     """Numbers of the lines that aren't main body."""
     if not text:
@@ -133,12 +164,11 @@ def boilerplate_lines(text: str | None) -> list[int]:
     if not containers:
         return [i + 1 for i in full if lines[i].kind == "link"]
     own = [sum(lines[i].points for i in c) for c in containers]
-    # a region passes half of its neighbours' points on, so body parts around a heading support each other
-    score = []
-    for k, c in enumerate(containers):
-        near = [own[j] for j in (k - 1, k + 1) if 0 <= j < len(containers) and (c[0] - containers[j][-1] if j < k else containers[j][0] - c[-1]) <= 2]
-        score.append(own[k] + sum(near) / 2)
-    best = max(range(len(containers)), key=lambda k: (score[k], -k))
+    regions = regions_of(containers)
+    passed = [sum(own[k] for k in r) / 2 for r in regions]
+    page = sum(own) / 4
+    score = {k: own[k] + passed[n] - own[k] / 2 + page for n, r in enumerate(regions) for k in r}
+    best = max(score, key=lambda k: (score[k], -k))
     kept = {i for k, c in enumerate(containers) if k == best or own[k] >= SIBLING * own[best] for i in c}
     keep = set(kept)
     # the title stands right above the body, a heading alone between two parts of it

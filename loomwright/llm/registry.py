@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
-    return language.documents(table(spark, d, "text_rows"), language.fit(table(spark, d, "lang_samples"))).distinct()
+    return language.documents(table(spark, d, "text_rows"), language.fit(table(spark, d, "lang_samples"))).dropDuplicates(["row_id"])
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(table(spark, d, "text_rows"))
+    return pii.redacted(table(spark, d, "text_rows")).dropDuplicates(["row_id"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return mainbody.bodies(table(spark, d, "text_rows")).distinct()
+    return mainbody.bodies(table(spark, d, "text_rows")).dropDuplicates(["row_id"])
 
 
 def _budgets(spark: SparkSession, d: str, language: bool = True) -> tuple[DataFrame, DataFrame]:
