@@ -266,7 +266,7 @@ def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, n_pa
             for s in strings(batch.column(0)):
                 spans = [(p.terms, a, b) for p in document_passages(s, local) for a, b in zip(*p.spans()) if b > a]
                 spans = spans[:: -(-len(spans) // most) or 1]
-                yield pa.RecordBatch.from_arrays([pa.array([t[a:b].tolist() for t, a, b in spans], pa.list_(pa.int64())), pa.array([1.0] * len(spans))], names=["terms", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array([t[a:b].tolist() for t, a, b in spans], pa.list_(pa.int64())), pa.array([1.0] * len(spans), pa.float64())], names=["terms", "weight"])
 
     schema = documents.select(F.array(F.lit(0).cast("bigint")).alias("terms"), F.lit(1.0).alias("weight")).schema
     # a hash threshold: no text is sorted or moved to choose the sample
