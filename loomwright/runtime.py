@@ -111,7 +111,28 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
         return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
 
 
+def one_blas_thread() -> None:
+    """Keep a task's matrix products on its own core; threads that BLAS starts beside it only spin."""
+    import ctypes
+    import glob
+    import sys
+
+    numpy = sys.modules.get("numpy")
+    for library in glob.glob(os.path.join(os.path.dirname(numpy.__file__) + ".libs", "*openblas*")) if numpy else ():
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            try:
+                getattr(ctypes.CDLL(library), name)(1)
+                break
+            except (OSError, AttributeError):
+                continue
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` after the package has been shipped; every result column may be null."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
+        yield from function(batches)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
