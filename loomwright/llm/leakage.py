@@ -27,7 +27,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import operator
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -63,7 +62,7 @@ _PIECE = re.compile(r"[a-z0-9à-ɏа-ӿ]+|[^\W_]")
 
 
 def normal(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).lower()
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 def words(text: str) -> list[str]:
@@ -114,6 +113,13 @@ class Passages:
         starts = np.arange(0, max(1, n - size + stride), stride) if n else np.zeros(0, np.int64)
         self.starts, self.ends = starts, np.minimum(starts + size, n)
 
+        self._set: frozenset | None = None
+
+    def term_set(self) -> frozenset:
+        if self._set is None:
+            self._set = frozenset(self.terms.tolist())
+        return self._set
+
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Term positions of every passage."""
         return np.searchsorted(self.at, self.starts), np.searchsorted(self.at, self.ends)
@@ -194,12 +200,15 @@ def inverse_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
         memo: dict[str, int] = {}
         df = np.zeros(TERMS + 2, np.int64)
         for batch in batches:
+            every: list[int] = []
             for s in strings(batch.column(0)):
-                df[TERMS] += 1
                 held = document_passages(s, memo)
+                for p in held:
+                    df[TERMS + 1] += len(p.starts)
                 if held:
-                    df[np.unique(np.concatenate([p.terms for p in held]) if len(held) > 1 else held[0].terms)] += 1
-                    df[TERMS + 1] += sum(len(p.starts) for p in held)
+                    every += held[0].term_set().union(*[p.term_set() for p in held[1:]])
+            df[TERMS] += batch.num_rows
+            df[:TERMS] += np.bincount(np.array(every, np.int64), minlength=TERMS)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(df[hit])], names=["term", "n"])
 
@@ -340,7 +349,7 @@ class ItemIndex:
         of: dict[bool, list] = {False: [], True: []}
         #: By item: the terms of its passages, by their number in the file.
         self.passages: list[dict] = []
-        self.ids, self.streams, self.rare, self.grams, self.known = [], [], [], [], []
+        self.ids, self.streams, self.rare, self.grams, self.pairs = [], [], [], [], []
         self.has = np.zeros((len(items), TERMS + 1), bool)
         for item, lang, text in items:
             p = item_passages(text, lang, memo)
@@ -353,8 +362,7 @@ class ItemIndex:
             order = np.argsort(-idf[p.terms], kind="stable")[: max(3, len(p.terms) // 5)]
             self.rare.append(set(p.terms[order].tolist()))
             self.grams.append({tuple(p.stream[k : k + run]) for k in range(len(p.stream) - run + 1)})
-            # single words, or pairs of letters, of the item
-            self.known.append(frozenset(map(operator.add, p.stream, p.stream[1:])) if p.by_letters else frozenset(p.stream))
+            self.pairs.append(frozenset(zip(p.stream, p.stream[1:])))
             self.passages.append({len(of[p.by_letters]) + k: p.terms[a:b].tolist() for k, (a, b) in enumerate(zip(*p.spans()))})
             of[p.by_letters] += [at] * len(p.starts)
             self.has[at, p.terms] = True
@@ -383,23 +391,24 @@ class ItemIndex:
     def check(self, p: Passages, window: int, item: int, vector: int) -> tuple[str, float, float] | None:
         """(kind, share of the item passage in common, share of its rare terms) of a candidate that is a leak.
 
-        Subsequences are looked for only where enough single words (letter pairs, terms) agree for one.
+        Subsequences are looked for only where enough neighbouring words or letters (terms, for a
+        paraphrase) agree for one.
         """
         run = RUN_LETTERS if p.by_letters else RUN_WORDS
-        piece, stream, known = p.stream[p.starts[window] : p.ends[window]], self.streams[item], self.known[item]
-        agree = sum(map(known.__contains__, map(operator.add, piece, piece[1:]))) + 1 if p.by_letters else sum(map(known.__contains__, piece))
+        piece, stream = p.stream[p.starts[window] : p.ends[window]], self.streams[item]
+        agree = sum(map(self.pairs[item].__contains__, zip(piece, piece[1:]))) + 1
         if agree >= run and common_subsequence(stream, piece) >= run and any(tuple(piece[k : k + run]) in self.grams[item] for k in range(len(piece) - run + 1)):
             return "exact", 1.0, 1.0
+        answer = len(self.rare[item] & p.term_set()) / len(self.rare[item])
+        if answer < PARAPHRASE_ANSWER:
+            return None
         lo, hi = np.searchsorted(p.at, (p.starts[window], p.ends[window]))
         mine, asked = p.terms[lo:hi].tolist(), self.passages[item][vector]
         least = PARAPHRASE_SHARE * len(asked)
-        if sum(map(frozenset(asked).__contains__, mine)) < least:
+        if sum(map(frozenset(mine).__contains__, asked)) < least:
             return None
         share = common_subsequence(asked, mine) / max(1, len(asked))
-        if share < PARAPHRASE_SHARE:
-            return None
-        answer = len(self.rare[item].intersection(p.terms.tolist())) / len(self.rare[item])
-        return ("paraphrase", share, answer) if answer >= PARAPHRASE_ANSWER else None
+        return ("paraphrase", share, answer) if share >= PARAPHRASE_SHARE else None
 
     def leaks(self, texts: list[str | None], table: np.ndarray, memo: dict[str, int]) -> dict:
         """(text number, item) -> (kind, cosine, share, answer), the surest finding of each."""
