@@ -18,10 +18,13 @@ ALIASES = {
 CC_URL = r"(?i)https?://creativecommons\.org/(?:licenses/([a-z-]+)/([0-9.]+)|publicdomain/zero/([0-9.]+))"
 CC_NAME = r"(?i)^CC[ _-]*(BY(?:[ _-]*(?:NC|ND|SA)){0,2}|ZERO|0)[ _-]*([0-9]+(?:\.[0-9]+)?)$"
 
+#: Fixed value: white space of any script at the ends of a name.
+SPACE_AROUND = r"^[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+\z"
+
 
 def normalize(raw: Column) -> Column:
     """Canonical identifier; unknown expressions stay as they are, trimmed. Null stays null."""
-    value = F.trim(raw)
+    value = F.regexp_replace(raw, SPACE_AROUND, "")
     low = F.lower(value)
     part = lambda pattern, i: F.regexp_extract(value, pattern, i)
     out = F.when(low == "", F.lit(""))

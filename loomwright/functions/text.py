@@ -82,6 +82,25 @@ def word_ngrams(items: Column, width: int) -> Column:
     return _once(items, runs)
 
 
+def top_ngram_fraction(text: Column, width: int) -> Column:
+    """Share of a text's words in its most frequent n-gram; null where there are fewer words. Counted within the row: nothing is exploded."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(items) -> float | None:
+            items = [] if items is None else list(items)
+            if len(items) < width:
+                return None
+            counts: dict[tuple, int] = {}
+            for gram in zip(*[items[i:] for i in range(width)]):
+                counts[gram] = counts.get(gram, 0) + 1
+            return max(counts.values()) * width / len(items)
+
+        for series in batches:
+            yield series.map(one).astype("float64")
+
+    return F.pandas_udf(run, "double")(words(text))
+
+
 def _repeated_words(items: list[str], width: int) -> int:
     """Words in n-grams met before, a repeated n-gram skipping past itself."""
     seen: set[tuple] = set()

@@ -40,6 +40,12 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     return running_before(rows, list(order), F.lit(1), "copy_no", KEY).withColumn("copy_no", (F.col("copy_no") + 1).cast("int"))
 
 
+def unique_totals(rows: DataFrame) -> DataFrame:
+    """Documents and bytes by licence after deduplication; copies are equal, so digests and lengths suffice and no text moves."""
+    once = rows.groupBy(*KEY).agg(F.min(F.octet_length("text")).alias("bytes"))
+    return once.groupBy("license").agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes"))
+
+
 def totals(rows: DataFrame) -> DataFrame:
     """Seen, kept and duplicate rows."""
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kept"), (F.sum("n") - F.count(F.lit(1))).alias("duplicate"))

@@ -188,20 +188,49 @@ class Projection:
             self.aliases[every[0]] = every
             self.types[every[0]] = self.WIDEN.get(kind, "string")
 
-    def _raw(self, path: str) -> str:
-        quoted = path.split(".", 1)[-1].replace("\\", "\\\\").replace("'", "\\'")
-        return f"variant_get({'meta_doc' if path.startswith('meta.') else 'doc'}, '$[\"{quoted}\"]', 'variant')"
-
-    def table(self, rows: DataFrame) -> DataFrame:
-        """(file_id, line_no, <a typed column a canonical field>, failed_casts array<struct<field, raw, type>>)."""
-        view = rows.select("file_id", "line_no", F.expr("try_parse_json(payload)").alias("doc")).filter(F.schema_of_variant("doc").startswith("OBJECT"))
-        meta = "variant_get(doc, '$.meta', 'variant')"
-        view = view.withColumn("meta_doc", F.expr(f"CASE WHEN schema_of_variant({meta}) = 'STRING' THEN try_parse_json(CAST({meta} AS STRING)) WHEN schema_of_variant({meta}) LIKE 'OBJECT%' THEN {meta} END"))
-        columns, failures = [], []
+    def _raw(self, path: str) -> Column:
+        """Value of a field; a key is one segment, whatever dots, quotes or apostrophes it holds."""
+        nested = path.startswith("meta.")
+        key = path[len("meta.") :] if nested else path
+        at = '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+        return F.element_at(F.col("meta_map" if nested else "doc_map"), F.lit(key)) if '"' in key or "\\" in key else F.try_variant_get(F.col("meta_doc" if nested else "doc"), at, "variant")
+
+    def column_names(self) -> dict[str, str]:
+        """Field by column name: dots become underscores, a clash takes a number."""
+        out: dict[str, str] = {}
+        taken = {"file_id", "line_no", "failed_casts", "unreadable"}
         for name in sorted(self.aliases):
-            raw = "coalesce(" + ", ".join(self._raw(p) for p in self.aliases[name]) + ")"
+            base = column = name.replace(".", "_")
+            n = 2
+            while column.lower() in taken:
+                column, n = f"{base}_{n}", n + 1
+            taken.add(column.lower())
+            out[column] = name
+        return out
+
+    def table(self, rows: DataFrame, keep_unreadable: bool = False) -> DataFrame:
+        """(file_id, line_no, <a typed column a canonical field>, failed_casts array<struct<field, raw, type>>).
+
+        With ``keep_unreadable`` null, broken and non-object payloads stay as rows without values
+        whose only failed cast is the payload itself.
+        """
+        view = rows.select("file_id", "line_no", "payload", F.expr("try_parse_json(payload)").alias("doc"))
+        readable = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
+        view = view.withColumn("readable", readable).withColumn("doc", F.when(F.col("readable"), F.col("doc")))
+        if not keep_unreadable:
+            view = view.filter("readable")
+        meta = F.try_variant_get("doc", "$.meta", "variant")
+        kind = F.schema_of_variant(meta)
+        view = view.withColumn("meta_doc", F.when(kind == "STRING", F.expr("try_parse_json(CAST(try_variant_get(doc, '$.meta', 'variant') AS STRING))")).when(kind.startswith("OBJECT"), meta))
+        as_map = "map<string,variant>"
+        view = view.withColumn("doc_map", F.try_variant_get("doc", "$", as_map)).withColumn("meta_map", F.try_variant_get("meta_doc", "$", as_map))
+        columns, failures = [], []
+        for column, name in self.column_names().items():
+            raw = F.coalesce(*[self._raw(p) for p in self.aliases[name]])
             kind = self.types[name]
-            cast = f"try_variant_get({raw}, '$', '{kind}')" if kind != "string" else f"coalesce(try_variant_get({raw}, '$', 'string'), to_json({raw}))"
-            columns.append(F.expr(cast).alias(name.replace(".", "_")))
-            failures.append(F.expr(f"CASE WHEN {raw} IS NOT NULL AND NOT is_variant_null({raw}) AND ({cast}) IS NULL THEN named_struct('field', '{name}', 'raw', to_json({raw}), 'type', '{kind}') END"))
+            value = F.try_variant_get(raw, "$", kind) if kind != "string" else F.coalesce(F.try_variant_get(raw, "$", "string"), F.to_json(raw))
+            columns.append(value.alias(column))
+            told = F.struct(F.lit(name).alias("field"), F.to_json(raw).alias("raw"), F.lit(kind).alias("type"))
+            failures.append(F.when(raw.isNotNull() & ~F.is_variant_null(raw) & value.isNull(), told))
+        failures.append(F.when(~F.col("readable"), F.struct(F.lit("").alias("field"), F.col("payload").alias("raw"), F.lit("object").alias("type"))))
         return view.select("file_id", "line_no", *columns, F.filter(F.array(*failures), lambda x: x.isNotNull()).alias("failed_casts"))

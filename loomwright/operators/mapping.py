@@ -37,6 +37,15 @@ def path_values(document: Column, path: str) -> Column:
     return F.transform(values, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
 
 
+def declared_licenses(document: Column, path: str | None) -> tuple[Column, Column]:
+    """(identifier, raw) of the licences that a record declares, one or an array of them: each normalized, joined by AND; several are kept raw as a JSON array."""
+    if not path:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    values = F.filter(path_values(document, path if path.endswith("[]") else path + "[]"), lambda x: x != "")
+    raw = F.when(F.size(values) == 1, F.element_at(values, 1)).when(F.size(values) > 1, F.to_json(values))
+    return licenses.normalize_set(values), raw
+
+
 def mapped_text(document: Column, paths: list[str], fallback: list[str] = ()) -> Column:
     """Non-blank values of all paths joined by blank lines; the fallback where they give nothing."""
 
@@ -120,15 +129,19 @@ def turns_to_conversations(turns: DataFrame, conversation: str, turn: str, role_
     return turns.groupBy(conversation).agg(bare.alias("messages"))
 
 
-def best_path(node: dict, text: str, replies: str, rank: str, role_field: str | None = None, source_order: bool = False) -> list[tuple[str, str]]:
-    """Messages along the lowest ranks of a conversation tree; ties fall to the earlier reply."""
+def best_path(node: dict, text: str, replies: str, rank: str, role_field: str | None = None, source_order: bool = False, answering: str = "assistant") -> list[tuple[str, str]]:
+    """Messages along the lowest ranks of a conversation tree; ties fall to the earlier reply.
+
+    Where a field tells the roles, those of questions are anything but ``answering`` and answers
+    are it, in strict alternation.
+    """
     out, current, asking = [], node, True
     while current is not None:
         said = str(current.get(text) or "").strip()
         if not said:
             raise ValueError("empty message in a tree")
         who = "user" if asking else "assistant"
-        if role_field and str(current.get(role_field, who)).strip().lower() not in (who, {"user": "prompter", "assistant": "assistant"}[who]):
+        if role_field and (str(current.get(role_field) or "").strip().lower() == answering.lower()) == asking:
             raise ValueError("roles don't alternate")
         out.append((who, said))
         ranked = [(r.get(rank), i, r) for i, r in enumerate(current.get(replies) or [])]
@@ -139,13 +152,13 @@ def best_path(node: dict, text: str, replies: str, rank: str, role_field: str |
     return out
 
 
-def ranked_trees(document: Column, text: str = "text", replies: str = "replies", rank: str = "rank", source_order: bool = False) -> Column:
+def ranked_trees(document: Column, text: str = "text", replies: str = "replies", rank: str = "rank", source_order: bool = False, role_field: str | None = None, answering: str = "assistant") -> Column:
     """Messages of the best path through each JSON tree; null where the tree can't be read or lacks an answer."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(s):
             try:
-                path = best_path(json.loads(s), text, replies, rank, None, source_order)
+                path = best_path(json.loads(s), text, replies, rank, role_field, source_order, answering)
             except (ValueError, TypeError, AttributeError):
                 return None
             return [{"role": r, "content": c} for r, c in path] if len(path) > 1 else None

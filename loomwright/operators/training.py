@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import hashing
@@ -134,16 +134,29 @@ def bounded_shuffle(group: pd.DataFrame, seed: int, epoch: int, most_records: in
 
 
 def bounded_shuffled(rows: DataFrame, group: str, order: list[str], seed: int, epoch: int = 0, most_records: int = 1024, most_bytes: int = 64 << 20, parts: int = 64) -> DataFrame:
-    """Bounded shuffles within hash parts of every group: a hot group is many parts, each a task's worth of rows."""
+    """Bounded shuffles within seeded parts of every group, and the group's parts in a seeded order: (.., position) is total in a group.
+
+    The policy stands in for a shuffle of a group's shards and a reservoir over their stream:
+    parts take the place of shards (rows fall to them by a seeded hash), so a hot group is many
+    parts, each a task's worth of rows; a part's first position follows from the sizes of the
+    parts before it, which are counted without moving a row.
+    """
     kept = rows.columns
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    state = F.lit((seed + epoch * hashing.GOLDEN & hashing.MASK) - (1 << 63))
+    part = F.pmod(F.xxhash64(state, *order), F.lit(parts))
     salted = rows.withColumn("part", part)
+    # each group's parts in an order of its own
+    sizes = salted.groupBy(group, "part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy(F.xxhash64(state, group, "part"), "part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(group).alias("__group"), F.col("part").alias("__part"), F.coalesce(before, F.lit(0)).alias("__start"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return bounded_shuffle(pdf.sort_values(order, kind="stable"), seed, epoch, most_records, most_bytes)[[*kept, "part", "position"]]
 
     schema = salted.withColumn("position", F.lit(0).cast("bigint")).schema
-    return salted.groupBy(group, "part").applyInPandas(run, schema)
+    shuffled_parts = salted.groupBy(group, "part").applyInPandas(run, schema)
+    placed = shuffled_parts.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("part") == F.col("__part")))
+    return placed.select(*kept, (F.col("__start") + F.col("position")).alias("position"))
 
 
 # ---- conversations -------------------------------------------------------------------------

@@ -11,7 +11,8 @@ _PHONE = privacy.PHONE_CANDIDATE.pattern
 
 def _license(column: str) -> str:
     """Normalization of a licence column, in SQL."""
-    value, low = f"trim({column}, ' ')", f"lower(trim({column}, ' '))"
+    value = f"regexp_replace({column}, '{licenses.SPACE_AROUND}', '', 'g')"
+    low = f"lower({value})"
     url, name = licenses.CC_URL.removeprefix("(?i)"), licenses.CC_NAME.removeprefix("(?i)")
     part = lambda pattern, i: f"regexp_extract({value}, '{pattern}', {i}, 'i')"
     named = f"upper(translate({part(name, 1)}, ' _', '--'))"
@@ -91,7 +92,7 @@ SQL = {
         c AS (SELECT doc_id, n, g, count(*) AS c FROM g GROUP BY 1, 2, 3) SELECT doc_id, round(max(c) * 3 / n, 6) AS fraction FROM c GROUP BY doc_id, n""",
     "byte_targets": f"WITH {DOCS} SELECT (sum(bytes + 1) - 1)::BIGINT AS targets FROM docs",
     "epoch_targets": f"WITH {DOCS} SELECT (sum(bytes + 1) * 3 - 1)::BIGINT AS targets FROM docs",
-    "partition_targets": f"WITH {DOCS} SELECT sum(bytes)::BIGINT AS targets FROM docs",
+    "partition_targets": f"WITH {DOCS}, {HELD} SELECT sum(bytes)::BIGINT AS targets FROM docs WHERE doc_id::VARCHAR NOT IN (SELECT selection_id FROM held)",
     "byte_stats_by_source": f"WITH {DOCS} SELECT source, count(*) AS docs, sum(bytes)::BIGINT AS bytes, max(bytes)::INT AS largest FROM docs GROUP BY 1",
     "heldout_lowest_sha256": f"WITH {DOCS}, {HELD} SELECT selection_id FROM held",
     "heldout_stratified": f"WITH {DOCS}, {HELD}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score, selection_id) AS r FROM scored) SELECT selection_id FROM ranked ORDER BY r, source LIMIT (SELECT greatest(1, least(ceil(count(*) * 0.01), 256, count(*) - 1))::BIGINT FROM docs)",
@@ -103,9 +104,11 @@ SQL = {
     "step_capacity": f"WITH {DOCS}, s AS (SELECT ceil((sum(bytes + 1) - 1) / 1024)::BIGINT AS sequences FROM docs) SELECT sequences, ceil(sequences / 8)::BIGINT AS steps FROM s",
     "record_offsets": f"WITH {DOCS} SELECT doc_id, coalesce(sum(bytes + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM docs",
     "seeded_shuffle": f"WITH {DOCS} SELECT doc_id, {SCORE.format(key='doc_id::VARCHAR')} AS shuffle_key FROM docs",
-    "weighted_interleave_order": f"""WITH {ROWS}, w AS (SELECT corpus, length(corpus) AS weight FROM corpora WHERE corpus IN ('web/openpages', 'mail/devlists', 'books/almanacs')),
-        e AS (SELECT row_id, corpus, weight, coalesce(sum(token_count + 1) OVER (PARTITION BY corpus ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS emitted FROM first JOIN w ON source = corpus WHERE token_count > 0)
-        SELECT row_id, corpus, row_number() OVER (ORDER BY emitted * (SELECT round(product(weight))::BIGINT FROM w) // weight, corpus, row_id) AS position FROM e""",
+    "weighted_interleave_order": f"""WITH {ROWS}, w AS (SELECT DISTINCT corpus, greatest(length(corpus), 1) AS weight FROM (SELECT corpus FROM corpora UNION SELECT source FROM text_rows) WHERE corpus IS NOT NULL),
+        r AS (SELECT row_id, source AS corpus, CASE WHEN token_count >= 0 THEN token_count ELSE coalesce(octet_length(encode(text)), 0) END AS tokens FROM first),
+        e AS (SELECT row_id, corpus, weight, coalesce(sum(tokens + 1) OVER (PARTITION BY corpus ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS emitted FROM r JOIN w USING (corpus)),
+        m AS (SELECT *, emitted // weight AS whole, ((emitted % weight) * 1000000000000000000) // weight AS part FROM e)
+        SELECT row_id, corpus, row_number() OVER (ORDER BY whole, part, corpus, row_id) AS position FROM m""",
     "epoch_repetition": f"WITH {DOCS} SELECT epoch::INT AS epoch, source, count(*) AS docs FROM docs, range(3) t(epoch) GROUP BY 1, 2",
     "conversation_assemble": f"WITH {TURNS} SELECT conv_id, sha256({PAYLOAD}) AS payload_sha256 FROM turns GROUP BY 1 HAVING {VALID}",
     "conversation_validate": f"WITH {TURNS}, c AS (SELECT conv_id, {VALID} AS valid FROM turns GROUP BY 1) SELECT valid, count(*) AS conversations FROM c GROUP BY 1",
@@ -118,7 +121,7 @@ SQL = {
     "corpora_list": f"""WITH {SHARDS}, e AS (SELECT unnest(sources) AS corpus, docs, tokens, bytes FROM sh), s AS (SELECT corpus, count(*) AS shards, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens, sum(bytes)::BIGINT AS bytes FROM e GROUP BY 1)
         SELECT c.corpus, domain, coalesce(array_to_string(list_sort(list_distinct(licenses)), ','), '') AS licenses, coalesce(array_to_string(list_sort(list_distinct(languages)), ','), '') AS languages, coalesce(shards, 0) AS shards, coalesce(docs, 0) AS docs, coalesce(tokens, 0) AS tokens, coalesce(bytes, 0) AS bytes FROM corpora c LEFT JOIN s USING (corpus)""",
     "unknown_references": f"WITH {SHARDS} SELECT DISTINCT corpus, shard_id FROM (SELECT shard_id, unnest(sources) AS corpus FROM sh) WHERE corpus NOT IN (SELECT corpus FROM corpora WHERE corpus NOT LIKE 'archive/%')",
-    "reference_full_outer": "WITH a AS (SELECT DISTINCT shard_id FROM shards), b AS (SELECT shard_id, count(*) AS uses FROM text_rows WHERE shard_id % 7 <> 0 GROUP BY 1) SELECT shard_id, CASE WHEN a.shard_id IS NULL THEN 'missing' WHEN b.uses IS NULL THEN 'unreferenced' ELSE 'referenced' END AS state, coalesce(uses, 0) AS uses FROM a FULL JOIN b USING (shard_id)",
+    "reference_full_outer": "WITH a AS (SELECT DISTINCT shard_id FROM shards), b AS (SELECT shard_id, count(*) AS uses FROM text_rows WHERE shard_id IS NOT NULL GROUP BY 1) SELECT shard_id, CASE WHEN a.shard_id IS NULL THEN 'missing' WHEN b.uses IS NULL THEN 'unreferenced' ELSE 'referenced' END AS state, coalesce(uses, 0) AS uses FROM a FULL JOIN b USING (shard_id)",
     "longest_prefix_match": "WITH s(selection) AS (VALUES ('web'), ('web/openpages'), ('mail'), ('books/man'), ('civic/minutes')), p AS (SELECT DISTINCT source AS path FROM text_rows) SELECT path, arg_max(selection, length(selection)) AS selection FROM p JOIN s ON path = selection OR starts_with(path, selection || '/') GROUP BY 1",
     "modality_map_sums": "WITH e AS (SELECT max_repeats, unnest(map_entries(corpus_weights)) AS e FROM data_plans) SELECT max_repeats, e.key AS corpus, sum(e.value)::BIGINT AS weight FROM e GROUP BY 1, 2",
     "reconcile_totals": f"WITH {ROWS}, {SHARDS}, c AS (SELECT shard_id, count(*) AS n FROM first GROUP BY 1) SELECT shard_id, docs AS declared_docs, n AS computed_docs FROM (SELECT shard_id, docs FROM sh) FULL JOIN c USING (shard_id) WHERE docs IS DISTINCT FROM n",

@@ -1,4 +1,8 @@
-"""Ingestion as one lazy DataFrame: scan, map, redact, deduplicate, assess."""
+"""Ingestion: scan, map and redact once into a written table, then deduplicate and assess from it.
+
+The written table cuts the lineage, so that files are read, parsed and redacted once however often
+their rows are used; deduplication and reports read its narrow columns only.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from loomwright.functions import glob, privacy, text
 from loomwright.functions import license as licenses
 from loomwright.operators import dedup, mapping
 from loomwright.plans.profile import Input, Plan, Profile
+from loomwright.runtime import cut
 from loomwright.sources import probe, readers
 
 #: Canonical columns in their contractual order, with their types.
@@ -40,7 +45,7 @@ def canonical_view(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def _scan(spark: SparkSession, one: Input) -> DataFrame:
+def _scan(spark: SparkSession, one: Input, record_bytes: int) -> DataFrame:
     """(path, source, position, text, doc) of an input; doc is the record of mapped formats."""
     if one.format == "parquet":
         rows = spark.read.parquet(one.path)
@@ -53,6 +58,10 @@ def _scan(spark: SparkSession, one: Input) -> DataFrame:
     found = probe.files(spark, one.path)
     none = F.lit(None).cast("variant")
     if one.format in ("text", "markdown"):
+        if one.profile is None:
+            # files over the record size become chunks
+            small, large = found.filter(F.col("length") <= record_bytes), found.filter(F.col("length") > record_bytes)
+            return readers.text_files(small).unionByName(readers.chunked_text(large, record_bytes)).withColumn("doc", none)
         rows = readers.text_files(found).withColumn("doc", none)
         if one.profile is not None:
             rows = rows.withColumn("text", readers.bounded_text(F.col("text"), one.profile.options["start"], one.profile.options["stop"]))
@@ -87,23 +96,30 @@ def _mapped(rows: DataFrame, p: Profile) -> DataFrame:
         messages = mapping.chat_messages(mapping.path_values(doc, o["role"]), mapping.path_values(doc, o["content"]), o.get("role_aliases", {}), _first(doc, o.get("system")))
         body = F.when(mapping.valid_conversation(messages), mapping.encode_conversation(messages, _first(doc, o.get("tools"))))
     else:
-        messages = mapping.ranked_trees(F.to_json(doc), o["text"], o["replies"], o["rank"], o.get("missing_rank") == "source-order")
+        messages = mapping.ranked_trees(F.to_json(doc), o["text"], o["replies"], o["rank"], o.get("missing_rank") == "source-order", o.get("role"), o.get("assistant_role", "assistant"))
         body = F.when(mapping.valid_conversation(messages), mapping.encode_conversation(messages))
+    declared, declared_raw = mapping.declared_licenses(doc, o.get("license"))
     named = F.coalesce(_first(doc, o.get("source")), _first(doc, o.get("id")), F.col("source"))
     return rows.withColumns({
-        "text": body, "source": named, "license_raw": _first(doc, o.get("license")), "language": _first(doc, o.get("language")), "date": _first(doc, o.get("date")),
+        "text": body, "source": named, "license_raw": declared_raw, "declared": declared, "language": _first(doc, o.get("language")), "date": _first(doc, o.get("date")),
         "meta": mapping.mapped_meta(doc, o["meta"]) if o.get("meta") else F.lit(None).cast("string"),
         "main_content": mapping.main_content(doc, p.main_content) if p.main_content else F.lit(True),
     })
 
 
-def scanned(spark: SparkSession, one: Input, number: int) -> DataFrame:
-    """Rows of an input with their plan order and, where they are rejected, the reason."""
-    rows = _scan(spark, one)
+def scanned(spark: SparkSession, one: Input, number: int, record_bytes: int = 64 << 20, direct: bool = False) -> DataFrame:
+    """Rows of an input with their plan order and, where they are rejected, the reason.
+
+    An input that is read directly, without evidence that counts rejections, fails at an empty
+    record unless its profile skips them.
+    """
+    rows = _scan(spark, one, record_bytes)
     if "broken" not in rows.columns:
         rows = rows.withColumn("broken", F.lit(False))
     if one.profile is not None and one.format in ("json", "jsonl", "parquet"):
         rows = _mapped(rows, one.profile)
+    if "declared" not in rows.columns:
+        rows = rows.withColumn("declared", F.lit(None).cast("string"))
     for name in ("license_raw", "language", "date", "meta"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
@@ -112,8 +128,15 @@ def scanned(spark: SparkSession, one: Input, number: int) -> DataFrame:
     body = F.col("text")
     if one.profile is None or one.profile.replaces_nul:
         body = F.replace(body, F.lit("\x00"), F.lit(" "))
-    rows = rows.withColumn("text", body).withColumn("license", licenses.effective(F.col("license_raw"), one.license))
-    reason = F.when(F.col("broken"), "malformed").when(F.coalesce(F.trim(F.regexp_replace("text", r"\s", " ")), F.lit("")) == "", "empty")
+    rows = rows.withColumn("text", body).withColumn("license", F.coalesce(F.nullif("declared", F.lit("")), F.lit(one.license)))
+    empty = F.coalesce(F.trim(F.regexp_replace("text", r"\s", " ")), F.lit("")) == ""
+    stops = direct and one.profile is not None and one.profile.on_empty == "error"
+    told = F.raise_error(F.concat(F.lit("empty record: "), F.col("source"))).cast("string") if stops else F.lit("empty")
+    reason = F.when(F.col("broken"), F.lit("malformed"))
+    if "doc" in rows.columns and one.profile is not None and one.format in ("json", "jsonl", "parquet"):
+        # a record whose text path isn't there, or whose roles can't be read, isn't empty but unmapped
+        reason = reason.when(F.col("text").isNull(), F.lit("mapping"))
+    reason = reason.when(empty, told).when(F.octet_length("text") > record_bytes, F.lit("oversized"))
     if one.profile is not None and one.profile.license_policy:
         reason = reason.when(~glob.matches(F.col("license"), list(one.profile.license_policy)), "license-policy")
     return rows.withColumn("reject_reason", reason).select(F.lit(number).alias("input_no"), "path", "position", "source", "text", "license", "license_raw", "language", "date", "meta", "main_content", F.lit(one.profile is not None and one.profile.kind != "record-map" and one.format in ("json", "jsonl", "parquet")).alias("conversation"), "reject_reason")
@@ -121,7 +144,7 @@ def scanned(spark: SparkSession, one: Input, number: int) -> DataFrame:
 
 def scan_plan(spark: SparkSession, plan: Plan) -> DataFrame:
     plan.checked()
-    return reduce(DataFrame.unionByName, [scanned(spark, one, i) for i, one in enumerate(plan.inputs)])
+    return reduce(DataFrame.unionByName, [scanned(spark, one, i, plan.record_bytes, plan.direct) for i, one in enumerate(plan.inputs)])
 
 
 def redacted(rows: DataFrame) -> DataFrame:
@@ -134,12 +157,25 @@ def redacted(rows: DataFrame) -> DataFrame:
     }).drop("r", "s", "m")
 
 
+def written(scan: DataFrame) -> DataFrame:
+    """The scan, redacted and identified, written once; rejected rows keep their reason and lose their text."""
+    accepted = F.col("reject_reason").isNull()
+    blank = scan.withColumns({c: F.when(accepted, F.col(c)) for c in ("text", "meta")})
+    return cut(dedup.identified(redacted(blank)))
+
+
 def ingested(scan: DataFrame, seed: DataFrame | None = None) -> DataFrame:
-    """Canonical rows: redaction, then exact deduplication in plan order, then assessment of what is kept."""
-    rows = dedup.identified(redacted(scan.filter("reject_reason IS NULL")))
-    kept = dedup.survivors(rows, "input_no", "path", "position")
+    """Canonical rows: redaction, then exact deduplication in plan order, then assessment of what is kept.
+
+    Takes a scan or what ``written`` made of it. Winners come from digests and positions alone;
+    the wide rows meet them once, by position.
+    """
+    rows = (scan if "content_sha256" in scan.columns else written(scan)).filter("reject_reason IS NULL")
+    order = ["input_no", "path", "position"]
+    winners = rows.groupBy(*dedup.KEY).agg(F.min(F.struct(*order)).alias("first"))
     if seed is not None:
-        kept = dedup.without_seed(kept, seed)
+        winners = dedup.without_seed(winners, seed)
+    kept = rows.join(winners.select("first.*"), order, "left_semi")
     said = kept.withColumn("said", F.when(F.col("conversation"), mapping.conversation_text(F.col("text"))).otherwise(F.col("text")))
     assessed = said.withColumns({
         "email_addresses": text.has_email(F.col("said")), "boilerplate_content": text.boilerplate(F.col("said")), "repetitive_content": text.repetitive(F.col("said")),

@@ -103,6 +103,7 @@ class Plan:
     object_bytes: int = 256 << 20
     record_bytes: int = 64 << 20
     canonical_order: bool = False
+    direct: bool = False
 
     def checked(self) -> Plan:
         if not self.inputs:

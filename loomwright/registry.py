@@ -51,8 +51,7 @@ def shards_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_dedup_by_license(spark, d):
-    kept = dedup.survivors(documents(spark, d), "doc_id")
-    return kept.groupBy("license").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes"))
+    return dedup.unique_totals(documents(spark, d))
 
 
 def duplicate_groups(spark, d):
@@ -196,9 +195,7 @@ def word_counts(spark, d):
 
 
 def top_trigram_fraction(spark, d):
-    words = texts(spark, d).select("doc_id", text.words(F.col("text")).alias("w"))
-    grams = words.select("doc_id", F.size("w").alias("n"), F.explode(text.word_ngrams(F.col("w"), 3)).alias("g")).groupBy("doc_id", "n", "g").agg(F.count(F.lit(1)).alias("c"))
-    return grams.groupBy("doc_id", "n").agg(F.max("c").alias("top")).select("doc_id", F.round(F.col("top") * 3 / F.col("n"), 6).alias("fraction"))
+    return texts(spark, d).select("doc_id", F.round(text.top_ngram_fraction(F.col("text"), 3), 6).alias("fraction")).filter("fraction IS NOT NULL")
 
 
 def repetition_8gram(spark, d):
@@ -218,7 +215,8 @@ def epoch_targets(spark, d):
 
 
 def partition_targets(spark, d):
-    return training.partition_targets(documents(spark, d))
+    docs = documents(spark, d)
+    return training.partition_targets(sampling.training_part(docs, heldout_lowest_sha256(spark, d), "doc_id"))
 
 
 def byte_stats_by_source(spark, d):
@@ -476,7 +474,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_rows")
     stats = drift.statistics_once(rows)
-    return drift.Projection(stats, drift.changes(table(spark, d, "raw_files"), stats)).table(rows)
+    return drift.Projection(stats, drift.changes(table(spark, d, "raw_files"), stats)).table(rows, keep_unreadable=True)
 
 
 _HELPERS = {"documents", "first_rows", "shards_once", "texts", "table", "queries", "oracle_sql"}

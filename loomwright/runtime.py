@@ -45,8 +45,8 @@ def ship(spark: SparkSession) -> None:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan that has fewer splits than the cluster has cores; leave any other alone.
 
-    Only for CPU-heavy Python stages over a small file: a scan with two splits a core
-    or more is never shuffled.
+    Only for CPU-heavy Python stages over a small file: a scan with a split a core or more is
+    never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -55,8 +55,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a local one only where it is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or "file://" + os.path.join(tempfile.gettempdir(), "loomwright-shared")).rstrip("/")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gzip
 import io
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +20,37 @@ MEDIA = {"png": "89504E47", "jpeg": "FFD8FF", "gif": "47494638", "pdf": "2550444
 SAMPLE = 65_536
 
 
+def distinct_roots(roots: Iterable[str]) -> list[str]:
+    """Roots in order, each once and none below another, so that the source lists a file once."""
+    plain = sorted({r.rstrip("/") or "/" for r in roots})
+    return [r for r in plain if not any(r != other and r.startswith(other.rstrip("/") + "/") for other in plain)]
+
+
+def rejected_links(roots: Iterable[str]) -> list[str]:
+    """Symbolic links under roots of the local file system; other stores have none."""
+    found = []
+    for root in roots:
+        local = root.removeprefix("file://")
+        if "://" in local:
+            continue
+        walk = [(os.path.dirname(local), [], [os.path.basename(local)])] if not os.path.isdir(local) else os.walk(local)
+        found += [os.path.join(folder, name) for folder, folders, names in walk for name in (*folders, *names) if os.path.islink(os.path.join(folder, name))]
+    return sorted(found)
+
+
 def files(spark: SparkSession, *roots: str, pattern: str | None = None) -> DataFrame:
-    """Regular files under the roots: path, length, content; a file once. The source leaves out files without a byte."""
+    """Regular files under the roots: path, length, content; a file once. Links are an error; the source leaves out files without a byte.
+
+    Content is read where it is selected and never shuffled: roots are made distinct on the driver.
+    """
     ship(spark)
+    links = rejected_links(roots)
+    if links:
+        raise ValueError(f"symbolic links among the inputs: {links[:3]}")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(list(roots)).dropDuplicates(["path"])
+    return reader.load(distinct_roots(roots))
 
 
 def compression(content: Column) -> Column:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from loomwright.runtime import ship
 
 #: Limits and encodings of an object.
-ROW_GROUP_BYTES, OBJECT_BYTES, PAGE_BYTES, ZSTD_LEVEL = 64 << 20, 256 << 20, 1 << 20, 6
+ROW_GROUP_BYTES, OBJECT_BYTES, MOST_OBJECT_BYTES, PAGE_BYTES, ZSTD_LEVEL = 64 << 20, 256 << 20, 512 << 20, 1 << 20, 6
 PLAIN_COLUMNS = ("text", "source", "meta")
 PREFIX = "loomwright."
 
@@ -37,41 +40,100 @@ def assigned(rows: DataFrame, order: list[str], target: int = OBJECT_BYTES) -> D
     return rows.repartitionByRange(max(1, -(-int(total) // target)), *order).withColumn("object_no", F.spark_partition_id())
 
 
+class ObjectWriter:
+    """One object at a time: row groups of ``ROW_GROUP_BYTES`` logical bytes, a new object from ``OBJECT_BYTES`` encoded ones on.
+
+    Totals go to the footer when an object closes; it then moves to the name of its digest. An
+    object that is there already is hashed again and kept; other content under its name is an error.
+    """
+
+    def __init__(self, folder: str, kind: str, most: int = OBJECT_BYTES, group: int = ROW_GROUP_BYTES):
+        self.folder, self.kind, self.most, self.group = folder, kind, most, group
+        self.done: list[tuple] = []
+        self._held: list[pa.RecordBatch] = []
+        self._size, self._writer = 0, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self._held.append(batch)
+        self._size += batch.nbytes
+        if self._size >= self.group:
+            self._flush()
+
+    def _flush(self) -> None:
+        if not self._held:
+            return
+        body = pa.Table.from_batches(self._held).combine_chunks()
+        self._held, self._size = [], 0
+        if self._writer is None:
+            os.makedirs(self.folder, exist_ok=True)
+            self._path = os.path.join(self.folder, f".{os.getpid()}-{uuid.uuid4().hex}.tmp")
+            self._totals = {"bytes": 0, "records": 0, "tokens": 0}
+            self._licenses: set[str] = set()
+            self._writer = pq.ParquetWriter(
+                self._path, body.schema.remove_metadata(), compression="zstd", compression_level=ZSTD_LEVEL, data_page_size=PAGE_BYTES, data_page_version="2.0",
+                use_dictionary=[c for c in body.column_names if c not in PLAIN_COLUMNS], write_statistics=[c for c in body.column_names if c not in PLAIN_COLUMNS],
+            )
+        self._writer.write_table(body.replace_schema_metadata(None), row_group_size=body.num_rows)
+        self._totals["records"] += body.num_rows
+        self._totals["bytes"] += pc.sum(pc.binary_length(body.column("text"))).as_py() or 0
+        if "token_count" in body.column_names:
+            self._totals["tokens"] += pc.sum(body.column("token_count")).as_py() or 0
+        if "license" in body.column_names:
+            self._licenses.update(x for x in pc.unique(body.column("license")).to_pylist() if x)
+        if os.path.getsize(self._path) >= self.most:
+            self.close()
+
+    def close(self) -> None:
+        self._flush()
+        if self._writer is None:
+            return
+        bom = {**self._totals, "licenses": sorted(self._licenses)}
+        keys = {"record_kind": self.kind, "record_schema": "2", "records": str(bom["records"]), "tokens": str(bom["tokens"]), "content_bytes": str(bom["bytes"]), "bom": json.dumps(bom, sort_keys=True)}
+        self._writer.add_key_value_metadata({PREFIX + k: v for k, v in keys.items()})
+        self._writer.close()
+        self._writer = None
+        size = os.path.getsize(self._path)
+        if size > MOST_OBJECT_BYTES:
+            os.remove(self._path)
+            raise ValueError(f"an object of {size} bytes is over the limit")
+        digest = _digest(self._path)
+        final = os.path.join(self.folder, digest[:2], digest[2:4], digest)
+        os.makedirs(os.path.dirname(final), exist_ok=True)
+        if os.path.exists(final):
+            os.remove(self._path)
+            if _digest(final) != digest:
+                raise ValueError(f"{final} holds other content")
+        else:
+            os.replace(self._path, final)
+        self.done.append((final, bom["records"], size, digest))
+
+
+def _digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def write_objects(rows: DataFrame, folder: str, order: list[str], kind: str = "text", target: int = OBJECT_BYTES) -> DataFrame:
-    """Content-addressed Parquet objects with aggregates in their footers, a file a partition.
+    """Content-addressed Parquet objects with aggregates in their footers: (object, records, bytes, sha256).
 
-    ``folder`` is a file system path that all executors share. Returns (object, records, bytes,
-    sha256). A task writes under a temporary name and renames to the digest, so a repeated task
-    gives the same object.
+    ``folder`` is a file system path that all executors share. A task streams its range of the
+    order into row groups and objects, under a temporary name that becomes the digest, so a
+    repeated task gives the same objects.
     """
     ship(rows.sparkSession)
     placed = assigned(rows, order, target).drop("object_no").sortWithinPartitions(*order)
-    columns = placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        body = pa.Table.from_batches(held)
-        n_bytes = sum(len(t.encode()) for t in body.column("text").to_pylist() if t)
-        tokens = sum(t for t in body.column("token_count").to_pylist() if t) if "token_count" in columns else 0
-        licenses = sorted({x for x in body.column("license").to_pylist() if x}) if "license" in columns else []
-        bom = {"bytes": n_bytes, "licenses": licenses, "records": body.num_rows, "tokens": tokens}
-        footer = {PREFIX + "record_kind": kind, PREFIX + "record_schema": "2", PREFIX + "records": str(body.num_rows), PREFIX + "tokens": str(tokens), PREFIX + "content_bytes": str(n_bytes), PREFIX + "bom": json.dumps(bom, sort_keys=True)}
-        os.makedirs(folder, exist_ok=True)
-        temporary = os.path.join(folder, f".{os.getpid()}-{id(body)}.tmp")
-        with_stats = [c for c in columns if c not in PLAIN_COLUMNS]
-        pq.write_table(body.replace_schema_metadata(footer), temporary, compression="zstd", compression_level=ZSTD_LEVEL, data_page_size=PAGE_BYTES, data_page_version="2.0", write_statistics=with_stats)
-        with open(temporary, "rb") as f:
-            digest = hashlib.file_digest(f, "sha256").hexdigest()
-        final = os.path.join(folder, digest[:2], digest[2:4], digest)
-        os.makedirs(os.path.dirname(final), exist_ok=True)
-        size = os.path.getsize(temporary)
-        os.replace(temporary, final)
-        yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([body.num_rows]), pa.array([size]), pa.array([digest])], names=["object", "records", "bytes", "sha256"])
+        writer = ObjectWriter(folder, kind, target)
+        for batch in batches:
+            if batch.num_rows:
+                writer.add(batch)
+        writer.close()
+        if writer.done:
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*writer.done)], names=["object", "records", "bytes", "sha256"])
 
     written = placed.mapInArrow(run, "object string, records bigint, bytes bigint, sha256 string")
-    # one row an object; collected, so that the objects are written exactly once
+    # a row an object (of 256 MiB); collected, so that the objects are written exactly once
     return rows.sparkSession.createDataFrame(written.collect(), written.schema)
 
 
@@ -97,6 +159,58 @@ def verified(objects: DataFrame, found: DataFrame) -> DataFrame:
     return objects.join(now, "sha256", "left").filter(~F.col("sha256").eqNullSafe(F.col("now_sha256")) | ~F.col("bytes").eqNullSafe(F.col("now_bytes")))
 
 
+def footer_differences(objects: DataFrame, columns: list[str]) -> DataFrame:
+    """(object, difference): objects whose footer doesn't have the declared rows, the columns in their order, or keys that agree with its rows."""
+    foot = footers(objects.select(F.col("object").alias("path")))
+    both = objects.select("object", "records").join(foot, F.col("object") == F.col("path"))
+    key = lambda k: F.try_element_at("keys", F.lit(PREFIX + k))
+    rules = {
+        "rows": F.col("rows") != F.col("records"), "columns": F.col("columns") != F.array(*map(F.lit, columns)),
+        "footer-records": ~key("records").eqNullSafe(F.col("rows").cast("string")), "bom": ~F.get_json_object(key("bom"), "$.records").eqNullSafe(F.col("rows").cast("string")),
+    }
+    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return both.select("object", F.explode(broken).alias("difference"))
+
+
+def summarized(objects: DataFrame, tokens_of=None) -> DataFrame:
+    """(object, records, tokens, content_bytes) from footers where they hold all of it, else from a scan of that object."""
+    spark = objects.sparkSession
+    foot = footers(objects.select(F.col("object").alias("path")))
+    key = lambda k: F.try_element_at("keys", F.lit(PREFIX + k)).cast("bigint")
+    told = foot.select(F.col("path").alias("object"), key("records").alias("records"), key("tokens").alias("tokens"), key("content_bytes").alias("content_bytes"))
+    whole = told.filter("records IS NOT NULL AND tokens IS NOT NULL AND content_bytes IS NOT NULL")
+    lacking = [r.object for r in told.filter("records IS NULL OR tokens IS NULL OR content_bytes IS NULL").select("object").limit(100_001).collect()]
+    if len(lacking) > 100_000:
+        raise ValueError("more than 100,000 objects without totals")
+    if not lacking:
+        return whole
+    rows = spark.read.parquet(*lacking)
+    tokens = tokens_of(rows) if tokens_of else F.col("token_count")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
+    scanned = rows.groupBy(path.alias("object")).agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("content_bytes"))
+    return whole.unionByName(scanned)
+
+
+def export_native(objects: DataFrame, folder: str) -> DataFrame:
+    """(object, sha256, bytes, intact): verified objects copied under their digests, a task an object; a copy that is there is hashed again."""
+    ship(objects.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, digest in zip(pdf.object, pdf.sha256):
+                os.makedirs(folder, exist_ok=True)
+                final = os.path.join(folder, f"{digest}.parquet")
+                if not os.path.exists(final):
+                    temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+                    shutil.copyfile(path, temporary)
+                    os.replace(temporary, final)
+                out.append((final, digest, os.path.getsize(final), _digest(final) == digest))
+            yield pd.DataFrame(out, columns=["object", "sha256", "bytes", "intact"])
+
+    return objects.select("object", "sha256").mapInPandas(run, "object string, sha256 string, bytes bigint, intact boolean")
+
+
 # ---- JSON lines ---------------------------------------------------------------------------------------
 
 
@@ -124,10 +238,13 @@ def jsonl_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.concat(*pieces, F.lit("}")))
 
 
-def write_jsonl(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
-    """Write the lines in order and return their totals, to be compared with a manifest."""
+def write_jsonl(rows: DataFrame, path: str, order: list[str], declared: tuple[int, int] | None = None) -> DataFrame:
+    """Write the lines in order and return their totals; ``declared`` ones, a manifest's (docs, tokens), have to agree."""
     jsonl_lines(rows).orderBy(*order).select("line").write.text(path)
-    return rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
+    totals = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
+    if declared is not None and tuple(totals.first()) != tuple(declared):
+        raise ValueError(f"exported {tuple(totals.first())}, the manifest declares {tuple(declared)}")
+    return totals
 
 
 def single_record(rows: DataFrame, digest: str) -> DataFrame:

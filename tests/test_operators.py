@@ -90,8 +90,11 @@ def test_bounded_shuffle_keeps_every_row(spark):
     out = training.bounded_shuffled(rows, "g", ["id"], 5, most_records=8, most_bytes=50, parts=3).collect()
     assert sorted(r.id for r in out) == list(range(200))
     again = training.bounded_shuffled(rows, "g", ["id"], 5, most_records=8, most_bytes=50, parts=3).collect()
-    assert sorted((r.part, r.position, r.id) for r in out) == sorted((r.part, r.position, r.id) for r in again)
-    assert [r.id for r in sorted(out, key=lambda r: (r.part, r.position))] != sorted(r.id for r in out)
+    assert sorted((r.position, r.id) for r in out) == sorted((r.position, r.id) for r in again)
+    assert sorted(r.position for r in out) == list(range(200))  # one order over the whole group
+    assert [r.id for r in sorted(out, key=lambda r: r.position)] != sorted(r.id for r in out)
+    other = training.bounded_shuffled(rows, "g", ["id"], 5, epoch=1, most_records=8, most_bytes=50, parts=3).collect()
+    assert sorted((r.position, r.id) for r in out) != sorted((r.position, r.id) for r in other)
 
 
 def test_conversations(spark):

@@ -43,7 +43,7 @@ def test_readers(spark, tmp_path):
     rows = readers.mailboxes(probe.files(spark, str(tmp_path))).orderBy("position").collect()
     assert [r.text for r in rows] == ["Subject: a\n\none\n", "Subject: b\n\ntwo\n"] and rows[1].source.endswith("#message=2")
     with pytest.raises(ValueError):
-        list(readers.split_mbox("no envelope\nFrom x\n"))
+        list(readers.split_mbox("no envelope\nFrom x\n".split("\n")))
     assert readers.chunk_bounds("aé€😀".encode(), 4) == [(0, 3), (3, 6), (6, 10)]
     xml = b'<r xmlns:x="u"><head lic="MIT"><title>A &eacute;</title></head><body><p>One <b>two</b>.</p><fig><p>no</p></fig><p>Three.</p></body></r>'
     root = readers.parse_xml(xml)
