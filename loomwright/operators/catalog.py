@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.runtime import running_before
+
 NO_LICENSE = "(none declared)"
 MEASURES = ["docs", "tokens", "bytes"]
 
@@ -117,10 +119,58 @@ def unique_paths(*selections: DataFrame) -> DataFrame:
 
 def prune_oldest(objects: DataFrame, cap: int) -> DataFrame:
     """Objects to remove, oldest first, until the rest fits a cap; objects in use stay."""
-    newest = Window.orderBy(F.col("in_use").desc(), F.col("used_at").desc(), "sha256").rowsBetween(Window.unboundedPreceding, 0)
-    return objects.withColumn("kept_bytes", F.sum("bytes").over(newest)).filter((F.col("kept_bytes") > cap) & ~F.col("in_use")).drop("kept_bytes")
+    ranked = objects.withColumns({"__idle": ~F.col("in_use"), "__age": -F.col("used_at").cast("timestamp").cast("double")})
+    placed = running_before(ranked, ["__idle", "__age", "sha256"], F.col("bytes"), "__newer")
+    return placed.filter((F.col("__newer") + F.col("bytes") > cap) & ~F.col("in_use")).select(*objects.columns)
 
 
 def logical_path(manifest: Column) -> Column:
     """Path of a corpus from its manifest's path."""
     return F.regexp_replace(manifest, r"(?:/manifest)?\.(?:ya?ml|json)$", "")
+
+
+def source_of_artifact(artifacts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, root): the first declared root, by its position, that an artifact lies in or is; no root is an error when it's read.
+
+    As with ``longest_prefix`` an artifact explodes into its own prefixes, which equi-join the roots.
+    """
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    each = artifacts.select("path", F.explode(prefixes).alias("root")).join(roots.select("root", "position"), "root")
+    first = each.groupBy("path").agg(F.min_by("root", "position").alias("root"))
+    lost = F.raise_error(F.concat(F.lit("no declared source holds "), F.col("path"))).cast("string")
+    return artifacts.select("path").distinct().join(first, "path", "left").select("path", F.coalesce("root", lost).alias("root"))
+
+
+def resolved_paths(declared: DataFrame, selected: DataFrame) -> DataFrame:
+    """(declared, path, fault): a selected path by its own or its logical name; none or several are a fault."""
+    names = selected.select(F.explode(F.array_distinct(F.array("path", logical_path(F.col("path"))))).alias("declared"), "path")
+    found = declared.select("declared").distinct().join(names, "declared", "left").groupBy("declared").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path"))
+    fault = F.when(F.col("n") == 0, "not selected").when(F.col("n") > 1, "ambiguous")
+    return found.select("declared", F.when(F.col("n") == 1, F.col("path")).alias("path"), fault.alias("fault"))
+
+
+def totals_with_usage(shards: DataFrame, usage: DataFrame) -> DataFrame:
+    """Totals by licence where shards of one licence give all their measures and others their usage by licence.
+
+    ``shards`` has (shard_id, licenses, docs, tokens, bytes), ``usage`` (shard_id, license, docs,
+    tokens); a shard of several licences counts once under each and gives no bytes to any.
+    """
+    key = F.coalesce(F.nullif("license", F.lit("")), F.lit(NO_LICENSE)).alias("license")
+    several = F.size(F.coalesce("licenses", F.array().cast("array<string>"))) > 1
+    single = shards.filter(~several).select(F.get("licenses", 0).alias("license"), *MEASURES)
+    each = usage.join(shards.filter(several).select("shard_id"), "shard_id", "left_semi").select("license", "docs", "tokens", F.lit(0).cast("bigint").alias("bytes"))
+    return single.unionByName(each).groupBy(key).agg(F.count(F.lit(1)).alias("shards"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES])
+
+
+def tree_difference(staged: DataFrame, applied: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, state): files of a contribution that are missing, unexpected or of other content once it is applied."""
+    a, b = staged.select("path", F.col("sha256").alias("staged")), applied.select("path", F.col("sha256").alias("applied"))
+    every = expected.select("path").withColumn("expected", F.lit(True)).join(a, "path", "full_outer").join(b, "path", "full_outer")
+    state = F.when(F.col("expected").isNull(), "unexpected").when(F.col("staged").isNull() | F.col("applied").isNull(), "missing").when(F.col("staged") != F.col("applied"), "differs")
+    return every.select("path", state.alias("state")).filter("state IS NOT NULL")
+
+
+def rebuilt_sources(fresh: DataFrame, prior: DataFrame) -> DataFrame:
+    """Sources of a rebuilt manifest: fresh shards replace the old ones, contexts are kept by name or address."""
+    return preserved_context(fresh, prior)

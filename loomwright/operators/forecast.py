@@ -14,7 +14,7 @@ def flops(parameters: Column, tokens: Column) -> Column:
 
 
 def forecasts(runs: DataFrame, accelerators: DataFrame) -> DataFrame:
-    """Seconds and memory fit of every run on every accelerator and GPU count, fastest first.
+    """Seconds and memory fit of every run on every accelerator and GPU count; ``ordered_forecasts`` sorts them.
 
     The accelerator catalogue is the small side: a fixed list, checked by its size.
     """
@@ -33,10 +33,22 @@ def calibrations(evidence: DataFrame) -> DataFrame:
     row = F.struct("run_id", "flops", "seconds")
     return evidence.groupBy("accelerator", "gpus").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("flops").alias("flops"), F.sum("seconds").alias("seconds"), (F.sum("flops") / F.sum("seconds")).alias("flops_per_second"),
-        F.sha2(F.to_json(F.array_sort(F.collect_list(row))), 256).alias("evidence_sha256"),
+        # a set digest: sums of the rows' digests in 60-bit parts, so no group's evidence meets in one row
+        F.sha2(F.concat_ws(":", *[F.sum(F.conv(F.substring(F.sha2(F.to_json(row), 256), 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]), 256).alias("evidence_sha256"),
     )
 
 
+def calibrated(accelerators: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Profiles with the measured speed of their (accelerator, GPU count), 0 where none was measured."""
+    measured = calibrations.select("accelerator", "gpus", F.col("flops_per_second").alias("__speed"))
+    return accelerators.drop("calibrated_flops_per_second").join(measured, ["accelerator", "gpus"], "left").withColumn("calibrated_flops_per_second", F.coalesce("__speed", F.lit(0.0))).drop("__speed")
+
+
+def ordered_forecasts(rows: DataFrame) -> DataFrame:
+    """Slowest first, ties by manufacturer, accelerator and GPU count."""
+    return rows.orderBy(F.desc("seconds"), *[c for c in ("manufacturer", "accelerator", "gpus") if c in rows.columns])
+
+
 def recommended(presets: DataFrame, tokens: int) -> DataFrame:
     """The largest preset that the tokens suffice for."""
     return presets.filter(F.col("parameters") <= tokens // TOKENS_PER_PARAMETER).orderBy(F.desc("parameters"), "name").limit(1)

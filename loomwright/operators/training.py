@@ -15,6 +15,36 @@ PAD, BOS, EOS, OFFSET, VOCABULARY = 0, 1, 2, 3, 259
 MOST_WEIGHT = 1_000_000_000
 
 
+def selection_id(shard: Column, position: Column) -> Column:
+    """Identity of a record in a training set: its shard's digest and its row."""
+    return F.concat_ws(":", shard, position.cast("string"))
+
+
+def training_records(rows: DataFrame) -> DataFrame:
+    """The training view of canonical rows: (selection_id, id, text, source, license, language, corpus, messages, unreadable).
+
+    ``rows`` has shard_sha256, position and corpus beside the canonical columns, and ``conversation``
+    where rows may be encoded conversations; one that can't be decoded is told, not dropped.
+    """
+    talk = F.col("conversation") if "conversation" in rows.columns else F.lit(False)
+    messages = F.when(talk, F.from_json("text", "messages array<struct<role: string, content: string>>")["messages"])
+    return rows.select(
+        selection_id(F.col("shard_sha256"), F.col("position")).alias("selection_id"), F.sha2("text", 256).alias("id"), "text", "source", "license", F.coalesce("language", F.lit("")).alias("language"), "corpus",
+        messages.alias("messages"), (talk & messages.isNull()).alias("unreadable"),
+    )
+
+
+def ordered_shards(shards: DataFrame) -> DataFrame:
+    """(sha256, path, position): shards in the order in which they are read, by digest and path."""
+    return running_before(shards.select("sha256", "path"), ["sha256", "path"], F.lit(1), "position")
+
+
+def steps_within(sequences: DataFrame, batch: int, requested: int) -> DataFrame:
+    """(steps, reached): steps that the sequences suffice for, counted no further than asked; the scan stops there."""
+    some = sequences.select(F.lit(1).alias("one")).limit(batch * requested)
+    return some.agg(F.least(F.ceil(F.count(F.lit(1)) / F.lit(batch)), F.lit(requested)).cast("bigint").alias("steps")).withColumn("reached", F.col("steps") >= requested)
+
+
 def epochs(rows: DataFrame, n: int) -> DataFrame:
     """Every row once an epoch."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -58,6 +58,13 @@ WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lam
 _MATCH = "regexp_full_match(coalesce({c}, ''), '{p}')"
 _FLAG = {k: f"coalesce({k}, false)" for k in ("repetitive_content", "boilerplate_content")}
 
+
+
+def _optional(column: str, key: str) -> str:
+    """A member of a JSON line that is left out where it is null or empty."""
+    return f"""CASE WHEN coalesce({column}, '') <> '' THEN ',"{key}":' || to_json({column})::VARCHAR ELSE '' END"""
+
+
 SQL = {
     "exact_dedup_by_license": f"WITH {DOCS}, {SURVIVORS} SELECT license, count(*) AS docs, sum(bytes)::BIGINT AS bytes FROM kept GROUP BY 1",
     "duplicate_groups": f"WITH {DOCS} SELECT content_sha256, count(*) AS copies, min(doc_id) AS first_id FROM docs GROUP BY 1 HAVING count(*) > 1",
@@ -139,4 +146,24 @@ SQL = {
     "stream_event_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "stream_sliding_windows": "SELECT window_start, event_type, count(*) AS events FROM (SELECT unnest([time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS]) AS window_start, event_type FROM events) GROUP BY 1, 2",
     "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS events FROM s GROUP BY user_id, s",
+    "byte_encoding": """WITH b AS (SELECT doc_id, encode(text) AS e, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, n, list_transform(range(n), lambda i: ('0x' || substr(hex(e), 2 * i + 1, 2))::INT + 3) AS t FROM b)
+        SELECT doc_id, n::INT AS tokens, coalesce(list_sum(t), 0)::BIGINT AS sum, t[1:8] AS first_tokens FROM t""",
+    "jsonl_export_lines": f"""WITH {ROWS} SELECT row_id, sha256('{{"sha256":"' || sha256(text) || '","text":' || to_json(text)::VARCHAR || {_optional('source', 'source')} || {_optional('source_name', 'source_name')} || {_optional('license', 'license')} || {_optional('license_raw', 'license_raw')} || {_optional('language', 'lang')} || {_optional('date', 'date')}
+        || CASE WHEN coalesce(language_score, 0) <> 0 THEN ',"lang_score":' || language_score ELSE '' END || CASE WHEN coalesce(token_count, 0) <> 0 THEN ',"tokens":' || token_count ELSE '' END || CASE WHEN coalesce(meta, '') <> '' THEN ',"meta":' || meta ELSE '' END || '}}') AS line_sha256 FROM first WHERE text IS NOT NULL""",
+    "audit_violations": """WITH v AS (SELECT row_id, text, lower(hex(content_sha256)) AS h, token_count, language_score, meta FROM text_rows), s AS (
+        SELECT row_id, 'text-missing' AS rule FROM v WHERE text IS NULL OR text = '' UNION SELECT row_id, 'digest-differs' FROM v WHERE text IS NOT NULL AND h IS DISTINCT FROM sha256(text) UNION SELECT row_id, 'tokens-missing' FROM v WHERE token_count IS NULL OR token_count < 0
+        UNION SELECT row_id, 'score-out-of-range' FROM v WHERE language_score < 0 OR language_score > 1000 UNION SELECT row_id, 'meta-not-an-object' FROM v WHERE meta IS NOT NULL AND NOT (json_valid(meta) AND left(ltrim(meta), 1) = '{')
+        UNION SELECT row_id, 'content-repeated' FROM v WHERE sha256(text) IN (SELECT sha256(text) FROM v WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT row_id) > 1)) SELECT rule, count(*) AS rows FROM s GROUP BY 1""",
+    "duplicate_ids_audit": "SELECT DISTINCT row_id FROM text_rows WHERE sha256(text) IN (SELECT sha256(text) FROM text_rows WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT row_id) > 1)",
+    "heldout_byte_budget": f"""WITH RECURSIVE {DOCS}, scored AS (SELECT doc_id::VARCHAR AS selection_id, {SCORE.format(key='doc_id::VARCHAR')} AS score, bytes FROM docs), top AS (SELECT *, row_number() OVER (ORDER BY score, selection_id) AS n FROM (SELECT * FROM scored ORDER BY score, selection_id LIMIT 256)),
+        want AS (SELECT greatest(1, least(ceil(count(*) * 0.01), 256, count(*) - 1))::BIGINT AS w FROM docs),
+        f(n, used, taken, id) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR UNION ALL SELECT t.n, CASE WHEN f.used + t.bytes <= 20000 AND f.taken < w THEN f.used + t.bytes ELSE f.used END, CASE WHEN f.used + t.bytes <= 20000 AND f.taken < w THEN f.taken + 1 ELSE f.taken END, CASE WHEN f.used + t.bytes <= 20000 AND f.taken < w THEN t.selection_id END
+        FROM f JOIN top t ON t.n = f.n + 1, want) SELECT id AS selection_id FROM f WHERE id IS NOT NULL""",
+    "repetition_8gram": f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL), long AS (SELECT doc_id, w, len(w) AS n FROM w WHERE len(w) >= 50),
+        g AS (SELECT doc_id, n, unnest(list_transform(range(1, n - 1), lambda i: array_to_string(w[i:i + 2], chr(31)))) AS g FROM long), t AS (SELECT doc_id, max(c) * 3 / any_value(n) AS f FROM (SELECT doc_id, n, g, count(*) AS c FROM g GROUP BY 1, 2, 3) GROUP BY 1),
+        e AS (SELECT doc_id, n, list_transform(range(1, n - 6), lambda i: array_to_string(w[i:i + 7], chr(31))) AS e FROM long),
+        s(doc_id, pos, total, seen) AS (SELECT doc_id, 1, 0, []::VARCHAR[] FROM e WHERE len(e) > len(list_distinct(e)) UNION ALL SELECT s.doc_id, CASE WHEN list_contains(s.seen, e.e[s.pos]) THEN s.pos + 8 ELSE s.pos + 1 END, CASE WHEN list_contains(s.seen, e.e[s.pos]) THEN s.total + 8 ELSE s.total END, list_append(s.seen, e.e[s.pos]) FROM s JOIN e USING (doc_id) WHERE s.pos <= len(e.e)),
+        m AS (SELECT doc_id, max(total) AS total FROM s GROUP BY 1) SELECT w.doc_id, coalesce(t.f > 0.18 OR m.total / long.n > 0.12, t.f > 0.18, false) AS repetitive_content FROM w LEFT JOIN long USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "calibration_budget_sample": f"""WITH {DOCS}, o AS (SELECT doc_id, text, bytes, coalesce(sum(bytes) OVER (ORDER BY {SCORE.format(key='doc_id::VARCHAR')}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs), near AS (SELECT *, least(bytes, 100000 - start) AS room FROM o WHERE start < 100000),
+        k AS (SELECT doc_id, text, room, unnest(range(0, length(text) + 1)) AS k FROM near), c AS (SELECT doc_id, max(octet_length(encode(left(text, k)))) FILTER (octet_length(encode(left(text, k))) <= room) AS bytes FROM k GROUP BY 1) SELECT doc_id, bytes::INT AS bytes FROM c WHERE bytes > 0""",
 }

@@ -295,7 +295,9 @@ def bounded_shuffle(spark, d):
 
 
 def byte_encoding(spark, d):
-    return table(spark, d, "eval_items").select("item_id", training.byte_tokens(F.col("text")).alias("tokens"))
+    tokens = training.byte_tokens(F.col("text"))
+    total = F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return texts(spark, d).select("doc_id", F.size(tokens).alias("tokens"), total.alias("sum"), F.slice(tokens, 1, 8).alias("first_tokens"))
 
 
 def epoch_repetition(spark, d):
@@ -458,7 +460,8 @@ def event_sessions(spark, d):
 def jsonl_export_lines(spark, d):
     from loomwright.sources import sinks
 
-    return sinks.jsonl_lines(first_rows(spark, d, "text", "source", "license", "language", "date", "token_count").filter("text IS NOT NULL")).select("row_id", F.sha2("line", 256).alias("line_sha256"))
+    rows = first_rows(spark, d, "text", "source", "source_name", "license", "license_raw", "language", "language_score", "date", "token_count", "meta")
+    return sinks.jsonl_lines(rows.filter("text IS NOT NULL")).select("row_id", F.sha2("line", 256).alias("line_sha256"))
 
 
 def mapped_payloads(spark, d):
@@ -481,10 +484,14 @@ _HELPERS = {"documents", "first_rows", "shards_once", "texts", "table", "queries
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in _HELPERS}
+    from loomwright import scenarios
+
+    own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in _HELPERS}
+    return own | scenarios.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from loomwright.oracle import SQL
+    from loomwright.scenarios_sql import SQL as FILES
 
-    return dict(SQL)
+    return {**SQL, **FILES}

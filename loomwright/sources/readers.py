@@ -216,7 +216,9 @@ def json_lines(found: DataFrame) -> DataFrame:
 def parsed_lines(lines: DataFrame, text_path: str = "text") -> DataFrame:
     """JSON lines with their document and, where it can't be read or lacks text, the reason."""
     doc = lines.withColumn("doc", F.expr("try_parse_json(text)"))
-    value = F.try_variant_get("doc", f"$.{text_path}", "string")
+    # an object or an array is no text
+    kind = F.schema_of_variant(F.try_variant_get("doc", f"$.{text_path}", "variant"))
+    value = F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get("doc", f"$.{text_path}", "string"))
     reason = F.when(F.col("doc").isNull() | ~F.schema_of_variant("doc").startswith("OBJECT"), "malformed").when(value.isNull(), "mapping").when(F.trim(value) == "", "empty")
     return doc.select("path", "source", "position", value.alias("text"), "doc", reason.alias("reject_reason"))
 
