@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def violations(rows: DataFrame, key: str, digest: str = "content_sha256", one_license: bool = True) -> DataFrame:
-    """(key, rule) of every broken rule. Contents may not repeat, whatever the licence, unless told otherwise."""
+def violations(rows: DataFrame, key: str, digest: str = "content_sha256", one_license: bool = True, recount: Column | None = None) -> DataFrame:
+    """(key, rule) of every broken rule. Contents may not repeat, whatever the licence, unless told otherwise.
+
+    ``recount`` gives a text's tokens under the tokenizer of the rows; recorded counts have to be it.
+    """
     hexed = F.lower(F.hex(digest)) if dict(rows.dtypes)[digest] == "binary" else F.lower(digest)
     meta = F.schema_of_variant(F.expr("try_parse_json(meta)"))
     rules = {
@@ -17,6 +20,8 @@ def violations(rows: DataFrame, key: str, digest: str = "content_sha256", one_li
         "score-out-of-range": (F.col("language_score") < 0) | (F.col("language_score") > 1000),
         "meta-not-an-object": F.col("meta").isNotNull() & ~F.coalesce(meta.startswith("OBJECT"), F.lit(False)),
     }
+    if recount is not None:
+        rules["tokens-differ"] = F.col("token_count").isNotNull() & ~F.col("token_count").eqNullSafe(recount)
     broken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())
     single = rows.select(key, F.explode(broken).alias("rule"))
     same = [F.sha2("text", 256).alias("content")] + ([] if one_license else ["license"])
@@ -40,6 +45,23 @@ def scrub(files: DataFrame) -> DataFrame:
     return files.select("path", "length", name.alias("name"), F.sha2("content", 256).alias("digest")).withColumn("intact", F.col("name") == F.col("digest"))
 
 
+def object_faults(declared: DataFrame, told: DataFrame, found: DataFrame) -> DataFrame:
+    """(sha256, fault) of an index against its objects, each checked once however many manifests name it.
+
+    ``declared`` has (manifest, sha256, docs, tokens, bytes), ``told`` the objects' own totals
+    (sha256, records, tokens, content_bytes), ``found`` what lies in the store (sha256 of the name,
+    digest of the content, as ``scrub`` gives them).
+    """
+    once = declared.groupBy("sha256").agg(F.min("docs").alias("docs"), F.min("tokens").alias("tokens"), F.min("bytes").alias("bytes"), (F.count_distinct("docs", "tokens", "bytes") > 1).alias("conflict"))
+    sums = told.select("sha256", "records", F.col("tokens").alias("told_tokens"), "content_bytes")
+    both = once.join(sums, "sha256", "left").join(found.select(F.col("name").alias("sha256"), "intact"), "sha256", "left")
+    rules = {
+        "missing": F.col("intact").isNull(), "broken": ~F.col("intact"), "conflict": F.col("conflict"), "docs": F.col("records") != F.col("docs"), "tokens": F.col("told_tokens") != F.col("tokens"), "bytes": F.col("content_bytes") != F.col("bytes"),
+    }
+    faults = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())
+    return both.select("sha256", F.explode(faults).alias("fault"))
+
+
 def attestation(footer: Column) -> Column:
     """How far a shard vouches for itself, from its footer's keys."""
     return F.when(F.array_contains(F.map_keys(footer), "loomwright.bom"), "embedded").when(F.array_contains(F.map_keys(footer), "loomwright.record_schema"), "implicit").otherwise("unattested")

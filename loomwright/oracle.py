@@ -131,13 +131,13 @@ SQL = {
     "reference_full_outer": "WITH a AS (SELECT DISTINCT shard_id FROM shards), b AS (SELECT shard_id, count(*) AS uses FROM text_rows WHERE shard_id IS NOT NULL GROUP BY 1) SELECT shard_id, CASE WHEN a.shard_id IS NULL THEN 'missing' WHEN b.uses IS NULL THEN 'unreferenced' ELSE 'referenced' END AS state, coalesce(uses, 0) AS uses FROM a FULL JOIN b USING (shard_id)",
     "longest_prefix_match": "WITH s(selection) AS (VALUES ('web'), ('web/openpages'), ('mail'), ('books/man'), ('civic/minutes')), p AS (SELECT DISTINCT source AS path FROM text_rows) SELECT path, arg_max(selection, length(selection)) AS selection FROM p JOIN s ON path = selection OR starts_with(path, selection || '/') GROUP BY 1",
     "modality_map_sums": "WITH e AS (SELECT max_repeats, unnest(map_entries(corpus_weights)) AS e FROM data_plans) SELECT max_repeats, e.key AS corpus, sum(e.value)::BIGINT AS weight FROM e GROUP BY 1, 2",
-    "reconcile_totals": f"WITH {ROWS}, {SHARDS}, c AS (SELECT shard_id, count(*) AS n FROM first GROUP BY 1) SELECT shard_id, docs AS declared_docs, n AS computed_docs FROM (SELECT shard_id, docs FROM sh) FULL JOIN c USING (shard_id) WHERE docs IS DISTINCT FROM n",
+    "reconcile_totals": f"WITH {ROWS}, {SHARDS}, c AS (SELECT shard_id, count(*) AS n, sum(token_count)::BIGINT AS t FROM first GROUP BY 1) SELECT shard_id, docs AS declared_docs, n AS computed_docs, tokens AS declared_tokens, t AS computed_tokens FROM (SELECT shard_id, docs, tokens FROM sh) FULL JOIN c USING (shard_id) WHERE docs IS DISTINCT FROM n OR tokens IS DISTINCT FROM t",
     "distinct_objects": "SELECT sha256, count(*) AS uses, min(bytes) AS bytes, count(DISTINCT bytes) > 1 AS conflict FROM shards GROUP BY 1",
-    "pin_bijection": "WITH a AS (SELECT shard_id, count(*) AS e FROM shards GROUP BY 1), b AS (SELECT shard_id, 1::BIGINT AS g FROM text_rows GROUP BY 1) SELECT shard_id, coalesce(e, 0) AS expected, coalesce(g, 0) AS given FROM a FULL JOIN b USING (shard_id) WHERE coalesce(e, 0) <> 1 OR coalesce(g, 0) <> 1",
+    "pin_bijection": f"WITH {SHARDS}, a AS (SELECT corpus, count(*) AS e FROM corpora GROUP BY 1), b AS (SELECT corpus, count(*) AS g FROM (SELECT unnest(sources) AS corpus FROM sh) GROUP BY 1) SELECT corpus, coalesce(e, 0) AS expected, coalesce(g, 0) AS given FROM a FULL JOIN b USING (corpus) WHERE coalesce(e, 0) <> 1 OR coalesce(g, 0) <> 1",
     "inventory_paths": "SELECT DISTINCT shard_id, shard_id % 2 = 0 AND regexp_full_match(sha256, '[0-9a-f]{64}') AS canonical FROM shards WHERE sha256 IS NOT NULL",
     "telemetry_latest": "SELECT user_id, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL) AS last_value, arg_max(event_type, (ts, event_id)) FILTER (event_type IS NOT NULL) AS last_event_type, arg_min(value, (ts, event_id)) FILTER (value IS NOT NULL) AS first_value, arg_min(event_type, (ts, event_id)) FILTER (event_type IS NOT NULL) AS first_event_type FROM events GROUP BY 1",
     "heldout_relative_change": "WITH e AS (SELECT user_id, arg_max(value, (ts, event_id)) AS l, arg_min(value, (ts, event_id)) AS f FROM events WHERE value IS NOT NULL GROUP BY 1), c AS (SELECT user_id, CASE WHEN f <> 0 THEN (l - f) / f END AS c FROM e) SELECT user_id, round(c, 6) AS change, CASE WHEN c > 0.25 THEN 'stop' WHEN c > 0.05 THEN 'inspect' WHEN c < -0.05 THEN 'note' ELSE 'none' END AS advice FROM c",
-    "step_regressions": "SELECT user_id, event_id, before FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE event_id <= before",
+    "step_regressions": "SELECT l_orderkey, l_linenumber, step, before FROM (SELECT l_orderkey, l_linenumber, l_partkey AS step, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS before FROM lineitem) WHERE step <= before",
     "heldout_loss": "WITH l AS (SELECT l_returnflag, sum(l_discount * 10 * l_quantity) / sum(l_quantity) AS loss FROM lineitem GROUP BY 1) SELECT l_returnflag, round(loss, 6) AS loss, round(exp(least(loss, 80)), 4) AS perplexity FROM l",
     "resource_forecast": """WITH a(accelerator, tflops, gpus, mem, cal) AS (VALUES ('small', 18.0::DOUBLE, 1, 8e9, 0.0::DOUBLE), ('medium', 120.0, 2, 2.4e10, 0.0), ('large', 400.0, 8, 8e10, 2.0e15)),
         r AS (SELECT accelerator, p_size * 1e8 * 16.0 <= mem * gpus * 0.9 AS fits, CASE WHEN cal > 0 THEN 6.0::DOUBLE * (p_size * 1e8) * (p_retailprice * 1e8) / cal ELSE 6.0::DOUBLE * (p_size * 1e8) * (p_retailprice * 1e8) / (tflops * 1e12 * gpus) * 1.08::DOUBLE END AS s FROM part, a)

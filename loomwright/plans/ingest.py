@@ -7,6 +7,7 @@ their rows are used; deduplication and reports read its narrow columns only.
 from __future__ import annotations
 
 import json
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import glob, privacy, text
 from loomwright.functions import license as licenses
 from loomwright.operators import dedup, mapping
-from loomwright.plans.profile import Input, Plan, Profile
+from loomwright.plans.profile import Input, Plan, Profile, choose_format
 from loomwright.runtime import cut
 from loomwright.sources import probe, readers
 
@@ -142,6 +143,23 @@ def scanned(spark: SparkSession, one: Input, number: int, record_bytes: int = 64
     return rows.withColumn("reject_reason", reason).select(F.lit(number).alias("input_no"), "path", "position", "source", "text", "license", "license_raw", "language", "date", "meta", "main_content", F.lit(one.profile is not None and one.profile.kind != "record-map" and one.format in ("json", "jsonl", "parquet")).alias("conversation"), "reject_reason")
 
 
+def planned(spark: SparkSession, roots: list[str], license: str, profiles: dict[str, Profile] | None = None, text_column: str | None = None, declared: dict[str, str] | None = None, most: int = 100_000) -> Plan:
+    """A plan over probed files: a file's format is detected unless ``declared`` for its suffix, and read by the profile of its format.
+
+    A plan names its files, so their number is bounded; more than ``most`` is an error.
+    """
+    found = probe.probed(probe.files(spark, *roots)).select("path", "format").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} files; plan folders apart")
+    inputs = []
+    for path, detected in sorted((r.path, r.format) for r in found):
+        local = path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:") else path
+        chosen = choose_format(detected, (declared or {}).get(os.path.splitext(local)[1]))
+        profile = (profiles or {}).get(chosen)
+        inputs.append(Input(local, chosen, license, profile, text_column if profile is None and chosen in ("parquet", "jsonl") else None))
+    return Plan(tuple(inputs)).checked()
+
+
 def scan_plan(spark: SparkSession, plan: Plan) -> DataFrame:
     plan.checked()
     return reduce(DataFrame.unionByName, [scanned(spark, one, i, plan.record_bytes, plan.direct) for i, one in enumerate(plan.inputs)])

@@ -374,9 +374,9 @@ def modality_map_sums(spark, d):
 
 
 def reconcile_totals(spark, d):
-    declared = shards_once(spark, d).select("shard_id", "docs")
-    counted = first_rows(spark, d, "shard_id").groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"))
-    return catalog.reconcile(declared, counted, "shard_id", ["docs"])
+    declared = shards_once(spark, d).select("shard_id", "docs", "tokens")
+    counted = first_rows(spark, d, "shard_id", "token_count").groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("token_count").alias("tokens"))
+    return catalog.reconcile(declared, counted, "shard_id", ["docs", "tokens"])
 
 
 def distinct_objects(spark, d):
@@ -384,7 +384,8 @@ def distinct_objects(spark, d):
 
 
 def pin_bijection(spark, d):
-    return catalog.bijection(table(spark, d, "shards").select("shard_id"), table(spark, d, "text_rows").select("shard_id").distinct(), "shard_id")
+    pins = table(spark, d, "corpora").select("corpus")
+    return catalog.bijection(pins, shards_once(spark, d).select(F.explode("sources").alias("corpus")), "corpus")
 
 
 def inventory_paths(spark, d):
@@ -416,7 +417,8 @@ def heldout_relative_change(spark, d):
 
 
 def step_regressions(spark, d):
-    return audit.not_increasing(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "before")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("step"), F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("at"))
+    return audit.not_increasing(lines, ["l_orderkey"], "at", "step").select("l_orderkey", "l_linenumber", "step", "before")
 
 
 def heldout_loss(spark, d):

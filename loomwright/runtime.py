@@ -79,11 +79,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/loomwright/{uuid.uuid4().hex}"
     df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    atexit.register(_drop, jvm.org.apache.hadoop.fs.Path(where), spark.sparkContext._jsc.hadoopConfiguration())
+    remove_at_exit(spark, where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+def remove_at_exit(spark: SparkSession, where: str) -> None:
+    """Delete a folder when the driver's process ends."""
+    atexit.register(_drop, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where), spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def running_before(df: DataFrame, order: list[str], value: Column, out: str, by: list[str] = ()) -> DataFrame:
     """Sum of ``value`` over the rows before each one, within ``by``, in ``order``; no task sorts a whole group.
 

@@ -120,8 +120,13 @@ def write_objects(rows: DataFrame, folder: str, order: list[str], kind: str = "t
     order into row groups and objects, under a temporary name that becomes the digest, so a
     repeated task gives the same objects.
     """
-    ship(rows.sparkSession)
-    placed = assigned(rows, order, target).drop("object_no").sortWithinPartitions(*order)
+    return stream_objects(assigned(rows, order, target).drop("object_no").sortWithinPartitions(*order), folder, kind, target)
+
+
+def stream_objects(placed: DataFrame, folder: str, kind: str = "text", target: int = OBJECT_BYTES) -> DataFrame:
+    """``write_objects`` for rows that stand in their order and partitions already."""
+    spark = placed.sparkSession
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ObjectWriter(folder, kind, target)
@@ -134,7 +139,7 @@ def write_objects(rows: DataFrame, folder: str, order: list[str], kind: str = "t
 
     written = placed.mapInArrow(run, "object string, records bigint, bytes bigint, sha256 string")
     # a row an object (of 256 MiB); collected, so that the objects are written exactly once
-    return rows.sparkSession.createDataFrame(written.collect(), written.schema)
+    return spark.createDataFrame(written.collect(), written.schema)
 
 
 def footers(paths: DataFrame) -> DataFrame:

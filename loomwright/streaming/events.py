@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators import dedup
-from loomwright.runtime import shared_folder
+from loomwright.runtime import cut, remove_at_exit, shared_folder
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -32,6 +32,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    remove_at_exit(spark, where)
     return spark.read.schema(stream.schema).parquet(f"{where}/out" if mode == "complete" else f"{where}/[0-9]*")
 
 
@@ -44,22 +45,32 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ingest_batch(batch: DataFrame, known: str) -> None:
-    """Append the identities and rows of a micro-batch that aren't in the table at ``known`` yet.
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    There is no event time to forget by, so the state is that table and not the stream's: each
-    batch is deduplicated in itself and against the table by an anti join on identities.
+
+def ingest_batch(batch: DataFrame, known: str, number: int) -> None:
+    """Write the rows of a micro-batch whose identities no other batch has, and their identities.
+
+    There is no event time to forget by, so the state is a table of identities and not the
+    stream's. It holds no texts and lies in folders by the digests' first two digits, of which a
+    batch reads those that it has. Both outputs stand in the batch's own folder, so that a batch
+    which is run again after a failure replaces what it wrote and meets all others but itself.
     """
     spark = batch.sparkSession
     rows = dedup.survivors(dedup.identified(batch), "source")
-    try:
-        rows = dedup.without_seed(rows, spark.read.parquet(known).select(*dedup.KEY))
-    except Exception as e:  # noqa: BLE001 - the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("append").parquet(known)
+    identities = f"{known}.identities"
+    bucket = F.substring("content_sha256", 1, 2)
+    if _there(spark, identities):
+        buckets = [r[0] for r in rows.select(bucket.alias("bucket")).distinct().collect()]  # 256 at most
+        seen = spark.read.schema("content_sha256 string, license string, batch_no bigint, bucket string").parquet(identities)
+        rows = dedup.without_seed(rows, seen.filter(F.col("bucket").isin(buckets) & (F.col("batch_no") != number)))
+    rows = cut(rows)
+    rows.write.mode("overwrite").parquet(f"{known}/batch_no={number}")
+    rows.select(*dedup.KEY, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{identities}/batch_no={number}")
 
 
 def ingest_stream(stream: DataFrame, known: str, checkpoint: str):
     """Deduplicating ingestion of a stream of (source, text, license); ends when all is read."""
-    return stream.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, known)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, known, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from loomwright import registry
 from loomwright.plans import ingest
 from loomwright.plans.profile import Input, Plan, Profile, choose_format
 from loomwright.sources import probe, readers, sinks
@@ -132,7 +133,7 @@ def test_entry_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(__import__("loomwright.oracle", fromlist=["SQL"]).SQL))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
 
