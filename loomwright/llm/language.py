@@ -235,18 +235,26 @@ class Profiles:
             keys = np.concatenate([(segment + i[lo:hi])[i[lo:hi] > 0] for i in ids])
             if not len(keys):
                 continue
-            counts = np.bincount(keys, minlength=BLOCK * self.size)
-            hit = np.flatnonzero(counts)
-            seg, gram = hit // self.size, hit % self.size
-            order = np.argsort((seg << 40) | ((65_535 - np.minimum(counts[hit], 65_535)) << 20) | gram)
-            seg, gram = seg[order], gram[order]
+            keys.sort()
+            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            hit, counts = keys[edge], np.diff(np.append(edge, len(keys)))
+            seg = hit // self.size
+            # frequent n-grams first within their segment; the sorted values hold all that is needed, so nothing is gathered
+            order = (seg << 40) | ((65_535 - np.minimum(counts, 65_535)) << 20) | (hit - seg * self.size)
+            order.sort()
+            seg, gram = order >> 40, order & 0xFFFFF
             begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
             which = seg[begin]
-            rank = np.arange(len(seg)) - np.repeat(begin, np.diff(np.append(begin, len(seg))))
-            keep = rank < PROFILE
-            off = np.minimum(np.abs(self.rank[:, gram] - rank), PROFILE) * keep
+            n = np.diff(np.append(begin, len(seg)))
+            rank = (np.arange(len(seg)) - np.repeat(begin, n)).astype(np.int32)
+            off = self.rank[:, gram]
+            off -= rank
+            np.abs(off, out=off)
+            np.minimum(off, PROFILE, out=off)
+            if n.max() > PROFILE:
+                off *= rank < PROFILE
+                n = np.minimum(n, PROFILE)
             sums = np.add.reduceat(off, begin, axis=1)
-            n = np.add.reduceat(keep, begin)
             distance[base + which] = (sums / (n * PROFILE)).T
             distinct[base + which] = n
         return distance, distinct
