@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,64 +58,77 @@ TOGETHER = 256
 SEED = 9
 
 _WORD = re.compile(r"[^\W_]+")
-_HAN = re.compile(r"[㐀-鿿]")
-_PIECE = re.compile(r"[a-z0-9à-ɏа-ӿ]+|[^\W_]")
+#: Factor of the polynomial hash of terms, odd, so that it has an inverse.
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def normal(text: str) -> str:
-    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: letter or digit, of an alphabet (its letters make words in a stream of letters), Han."""
+    every = np.frombuffer("".join(map(chr, range(0xD800))).encode("utf-32-le"), np.uint32)
+    known = np.zeros(0x110000, bool)
+    known[every] = [chr(c).isalnum() for c in range(0xD800)]
+    known[0xE000:] = [chr(c).isalnum() for c in range(0xE000, 0x110000)]
+    alphabet, han = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for lo, hi in ((0x30, 0x3A), (0x61, 0x7B), (0xE0, 0x250), (0x430, 0x500)):
+        alphabet[lo:hi] = True
+    han[0x3400:0xA000] = True
+    return known, alphabet, han
+
 
+_grown: list[tuple[np.ndarray, np.ndarray]] = []
 
-def words(text: str) -> list[str]:
-    """Maximal runs of letters and digits."""
-    return _WORD.findall(text)
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the factor and of its inverse, modulo 2 ** 64; a task keeps the longest it needed."""
+    if not _grown or len(_grown[0][0]) < n:
+        size = 1 << max(12, n.bit_length())
+        up, down = np.full(size, _FACTOR, np.uint64), np.full(size, pow(_FACTOR, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _grown[:] = [(np.cumprod(up), np.cumprod(down))]
+    return _grown[0]
 
-def letters(text: str) -> str:
-    """Letters and digits alone."""
-    return "".join(_WORD.findall(text))
 
+def _term_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash buckets of the strings between positions of an array of characters, whatever stands around them."""
+    up, down = _powers(len(codes) + 1)
+    sums = np.append(np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)]))
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(40)).astype(np.int64) & (TERMS - 1)
 
-def _buckets(terms: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Hash buckets of terms; a task remembers those it has met."""
-    out = list(map(memo.get, terms))
-    if None in out:
-        import xxhash
 
-        if len(memo) > 400_000:
-            memo.clear()
-        for i, b in enumerate(out):
-            if b is None:
-                out[i] = memo[terms[i]] = xxhash.xxh32_intdigest(terms[i]) & (TERMS - 1)
-    return np.array(out, np.int64)
+def normal(text: str) -> str:
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 class Passages:
-    """Passages of one text: by words, or by letters, as (start, end) over a stream of terms."""
+    """Passages of one text: by words, or by letters, as (start, end) over a stream of them, with the terms that begin in it."""
 
-    def __init__(self, text: str, by_letters: bool, size: int, stride: int, memo: dict[str, int]):
-        self.by_letters = by_letters
-        if by_letters:
-            self.stream: list[str] | str = letters(text)
-            # a term starts at its first letter: words of alphabets whole, other letters as pairs
-            at, terms = [], []
-            previous = None
-            for m in _PIECE.finditer(self.stream):
-                p = m.group()
-                at.append(m.start())
-                terms.append(p if len(p) > 1 or previous is None else previous + p)
-                previous = p if len(p) == 1 else None
-            self.at, self.terms = np.array(at, np.int64), _buckets(terms, memo)
-        else:
-            self.stream = words(text)
-            self.terms = _buckets(self.stream, memo)
-            self.at = np.arange(len(self.stream))
-        n = len(self.stream)
-        starts = np.arange(0, max(1, n - size + stride), stride) if n else np.zeros(0, np.int64)
-        self.starts, self.ends = starts, np.minimum(starts + size, n)
+    __slots__ = ("by_letters", "at", "terms", "starts", "ends", "n", "_codes", "_from", "_to", "_set")
 
+    def __init__(self, by_letters: bool, codes: np.ndarray, begin: np.ndarray | None, end: np.ndarray | None, at: np.ndarray, terms: np.ndarray, n: int, size: int, stride: int):
+        self.by_letters, self._codes, self._from, self._to = by_letters, codes, begin, end
+        self.at, self.terms, self.n = at, terms, n
+        self.starts = np.arange(0, max(1, n - size + stride), stride) if n else np.zeros(0, np.int64)
+        self.ends = np.minimum(self.starts + size, n)
         self._set: frozenset | None = None
 
+    def piece(self, lo: int = 0, hi: int | None = None) -> list[str] | str:
+        """Words, or letters, of a part of the stream."""
+        hi = self.n if hi is None else hi
+        if self.by_letters:
+            return self._codes[lo:hi].tobytes().decode("utf-32-le", "replace")
+        if hi <= lo:
+            return []
+        first, last = int(self._from[lo]), int(self._to[hi - 1])
+        return _WORD.findall(self._codes[first:last].tobytes().decode("utf-32-le", "replace"))
+
+    @property
+    def stream(self) -> list[str] | str:
+        return self.piece()
+
     def term_set(self) -> frozenset:
         if self._set is None:
             self._set = frozenset(self.terms.tolist())
@@ -125,22 +139,76 @@ class Passages:
         return np.searchsorted(self.at, self.starts), np.searchsorted(self.at, self.ends)
 
 
-def document_passages(text: str | None, memo: dict[str, int]) -> list[Passages]:
-    if not text:
-        return []
-    t = normal(text)
-    out = [Passages(t, False, 2 * RUN_WORDS, RUN_WORDS, memo)]
-    if _HAN.search(t):
-        out.append(Passages(t, True, 2 * RUN_LETTERS, RUN_LETTERS, memo))
-    return out
+#: Characters that are cut up at once; a text is never parted.
+TOGETHER_CHARS = 1 << 20
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Numbered normal texts in groups of bounded size; texts without anything are left out."""
+    group: list[tuple[int, str]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        if text:
+            t = normal(text)
+            if group and size + len(t) > TOGETHER_CHARS:
+                yield group
+                group, size = [], 0
+            group.append((i, t))
+            size += len(t)
+    if group:
+        yield group
+
+
+def cut_up(texts: list[str | None], words: tuple[int, int] | None, letters: tuple[int, int] | None, han_only: bool = True) -> Iterator[tuple[int, Passages]]:
+    """(text number, passages) of texts by words and by letters, each given as (size, stride); by letters only texts that hold Han, unless told otherwise."""
+    known, alphabet, han = _classes()
+    for group in _groups(texts):
+        raw = np.frombuffer("\n".join(t for _, t in group).encode("utf-32-le", "replace"), np.uint32)
+        sizes = np.array([len(t) for _, t in group])
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        end = begin + sizes
+        inside = known[raw]
+        if words:
+            before = np.append(False, inside[:-1])
+            starts = np.flatnonzero(inside & ~before)
+            ends = np.flatnonzero(np.append(before[1:] & ~inside[1:], inside[-1:])) + 1 if len(raw) else starts
+            terms = _term_hashes(raw, starts, ends)
+            lo, hi = np.searchsorted(starts, begin), np.searchsorted(starts, end)
+            for (i, _), a, b in zip(group, lo.tolist(), hi.tolist()):
+                if b > a:
+                    yield i, Passages(False, raw, starts[a:b], ends[a:b], np.arange(b - a), terms[a:b], b - a, *words)
+        if letters:
+            is_han = han[raw]
+            taken = np.logical_or.reduceat(is_han, np.minimum(begin, len(raw) - 1)) & (sizes > 0) if han_only else sizes > 0
+            if not taken.any():
+                continue
+            whole = np.flatnonzero(inside & np.repeat(taken, np.append(sizes[:-1] + 1, sizes[-1])))
+            if not len(whole):
+                continue
+            stream = raw[whole]
+            lo, hi = np.searchsorted(whole, begin), np.searchsorted(whole, end)
+            first = np.zeros(len(stream), bool)
+            first[lo[hi > lo]] = True
+            word = alphabet[stream]
+            # a term starts at its first letter: words of alphabets whole, other letters as pairs
+            starts = np.flatnonzero(~word | first | ~np.append(False, word[:-1]))
+            length = np.diff(np.append(starts, len(stream)))
+            pair = (length == 1) & np.append(False, length[:-1] == 1) & ~first[starts]
+            terms = _term_hashes(stream, starts - pair, starts + length)
+            at_lo, at_hi = np.searchsorted(starts, lo), np.searchsorted(starts, hi)
+            for k, (i, _) in enumerate(group):
+                if hi[k] > lo[k]:
+                    yield i, Passages(True, stream[lo[k] : hi[k]], None, None, starts[at_lo[k] : at_hi[k]] - lo[k], terms[at_lo[k] : at_hi[k]], int(hi[k] - lo[k]), *letters)
+
+
+def document_passages(texts: list[str | None]) -> Iterator[tuple[int, Passages]]:
+    return cut_up(texts, (2 * RUN_WORDS, RUN_WORDS), (2 * RUN_LETTERS, RUN_LETTERS))
 
 
-def item_passages(text: str | None, lang: str | None, memo: dict[str, int]) -> Passages | None:
-    if not text:
-        return None
-    if (lang or "").lower().startswith(("zh", "chinese", "zho")):
-        return Passages(normal(text), True, RUN_LETTERS, STRIDE_LETTERS, memo)
-    return Passages(normal(text), False, RUN_WORDS, STRIDE_WORDS, memo)
+def item_passages(text: str | None, lang: str | None) -> Passages | None:
+    by_letters = (lang or "").lower().startswith(("zh", "chinese", "zho"))
+    held = cut_up([text], None, (RUN_LETTERS, STRIDE_LETTERS), False) if by_letters else cut_up([text], (RUN_WORDS, STRIDE_WORDS), None)
+    return next((p for _, p in held), None)
 
 
 def _vectors(p: Passages, table: np.ndarray) -> np.ndarray:
@@ -197,18 +265,16 @@ def inverse_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
     """IDF of every hashed term over all documents, and the number of passages; a fixed number of counts reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
         df = np.zeros(TERMS + 2, np.int64)
         for batch in batches:
-            every: list[int] = []
-            for s in strings(batch.column(0)):
-                held = document_passages(s, memo)
-                for p in held:
-                    df[TERMS + 1] += len(p.starts)
-                if held:
-                    every += held[0].term_set().union(*[p.term_set() for p in held[1:]])
             df[TERMS] += batch.num_rows
-            df[:TERMS] += np.bincount(np.array(every, np.int64), minlength=TERMS)
+            for at in range(0, batch.num_rows, TOGETHER):
+                keys = []
+                for i, p in document_passages(strings(batch.slice(at, TOGETHER).column(0))):
+                    keys.append(p.terms + i * TERMS)
+                    df[TERMS + 1] += len(p.starts)
+                if keys:
+                    df[:TERMS] += np.bincount(np.unique(np.concatenate(keys)) & (TERMS - 1), minlength=TERMS)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(df[hit])], names=["term", "n"])
 
@@ -261,19 +327,17 @@ def _gram(sample: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, n_passages: int, rank: int = RANK) -> np.ndarray:
     """TERMS x rank right singular vectors of the passage matrix, by randomised subspace iteration."""
     spark = documents.sparkSession
-    memo: dict[str, int] = {}
     held = []
     for _, lang, text in items:
-        p = item_passages(text, lang, memo)
+        p = item_passages(text, lang)
         if p is not None:
             held += [(p.terms[a:b].tolist(), ITEM_WEIGHT) for a, b in zip(*p.spans()) if b > a]
     most = FIT_PASSAGES // 100
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local: dict[str, int] = {}
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in strings(batch.column(0)):
-                spans = [(p.terms, a, b) for p in document_passages(s, local) for a, b in zip(*p.spans()) if b > a]
+                spans = [(p.terms, a, b) for _, p in document_passages([s]) for a, b in zip(*p.spans()) if b > a]
                 spans = spans[:: -(-len(spans) // most) or 1]
                 yield pa.RecordBatch.from_arrays([pa.array([t[a:b].tolist() for t, a, b in spans], pa.list_(pa.int64())), pa.array([1.0] * len(spans), pa.float64())], names=["terms", "weight"])
 
@@ -281,7 +345,7 @@ def latent_basis(documents: DataFrame, items: list[tuple], idf: np.ndarray, n_pa
     # a hash threshold: no text is sorted or moved to choose the sample
     share = min(1.0, FIT_PASSAGES / max(1, n_passages))
     few = documents.select("text").filter(F.length("text") > 0).filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    corpus = map_arrow(few, cut_up, schema)
+    corpus = map_arrow(few, sampled, schema)
     sample = corpus.unionByName(spark.createDataFrame(held, schema)) if held else corpus
     sample = cut(sample.repartition(8))
     rng = np.random.default_rng(SEED)
@@ -344,7 +408,6 @@ class ItemIndex:
     """Latent vectors of a block of item passages in inverted files, and what the checks need of their items."""
 
     def __init__(self, items: list[tuple], table: np.ndarray, idf: np.ndarray):
-        memo: dict[str, int] = {}
         grouped: dict[bool, list] = {False: [], True: []}
         of: dict[bool, list] = {False: [], True: []}
         #: By item: the terms of its passages, by their number in the file.
@@ -352,17 +415,19 @@ class ItemIndex:
         self.ids, self.streams, self.rare, self.grams, self.pairs = [], [], [], [], []
         self.has = np.zeros((len(items), TERMS + 1), bool)
         for item, lang, text in items:
-            p = item_passages(text, lang, memo)
+            p = item_passages(text, lang)
             if p is None or not len(p.terms):
                 continue
             at, run = len(self.ids), RUN_LETTERS if p.by_letters else RUN_WORDS
             self.ids.append(item)
             grouped[p.by_letters].append(_vectors(p, table))
-            self.streams.append(p.stream)
+            stream = p.stream
+            self.streams.append(stream)
             order = np.argsort(-idf[p.terms], kind="stable")[: max(3, len(p.terms) // 5)]
             self.rare.append(set(p.terms[order].tolist()))
-            self.grams.append({tuple(p.stream[k : k + run]) for k in range(len(p.stream) - run + 1)})
-            self.pairs.append(frozenset(zip(p.stream, p.stream[1:])))
+            self.grams.append({tuple(stream[k : k + run]) for k in range(len(stream) - run + 1)})
+            run_of = p.terms.tolist()
+            self.pairs.append(frozenset(zip(stream, stream[1:])) if p.by_letters else frozenset(zip(run_of, run_of[1:])))
             self.passages.append({len(of[p.by_letters]) + k: p.terms[a:b].tolist() for k, (a, b) in enumerate(zip(*p.spans()))})
             of[p.by_letters] += [at] * len(p.starts)
             self.has[at, p.terms] = True
@@ -395,8 +460,10 @@ class ItemIndex:
         paraphrase) agree for one.
         """
         run = RUN_LETTERS if p.by_letters else RUN_WORDS
-        piece, stream = p.stream[p.starts[window] : p.ends[window]], self.streams[item]
-        agree = sum(map(self.pairs[item].__contains__, zip(piece, piece[1:]))) + 1
+        first, last, stream = int(p.starts[window]), int(p.ends[window]), self.streams[item]
+        near = p.piece(first, last) if p.by_letters else p.terms[first:last].tolist()
+        agree = sum(map(self.pairs[item].__contains__, zip(near, near[1:]))) + 1
+        piece = p.piece(first, last) if agree >= run else ()
         if agree >= run and common_subsequence(stream, piece) >= run and any(tuple(piece[k : k + run]) in self.grams[item] for k in range(len(piece) - run + 1)):
             return "exact", 1.0, 1.0
         answer = len(self.rare[item] & p.term_set()) / len(self.rare[item])
@@ -410,14 +477,13 @@ class ItemIndex:
         share = common_subsequence(asked, mine) / max(1, len(asked))
         return ("paraphrase", share, answer) if share >= PARAPHRASE_SHARE else None
 
-    def leaks(self, texts: list[str | None], table: np.ndarray, memo: dict[str, int]) -> dict:
+    def leaks(self, texts: list[str | None], table: np.ndarray) -> dict:
         """(text number, item) -> (kind, cosine, share, answer), the surest finding of each."""
         out: dict = {}
         held: dict[bool, list] = {kind: [] for kind in self.kinds}
-        for i, s in enumerate(texts):
-            for p in document_passages(s, memo):
-                if p.by_letters in held and len(p.terms):
-                    held[p.by_letters].append((i, p))
+        for i, p in document_passages(texts):
+            if p.by_letters in held and len(p.terms):
+                held[p.by_letters].append((i, p))
         for kind, each in held.items():
             if not each:
                 continue
@@ -453,11 +519,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     def search(block: list[tuple]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, memo = ItemIndex(block, table, idf), {}
+            index = ItemIndex(block, table, idf)
             for batch in batches:
                 for start in range(0, batch.num_rows, TOGETHER):
                     part = batch.slice(start, TOGETHER)
-                    found = index.leaks(strings(part.column(1)), table, memo)
+                    found = index.leaks(strings(part.column(1)), table)
                     at, rows = [i for i, _ in found], [(item, *how) for (_, item), how in found.items()]
                     columns = [[f[k] for f in rows] for k in range(5)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], kinds["item_id"]), pa.array(columns[1], pa.string()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=[f.name for f in schema])

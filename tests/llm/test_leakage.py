@@ -1,9 +1,12 @@
 """Leakage search without a session: the inverted file, runs in foreign contexts, edited items, and what each step gives."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomwright.llm import leakage
 
@@ -33,7 +36,7 @@ def _planted(rng, item, cut):
 
 
 def _kinds(index, items, docs):
-    found = index.leaks(docs, _table()[0], {})
+    found = index.leaks(docs, _table()[0])
     return [found.get((i, item[0]), ("none",))[0] for i, item in enumerate(items)], found
 
 
@@ -76,7 +79,7 @@ def test_edited_items_are_paraphrases():
     kinds, _ = _kinds(index, items, [_planted(rng, item, cut) for item in items])
     assert kinds.count("paraphrase") >= 0.9 * len(kinds)
     noise = [" ".join(_words(rng, 120)) for _ in range(40)] + ["".join(rng.choices(HAN, k=200)) for _ in range(20)]
-    assert not index.leaks(noise, _table()[0], {})
+    assert not index.leaks(noise, _table()[0])
 
 
 @pytest.mark.parametrize("step", ["common_subsequence", "near"])
@@ -89,9 +92,29 @@ def test_every_step_is_needed(monkeypatch, step):
         monkeypatch.setattr(leakage.InvertedFile, "near", lambda self, q, *a: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)))
     else:
         monkeypatch.setattr(leakage, step, lambda a, b: 0)
-    assert not index.leaks(docs, _table()[0], {})
+    assert not index.leaks(docs, _table()[0])
 
 
 def test_nothing():
     _, index = _made(random.Random(6))
-    assert not index.leaks([None, "", " ", "one", "。"], _table()[0], {}) and not leakage.ItemIndex([(1, "en", "..."), (2, None, None)], *_table()).leaks(["some words"], _table()[0], {})
+    assert not index.leaks([None, "", " ", "one", "。"], _table()[0]) and not leakage.ItemIndex([(1, "en", "..."), (2, None, None)], *_table()).leaks(["some words"], _table()[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abzé0я_ -\n石堂カท²"), max_size=40), max_size=5))
+def test_texts_are_cut_as_the_patterns_say(texts):
+    """Words, letters, terms and passages against the patterns, text by text."""
+    held = list(leakage.cut_up(texts, (4, 2), (6, 3)))
+    names: dict[str, int] = {}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\W_]+", leakage.normal(text))
+        stream = "".join(words)
+        mine = {p.by_letters: p for k, p in held if k == i}
+        assert (False in mine) == bool(words) and (True in mine) == (bool(stream) and bool(re.search("[㐀-鿿]", leakage.normal(text))))
+        for by_letters, p in mine.items():
+            whole = stream if by_letters else words
+            assert p.stream == whole and p.n == len(whole) and [p.piece(a, b) for a, b in zip(p.starts, p.ends)] == [whole[a:b] for a, b in zip(p.starts, p.ends)]
+            pieces = [(m.start(), m.group()) for m in re.finditer(r"[a-z0-9à-ɏа-ӿ]+|[^\W_]", stream)] if by_letters else list(enumerate(words))
+            assert p.at.tolist() == [a for a, _ in pieces]
+            terms = [t if not by_letters or len(t) > 1 or not k or len(pieces[k - 1][1]) > 1 else pieces[k - 1][1] + t for k, (_, t) in enumerate(pieces)]
+            assert all(names.setdefault(t, h) == h for t, h in zip(terms, p.terms.tolist()))
