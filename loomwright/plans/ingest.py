@@ -104,7 +104,7 @@ def _mapped(rows: DataFrame, p: Profile) -> DataFrame:
     return rows.withColumns({
         "text": body, "source": named, "license_raw": declared_raw, "declared": declared, "language": _first(doc, o.get("language")), "date": _first(doc, o.get("date")),
         "meta": mapping.mapped_meta(doc, o["meta"]) if o.get("meta") else F.lit(None).cast("string"),
-        "main_content": mapping.main_content(doc, p.main_content) if p.main_content else F.lit(True),
+        "main_content": F.when(doc.isNull(), F.lit(True)).otherwise(mapping.main_content(doc, p.main_content)) if p.main_content else F.lit(True),
     })
 
 

@@ -500,6 +500,178 @@ def filter_faults(spark, d):
     return spark.createDataFrame([(p, fault(p)) for p in patterns], "pattern string, fault boolean")
 
 
+# ---- ingestion, indexes, stores ---------------------------------------------------------------
+
+
+def _record_plan(spark, d):
+    """Items as records of two line files, the second repeating the first with other addresses, and a text file each."""
+    from loomwright.plans.profile import Input, Plan, Profile
+
+    where = folder(spark)
+    base = _items(spark, d)
+    doc = lambda address: F.to_json(F.struct(F.struct(F.concat(F.col("text"), F.lit(f" Write to {address}.")).alias("text"), F.col("item_id").cast("string").alias("id")).alias("body"), F.array(F.lit("MIT License"), F.when(F.col("item_id") % 2 == 0, "CC BY 4.0")).alias("lic"), (F.col("item_id") % 3 == 0).alias("main"), F.col("benchmark").alias("from")))
+    for name, address in (("a", "one@first.example"), ("b", "two@second.example")):
+        lines = base.groupBy(F.lit(name).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", doc(address).alias("j")))), lambda x: x["j"]), "\n").alias("content"))
+        put(lines.select(F.concat("n", F.lit(".jsonl")).alias("name"), F.concat("content", F.lit('\n\n{broken\n{"body":{"text":" "}, "main":false}\n')).alias("content")), where, F.lit("gzip" if name == "b" else ""))
+    profile = Profile("record-map", {"text": "body.text", "id": "body.id", "license": "lic", "meta": {"origin": "from", "ids": "body.id"}}, main_content={"main": False})
+    return ingest.scan_plan(spark, Plan(tuple(Input(f"{where}/{n}.jsonl", "jsonl", "LicenseRef-D", profile) for n in ("a", "b"))))
+
+
+def ingest_records(spark, d):
+    """Line files through mapping, redaction, deduplication by licence and assessment."""
+    kept = ingest.ingested(_record_plan(spark, d))
+    return kept.select(F.lower(F.hex("content_sha256")).alias("sha256"), "source", "license", "license_raw", "meta", "main_content", "email_addresses", "redacted_email_addresses", "token_count")
+
+
+def ingest_report(spark, d):
+    held = ingest.written(_record_plan(spark, d))
+    told = ingest.report(held, ingest.ingested(held))
+    return told.select("input", "seen", "retained", "duplicate", F.col("rejected")["malformed"].alias("malformed"), F.col("rejected")["empty"].alias("empty"))
+
+
+def planned_formats(spark, d):
+    """Formats that a plan finds in a folder of text and line files."""
+    where = folder(spark)
+    clean = F.regexp_replace("text", r'[<>&"\\\n\r\t]', " ")
+    line = F.concat(F.lit('{"text":"'), clean, F.lit('"}\n'))
+    put(_items(spark, d).filter("text <> ''").select(F.format_string("%d.bin", "item_id").alias("name"), F.when(F.col("item_id") % 2 == 0, clean).otherwise(F.concat(line, line)).alias("content")), where)
+    plan = ingest.planned(spark, [where], "MIT", text_column="text")
+    return spark.createDataFrame([(i.format, os.path.basename(i.path)) for i in plan.inputs], "format string, name string")
+
+
+def _index(spark, d, spoil: bool = False) -> str:
+    """An index of the corpora on disk: a manifest of its shards for each that has any."""
+    import json
+
+    from loomwright import registry
+
+    where = folder(spark)
+    shards = registry.shards_once(spark, d).filter("sha256 IS NOT NULL").select("sha256", F.get("sources", 0).alias("corpus"), "docs", "tokens", "bytes", "license").filter("corpus IS NOT NULL")
+    one = shards.groupBy("corpus", "sha256").agg(*[F.max(F.coalesce(m, F.lit(0))).alias(m) for m in catalog.MEASURES], F.max("license").alias("license"))
+    # the catalogue is of driver size: its manifests are documents
+    rows = one.orderBy("corpus", "sha256").limit(1_000_001).collect()
+    if len(rows) > 1_000_000:
+        raise ValueError("more than 1,000,000 shards in an index")
+    manifests: dict[str, list] = {}
+    for r in rows:
+        manifests.setdefault(r.corpus, []).append({"sha256": r.sha256, "docs": r.docs, "tokens": r.tokens, "bytes": r.bytes, "licenses": [r.license] if r.license else [], "sources": [r.corpus]})
+    names = [c.replace("/", "-") + ".json" for c in sorted(manifests)]
+    os.makedirs(where)
+    with open(f"{where}/index.json", "w", encoding="utf-8") as f:
+        json.dump({"entries": sorted(names)}, f)
+    for corpus, held in manifests.items():
+        body = {"name": corpus, "sources": [{"name": corpus}], "shards": held, "docs": sum(h["docs"] for h in held) + (1 if spoil else 0)}
+        if spoil and len(corpus) % 2:
+            body["sources"] = [{"name": corpus, "category": "web-crawl"}]
+        with open(f"{where}/{corpus.replace('/', '-')}.json", "w", encoding="utf-8") as f:
+            json.dump(body, f)
+    return where
+
+
+def index_bom(spark, d):
+    """Totals of a loaded index by manifest and licence, by manifest, and over all."""
+    from loomwright.operators import index
+
+    out = index.bom(index.shard_rows(spark, _index(spark, d)))
+    return out.select("level", "manifest", "license", "shards", "docs", "tokens", "bytes")
+
+
+def index_faults(spark, d):
+    """Faults of a sound index, none, and of one with wrong sums and sources without acquisition."""
+    from loomwright.operators import index
+
+    sound = index.verify(_index(spark, d))
+    found = index.verify(_index(spark, d, spoil=True))
+    rows = [(f.split(": ", 1)[0], f.split(": ", 1)[1].rsplit(": ", 1)[-1]) for f in found]
+    return spark.createDataFrame(rows, "manifest string, fault string").withColumn("sound", F.lit(len(sound)).cast("bigint"))
+
+
+def disclosure_gaps(spark, d):
+    from loomwright.operators import index
+
+    sources = table(spark, d, "corpora").select(F.col("corpus").alias("name"), "license", "collected_from", "collected_to", F.array_join("languages", ",").alias("languages"))
+    return index.disclosure_gaps(sources)
+
+
+def store_round_trip(spark, d):
+    """Items published to a store under their digests, journaled, fetched through a mirror that lacks them, and listed."""
+    import hashlib
+
+    from loomwright.sources import objects
+
+    where = folder(spark)
+    os.makedirs(where + "/local")
+    held = []
+    # the fixed held-out items: a few thousand small objects at most
+    for r in _items(spark, d).filter("text <> ''").limit(10_001).collect():
+        digest = hashlib.sha256(r.text.encode()).hexdigest()
+        with open(f"{where}/local/{r.item_id}", "wb") as f:
+            f.write(r.text.encode())
+        held.append((f"{where}/local/{r.item_id}", digest))
+    store, empty = objects.Store(spark, f"file://{where}/store"), objects.Store(spark, f"file://{where}/none")
+    objects.publish_all(held, store, objects.Journal(f"{where}/journal", "plan"))
+    fetched = {digest: os.path.getsize(objects.fetch_any([empty, store], digest, where + "/cache")) for _, digest in held}
+    there = dict(objects.available([empty, store], sorted(fetched.items())))
+    listed = objects.inventory(spark, f"{where}/store")
+    fetched_rows = spark.createDataFrame([(k, v, there[k]) for k, v in sorted(fetched.items())], "sha256 string, fetched bigint, available boolean")
+    return listed.join(fetched_rows, "sha256", "full_outer").select("sha256", "bytes", "fetched", "available")
+
+
+def objects_against_index(spark, d):
+    """Declared totals of shards against those of their rows, some objects missing or broken."""
+    shards = table(spark, d, "shards").filter("sha256 IS NOT NULL AND docs IS NOT NULL AND tokens IS NOT NULL AND bytes IS NOT NULL")
+    declared = shards.select(F.lit("m").alias("manifest"), "sha256", "docs", "tokens", "bytes")
+    told = declared.groupBy("sha256").agg(F.min("docs").alias("records"), (F.min("tokens") + F.min("docs") % 2).alias("tokens"), F.min("bytes").alias("content_bytes"))
+    found = declared.select(F.col("sha256").alias("name"), (F.substring("sha256", 1, 1) > "3").alias("intact")).distinct().filter(F.substring("name", 1, 1) != "f")
+    return audit.object_faults(declared, told, found)
+
+
+def handoff_inventory(spark, d):
+    """A hand-off manifest of item files against their folder, where one is gone, one is new and one differs."""
+    from loomwright.plans import contribution
+
+    where = folder(spark)
+    content = F.concat(F.lit("item "), F.col("item_id").cast("string"))
+    put(_items(spark, d).select(F.format_string("%d.txt", "item_id").alias("name"), content.alias("content")), where)
+    probed = lambda: probe.probed(probe.files(spark, where)).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "sha256", "bytes")
+    manifest = {"name": "items", **contribution.export_document("items", probed(), [])}
+    names = sorted(f["path"] for f in manifest["files"])
+    os.remove(f"{where}/{names[0]}")
+    with open(f"{where}/{names[1]}", "a") as f:
+        f.write("!")
+    with open(f"{where}/new.txt", "w") as f:
+        f.write("new")
+    return contribution.handoff_faults(manifest, probed())
+
+
+def worker_frames(spark, d):
+    """Frames of a worker's input over the items."""
+    items = _items(spark, d).filter("text IS NOT NULL")
+    lines = list(sinks.worker_lines({"run": 1}, items, ["item_id"]))  # the fixed held-out items
+    return spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n bigint, line string").select("n", F.sha2("line", 256).alias("line_sha256"))
+
+
+def calibration_text_digest(spark, d):
+    """The calibration sample as one text, bounded by its budget."""
+    from loomwright import registry
+    from loomwright.functions import hashing
+    from loomwright.operators import sampling
+
+    rows = registry.documents(spark, d).withColumn("score", hashing.evaluation_score(sampling.CALIBRATION_SEED, F.col("doc_id").cast("string")))
+    sample = sampling.calibration_sample(rows.select("doc_id", "text", "score"), ["score", "doc_id"])
+    return spark.createDataFrame([(sinks.calibration_text(sample, ["score", "doc_id"]),)], "body string").select(F.sha2("body", 256).alias("sha256"), F.octet_length("body").alias("bytes"))
+
+
+def manifest_document(spark, d):
+    """The manifest of written objects, read back."""
+    from loomwright.plans.profile import Input, Plan
+
+    objects = sinks.write_objects(_canonical(spark, d), folder(spark), ["row_id"])
+    body = ingest.manifest(Plan((Input("a", "text", "MIT"),)), objects, "all")
+    one = spark.createDataFrame([(body,)], "body string").select(F.from_json("body", "name string, plan string, records bigint, shards array<struct<sha256: string, records: bigint>>").alias("m"))
+    return one.select("m.name", F.length("m.plan").alias("plan_digits"), "m.records", F.aggregate("m.shards", F.lit(0).cast("bigint"), lambda a, x: a + x["records"]).alias("shard_records"))
+
+
 _NO_QUERIES = {"folder", "put", "table", "cut", "ship", "shared_folder"}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.oracle import _SPACE, HELD, DOCS, ROWS, SHARDS, TURNS, VALID, _elements, _license, _repeats
+from loomwright.oracle import _SPACE, DOCS, HELD, ROWS, SCORE, SHARDS, TURNS, VALID, _elements, _license, _repeats
 from loomwright.scenarios import text
 
 _EMAIL = text.EMAIL.replace("'", "''")
@@ -90,4 +90,24 @@ SQL = {
     "model_names": "SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '[^/]*green[^/]*|a[^/]*[a-m]|[^/]lue[^/]*')",
     "referential_inner_join": "WITH s AS (SELECT shard_id, min(format) AS format FROM shards GROUP BY 1) SELECT format, count(*) AS rows, count(*) FILTER (t.shard_id IS NULL) AS without_shard FROM text_rows t LEFT JOIN s ON s.shard_id = t.shard_id GROUP BY 1",
     "filter_faults": "SELECT * FROM (VALUES ('CC*', false), ('[a-', true), ('MIT\\', true), ('', true), ('a?', false), ('[]', true), ('Apache-[0-9]*', false)) t(pattern, fault)",
+    "ingest_records": """WITH r AS (SELECT item_id, text || ' Write to <EMAIL_ADDRESS>.' AS t, CASE WHEN item_id % 2 = 0 THEN 'CC-BY-4.0 AND MIT' ELSE 'MIT' END AS license, CASE WHEN item_id % 2 = 0 THEN '["MIT License","CC BY 4.0"]' ELSE 'MIT License' END AS license_raw, benchmark FROM eval_items WHERE text IS NOT NULL)
+        SELECT sha256(t) AS sha256, item_id::VARCHAR AS source, license, license_raw, '{"ids":"' || item_id || '","origin":' || to_json(benchmark)::VARCHAR || '}' AS meta, item_id % 3 <> 0 AS main_content, false AS email_addresses, 2 - 1::BIGINT AS redacted_email_addresses, octet_length(encode(t)) AS token_count
+        FROM r QUALIFY row_number() OVER (PARTITION BY t, license ORDER BY item_id) = 1""",
+    "ingest_report": """WITH k AS (SELECT count(*) AS n, count(DISTINCT (text, item_id % 2)) AS kept FROM eval_items WHERE text IS NOT NULL) SELECT 2 * n + 4 AS input, 2 * n AS seen, kept AS retained, 2 * n - kept AS duplicate, 2::BIGINT AS malformed, 2::BIGINT AS empty FROM k""",
+    "planned_formats": "SELECT CASE WHEN item_id % 2 = 0 THEN 'text' ELSE 'jsonl' END AS format, item_id || '.bin' AS name FROM eval_items WHERE text <> ''",
+    "index_bom": f"""WITH {SHARDS}, s AS (SELECT replace(sources[1], '/', '-') || '.json' AS manifest, sha256, max(coalesce(docs, 0)) AS docs, max(coalesce(tokens, 0)) AS tokens, max(coalesce(bytes, 0)) AS bytes, coalesce(max(license), '') AS license FROM sh WHERE sha256 IS NOT NULL AND sources[1] IS NOT NULL GROUP BY sources[1], sha256)
+        SELECT grouping_id(manifest, license)::BIGINT AS level, manifest, license, count(*) AS shards, sum(docs)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens, sum(bytes)::BIGINT AS bytes FROM s GROUP BY ROLLUP (manifest, license)""",
+    "index_faults": f"""WITH {SHARDS}, c AS (SELECT DISTINCT sources[1] AS corpus FROM sh WHERE sha256 IS NOT NULL AND sources[1] IS NOT NULL), f AS (SELECT corpus, 'docs differ from the shards'' sum' AS fault FROM c UNION ALL SELECT corpus, 'web-crawl needs acquisition details' FROM c WHERE length(corpus) % 2 = 1)
+        SELECT replace(corpus, '/', '-') || '.json' AS manifest, fault, 0::BIGINT AS sound FROM f""",
+    "disclosure_gaps": """SELECT section, field, name FROM (SELECT corpus AS name, unnest([{'section': 'data', 'field': 'license', 'v': license}, {'section': 'collection', 'field': 'collected_from', 'v': collected_from}, {'section': 'collection', 'field': 'collected_to', 'v': collected_to}, {'section': 'content', 'field': 'languages', 'v': array_to_string(languages, ',')}], recursive := true) FROM corpora) WHERE coalesce(v, '') = ''""",
+    "store_round_trip": "SELECT DISTINCT sha256(text) AS sha256, octet_length(encode(text)) AS bytes, octet_length(encode(text)) AS fetched, true AS available FROM eval_items WHERE text <> ''",
+    "objects_against_index": """WITH s AS (SELECT * FROM shards WHERE sha256 IS NOT NULL AND docs IS NOT NULL AND tokens IS NOT NULL AND bytes IS NOT NULL), o AS (SELECT sha256, min(docs) AS docs, count(DISTINCT (docs, tokens, bytes)) > 1 AS conflict FROM s GROUP BY 1)
+        SELECT sha256, fault FROM (SELECT sha256, 'missing' AS fault FROM o WHERE sha256[1] = 'f' UNION ALL SELECT sha256, 'broken' FROM o WHERE sha256[1] <= '3' UNION ALL SELECT sha256, 'conflict' FROM o WHERE conflict UNION ALL SELECT sha256, 'tokens' FROM o WHERE docs % 2 <> 0)""",
+    "handoff_inventory": """WITH n AS (SELECT item_id || '.txt' AS path, row_number() OVER (ORDER BY item_id || '.txt') AS r FROM eval_items) SELECT path, CASE r WHEN 1 THEN 'missing' ELSE 'differs' END AS state FROM n WHERE r <= 2 UNION ALL SELECT 'new.txt', 'unexpected'""",
+    "worker_frames": """WITH i AS (SELECT *, row_number() OVER (ORDER BY item_id) AS n FROM eval_items WHERE text IS NOT NULL), l AS (SELECT 0::BIGINT AS n, '{"kind":"begin","schema":1,"begin":{"run":1}}' AS line UNION ALL SELECT n, '{"kind":"record","schema":1,"record":{"item_id":' || item_id || ',"benchmark":' || to_json(benchmark)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}}' FROM i
+        UNION ALL SELECT count(*) + 1, '{"kind":"end","schema":1}' FROM i) SELECT n, sha256(line) AS line_sha256 FROM l""",
+    "calibration_text_digest": f"""WITH {DOCS}, o AS (SELECT doc_id, text, bytes, {SCORE.format(key='doc_id::VARCHAR')} AS score, coalesce(sum(bytes) OVER (ORDER BY {SCORE.format(key='doc_id::VARCHAR')}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs), near AS (SELECT *, least(bytes, 100000 - start) AS room FROM o WHERE start < 100000),
+        k AS (SELECT doc_id, score, text, room, unnest(range(0, length(text) + 1)) AS k FROM near), c AS (SELECT doc_id, any_value(score) AS score, any_value(text) AS text, max(k) FILTER (octet_length(encode(left(text, k))) <= room) AS k FROM k GROUP BY 1), j AS (SELECT string_agg(left(text, k), chr(10) || chr(10) ORDER BY score, doc_id) AS body FROM c WHERE k > 0)
+        SELECT sha256(body) AS sha256, octet_length(encode(body))::INT AS bytes FROM j""",
+    "manifest_document": f"WITH {CANONICAL} SELECT 'all' AS name, 64 AS plan_digits, count(*) AS records, count(*) AS shard_records FROM rows",
 }
