@@ -153,3 +153,19 @@ def disclosure_gaps(sources: DataFrame) -> DataFrame:
     gaps = [F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"))) for s, fields in asked.items() for f in fields if f in sources.columns]
     each = sources.select("name", F.explode(F.filter(F.array(*gaps), lambda x: x.isNotNull())).alias("g"))
     return each.select("g.section", "g.field", "name").orderBy("section", "field", "name")
+
+
+def disclosed_corpora(uses: DataFrame) -> DataFrame:
+    """(bom_sha256, corpus, uses, stages): every corpus once by its bill of materials, with the stages that use it, sorted. ``uses`` has (bom_sha256, corpus, stage), a row a use."""
+    return uses.groupBy("bom_sha256").agg(F.min("corpus").alias("corpus"), F.count(F.lit(1)).alias("uses"), F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("stages"))
+
+
+def gap_counts(gaps: DataFrame) -> DataFrame:
+    """Gaps by section and field, sorted, with their number and the first name."""
+    return gaps.groupBy("section", "field").agg(F.count(F.lit(1)).alias("gaps"), F.min("name").alias("first_name")).orderBy("section", "field")
+
+
+def kept_publications(published: DataFrame, assembled: DataFrame) -> DataFrame:
+    """(sha256, url, state): published objects that the assembly still has, and assembled ones that aren't published yet."""
+    both = assembled.select("sha256").distinct().join(published.select("sha256", "url").dropDuplicates(["sha256"]), "sha256", "left")
+    return both.select("sha256", "url", F.when(F.col("url").isNull(), "assembled").otherwise("published").alias("state"))

@@ -672,6 +672,57 @@ def manifest_document(spark, d):
     return one.select("m.name", F.length("m.plan").alias("plan_digits"), "m.records", F.aggregate("m.shards", F.lit(0).cast("bigint"), lambda a, x: a + x["records"]).alias("shard_records"))
 
 
+def disclosure_corpora(spark, d):
+    """Corpora that the data plans weigh, once each, with their uses and policies."""
+    from loomwright.operators import index
+
+    uses = table(spark, d, "data_plans").select(F.explode("corpus_weights").alias("corpus", "w"), F.coalesce("order_policy", F.lit("")).alias("stage"))
+    return index.disclosed_corpora(uses.select(F.sha2("corpus", 256).alias("bom_sha256"), "corpus", "stage"))
+
+
+def disclosure_gap_counts(spark, d):
+    from loomwright.operators import index
+
+    return index.gap_counts(disclosure_gaps(spark, d))
+
+
+def publication_states(spark, d):
+    """Shards of the older half published, those that rows use assembled."""
+    from loomwright.operators import index
+
+    shards = table(spark, d, "shards").filter("sha256 IS NOT NULL").groupBy("shard_id").agg(F.min("sha256").alias("sha256"), F.min("url").alias("url"), F.min("created_at").alias("created_at"))
+    middle = shards.agg(F.percentile_approx(F.col("created_at").cast("timestamp").cast("double"), 0.5, 1_000_000).alias("m"))
+    old = shards.join(middle, F.col("created_at").cast("timestamp").cast("double") < F.col("m")).select("sha256", F.coalesce("url", F.lit("")).alias("url"))
+    used = shards.join(table(spark, d, "text_rows").select("shard_id").distinct(), "shard_id", "left_semi")
+    return index.kept_publications(old, used).groupBy("state").agg(F.count(F.lit(1)).alias("objects"))
+
+
+def assessment_sums(spark, d):
+    """Flags and redactions of rows summed by source, against the sums of their shards."""
+    rows = table(spark, d, "text_rows")
+    shards = catalog.shard_summary(rows, ["source", "shard_id"]).drop("licenses")
+    declared = shards.groupBy("source").agg(*[F.sum(c).alias(c) for c in shards.columns if c not in ("source", "shard_id")])
+    # the manifest of one source tells another number
+    spoiled = declared.withColumn("email_addresses_records", F.col("email_addresses_records") + (F.col("source") == "web/openpages").cast("bigint"))
+    computed = catalog.shard_summary(rows, ["source"])
+    return catalog.reconcile(spoiled, computed, "source", ["records", "email_addresses_records", "repetitive_content_records", "redacted_email_addresses", "redacted_credentials"])
+
+
+def resolved_parameters(spark, d):
+    """Steps, capacity and defaults that each data plan's token budget resolves to."""
+    from loomwright.plans import parameters
+
+    rows = table(spark, d, "data_plans").select("plan_id", "requested_tokens", "shuffle_buffer_records").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("more than 100,000 plans")
+    out = []
+    for r in rows:
+        if r.requested_tokens:
+            x = parameters.resolve(parameters.Parameters(4, 256, 1e-3, tokens=r.requested_tokens, shuffle_records=r.shuffle_buffer_records, profile="balanced"))
+            out.append((r.plan_id, x.steps, x.epochs, x.token_capacity, x.warmup_steps, x.checkpoint_every, x.shuffle_records, x.order, round(x.rate_at(0), 12), round(x.rate_at(x.steps), 12)))
+    return spark.createDataFrame(out, "plan_id bigint, steps bigint, epochs bigint, token_capacity bigint, warmup_steps bigint, checkpoint_every bigint, shuffle_records bigint, policy string, first_rate double, last_rate double")
+
+
 _NO_QUERIES = {"folder", "put", "table", "cut", "ship", "shared_folder"}
 
 

@@ -110,4 +110,12 @@ SQL = {
         k AS (SELECT doc_id, score, text, room, unnest(range(0, length(text) + 1)) AS k FROM near), c AS (SELECT doc_id, any_value(score) AS score, any_value(text) AS text, max(k) FILTER (octet_length(encode(left(text, k))) <= room) AS k FROM k GROUP BY 1), j AS (SELECT string_agg(left(text, k), chr(10) || chr(10) ORDER BY score, doc_id) AS body FROM c WHERE k > 0)
         SELECT sha256(body) AS sha256, octet_length(encode(body))::INT AS bytes FROM j""",
     "manifest_document": f"WITH {CANONICAL} SELECT 'all' AS name, 64 AS plan_digits, count(*) AS records, count(*) AS shard_records FROM rows",
+    "disclosure_corpora": "WITH u AS (SELECT unnest(map_keys(corpus_weights)) AS corpus, coalesce(order_policy, '') AS stage FROM data_plans) SELECT sha256(corpus) AS bom_sha256, corpus, count(*) AS uses, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages FROM u GROUP BY corpus",
+    "publication_states": """WITH s AS (SELECT shard_id, min(sha256) AS sha256, min(url) AS url, min(created_at) AS created_at FROM shards WHERE sha256 IS NOT NULL GROUP BY 1), o AS (SELECT * FROM s WHERE created_at < (SELECT quantile_disc(created_at, 0.5) FROM s))
+        SELECT CASE WHEN sha256 IN (SELECT sha256 FROM o) THEN 'published' ELSE 'assembled' END AS state, count(DISTINCT sha256) AS objects FROM s WHERE shard_id IN (SELECT shard_id FROM text_rows) GROUP BY 1""",
+    "assessment_sums": """WITH c AS (SELECT source, count(*) AS r, count(*) FILTER (email_addresses) AS e, count(*) FILTER (repetitive_content) AS p, coalesce(sum(redacted_email_addresses), 0)::BIGINT AS re, coalesce(sum(redacted_credentials), 0)::BIGINT AS rc FROM text_rows WHERE source = 'web/openpages' GROUP BY 1)
+        SELECT source, r AS declared_records, e + 1 AS declared_email_addresses_records, p AS declared_repetitive_content_records, re AS declared_redacted_email_addresses, rc AS declared_redacted_credentials, r AS computed_records, e AS computed_email_addresses_records, p AS computed_repetitive_content_records, re AS computed_redacted_email_addresses, rc AS computed_redacted_credentials FROM c""",
+    "resolved_parameters": """WITH p AS (SELECT plan_id, ceil(requested_tokens / 1024)::BIGINT AS s, coalesce(shuffle_buffer_records, 1024)::BIGINT AS b FROM data_plans WHERE requested_tokens > 0)
+        SELECT plan_id, s AS steps, 1::BIGINT AS epochs, s * 1024 AS token_capacity, greatest(least(100, s // 10), CASE WHEN s > 1 THEN 1 ELSE 0 END) AS warmup_steps, least(500, s) AS checkpoint_every, b AS shuffle_records, 'corpus-balanced-shuffle-v1' AS policy, round(0.001 / greatest(least(100, s // 10), 1), 12) AS first_rate, 0.0::DOUBLE AS last_rate FROM p""",
 }
+SQL["disclosure_gap_counts"] = f"SELECT section, field, count(*) AS gaps, min(name) AS first_name FROM ({SQL['disclosure_gaps']}) GROUP BY 1, 2"
