@@ -85,6 +85,18 @@ def encode_conversation(messages: Column, tools: Column | None = None) -> Column
     return escaped(body)
 
 
+def decoded_conversation(payload: Column) -> Column:
+    """Messages of an encoded conversation, null where it isn't one: other members than messages and tools, or a message with other members than role, content and context."""
+    known = "messages array<struct<role: string, content: string, context: string>>, tools string"
+    held = F.from_json(payload, known)
+    doc = F.try_parse_json(payload)
+    keys = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    each = F.try_variant_get(doc, "$.messages", "array<variant>")
+    top = F.size(F.array_except(keys(doc), F.array(F.lit("messages"), F.lit("tools")))) == 0
+    inner = F.forall(each, lambda m: F.size(F.array_except(keys(m), F.array(F.lit("role"), F.lit("content"), F.lit("context")))) == 0)
+    return F.when(F.coalesce(top & inner, F.lit(False)) & valid_conversation(held["messages"]), held["messages"])
+
+
 def conversation_text(payload: Column) -> Column:
     """Contents and contexts of an encoded conversation, joined by line feeds."""
     messages = F.from_json(payload, "messages array<struct<content: string, context: string>>")["messages"]

@@ -224,3 +224,18 @@ def supervised_bytes(messages: Column, template: str, roles: list[str], whole: b
     counted = F.aggregate(messages, F.lit(0), lambda a, m: a + F.when(trained(m), content(m) + end).otherwise(F.lit(0)))
     return total, (total if whole else counted + last.cast("int"))
 
+
+def loss_mask(messages: Column, template: str, roles: list[str]) -> Column:
+    """Of every byte token of a rendered conversation with its end, whether it is supervised: contents of the roles and what ends them."""
+    chat = template == "chatml-v1"
+    if not chat and template != "user-assistant-v1":
+        raise ValueError(f"unknown template {template!r}")
+    end = len("<|im_end|>\n") if chat else 0
+
+    def of(m: Column, i: Column) -> Column:
+        # the role's opening, or the gap before it, its name and colon
+        before = F.octet_length(m["role"]) + (F.lit(len("<|im_start|>\n")) if chat else F.lit(1) + F.when(m["role"] != "assistant", 1).otherwise(0) + F.when(i > 0, 2).otherwise(0))
+        return F.concat(F.array_repeat(F.lit(False), before), F.array_repeat(m["role"].isin(roles), F.octet_length(m["content"]) + end))
+
+    last = F.coalesce(F.get(messages, F.size(messages) - 1)["role"].isin(roles), F.lit(False))
+    return F.concat(F.flatten(F.transform(messages, of)), F.array(last))

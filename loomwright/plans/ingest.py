@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions import glob, privacy, text
 from loomwright.functions import license as licenses
@@ -46,6 +47,34 @@ def canonical_view(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
+def _paths(p: Profile) -> list[list[str]]:
+    """Every path that a profile names, as keys."""
+
+    def strings(x) -> list[str]:
+        if isinstance(x, dict):
+            return [s for v in x.values() for s in strings(v)]
+        return [x] if isinstance(x, str) else [s for v in x or [] for s in strings(v)] if isinstance(x, (list, tuple)) else []
+
+    named = [s for k, v in p.options.items() if k not in ("role_aliases", "missing_rank", "assistant_role") for s in strings(v)]
+    return [[step.removesuffix("[]") for step in path.split(".")] for path in [*named, *p.main_content]]
+
+
+def _needed(schema: T.StructType, paths: list[list[str]], at: str = "") -> list[Column]:
+    """The columns, and of structs the leaves, that paths lead to; only these are read. Arrays and maps are read whole."""
+    out = []
+    for field in schema:
+        below = [p[1:] for p in paths if p and p[0] == field.name]
+        name = f"{at}`{field.name}`"
+        if not below:
+            continue
+        if isinstance(field.dataType, T.StructType) and all(below):
+            inner = _needed(field.dataType, below, name + ".")
+            out.append(F.when(F.col(name).isNotNull(), F.struct(*inner)).alias(field.name) if inner else F.lit(None).cast("string").alias(field.name))
+        else:
+            out.append(F.col(name).alias(field.name))
+    return out or [F.lit(None).cast("string").alias("nothing")]
+
+
 def _scan(spark: SparkSession, one: Input, record_bytes: int) -> DataFrame:
     """(path, source, position, text, doc) of an input; doc is the record of mapped formats."""
     if one.format == "parquet":
@@ -54,7 +83,7 @@ def _scan(spark: SparkSession, one: Input, record_bytes: int) -> DataFrame:
             column = readers.text_column(rows.columns, one.text_column)
             flat = readers.parquet_text(spark, one.path, column)
             return flat.withColumn("doc", F.lit(None).cast("variant"))
-        record = F.expr("parse_json(to_json(struct(*)))")
+        record = F.parse_json(F.to_json(F.struct(*_needed(rows.schema, _paths(one.profile)))))
         return rows.select(F.col("_metadata.file_path").alias("path"), F.concat(F.lit(one.path + "#row="), F.col("_metadata.row_index").cast("string")).alias("source"), F.col("_metadata.row_index").alias("position"), F.lit(None).cast("string").alias("text"), record.alias("doc"))
     found = probe.files(spark, one.path)
     none = F.lit(None).cast("variant")

@@ -96,7 +96,9 @@ def running_before(df: DataFrame, order: list[str], value: Column, out: str, by:
     their partition only. Rows with equal keys share a partition.
     """
     by = list(by)
-    placed = cut(df.withColumn("__value", value).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    # written before the ranges are sampled, so that what is above runs once
+    once = cut(df.withColumn("__value", value))
+    placed = cut(once.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
     sums = placed.groupBy("__part", *by).agg(F.sum("__value").alias("__sum"))
     over_parts = F.sum("__sum").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("__part", *[F.col(k).alias(f"__by_{k}") for k in by], F.coalesce(over_parts, F.lit(0)).alias("__start"))

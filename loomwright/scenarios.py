@@ -251,6 +251,38 @@ def conversation_assessment(spark, d):
     return conv.select("conv_id", F.sha2(said, 256).alias("said_sha256"), text.boilerplate(said).alias("boilerplate_content"), F.coalesce(text.has_email(said), F.lit(False)).alias("email_addresses"))
 
 
+def loss_masks(spark, d):
+    """Masks of rendered conversations, a digit a token."""
+    from loomwright import registry
+
+    conv = mapping.turns_to_conversations(registry._turns(spark, d), "conv_id", "turn")
+    bits = lambda t: F.sha2(F.array_join(F.transform(training.loss_mask(F.col("messages"), t, ["assistant"]), lambda x: F.when(x, "1").otherwise("0")), ""), 256)
+    return conv.select("conv_id", bits("chatml-v1").alias("markup_sha256"), bits("user-assistant-v1").alias("plain_sha256"))
+
+
+def decoded_conversations(spark, d):
+    """Encoded conversations decoded again; every fifth has a member that none may have."""
+    from loomwright import registry
+
+    conv = mapping.turns_to_conversations(registry._turns(spark, d), "conv_id", "turn")
+    payload = mapping.encode_conversation(F.col("messages"))
+    spoiled = F.when(F.col("conv_id") % 5 == 0, F.replace(payload, F.lit('{"role":"user"'), F.lit('{"name":"x","role":"user"'))).otherwise(payload)
+    decoded = conv.select("conv_id", mapping.decoded_conversation(spoiled).alias("m"))
+    return decoded.select("conv_id", F.size(F.coalesce("m", F.array().cast("array<struct<role:string,content:string,context:string>>"))).alias("messages"), F.sha2(F.array_join(F.transform("m", lambda x: x["content"]), "\n"), 256).alias("contents_sha256"))
+
+
+def parquet_nested_records(spark, d):
+    """Nested records of a Parquet file mapped by leaf paths; other columns aren't read."""
+    from loomwright.plans.profile import Input, Plan, Profile
+
+    where = folder(spark)
+    rows = table(spark, d, "documents").filter("text IS NOT NULL").select(F.struct(F.col("text").alias("body"), F.col("lang"), F.col("n_chars")).alias("doc"), F.struct(F.struct(F.array(F.col("license")).alias("ids")).alias("terms")).alias("info"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("unused"))
+    rows.coalesce(1).write.parquet(where)
+    profile = Profile("record-map", {"text": "doc.body", "id": "id", "license": "info.terms.ids[]", "meta": {"lang": "doc.lang"}})
+    scan = ingest.scan_plan(spark, Plan((Input(where, "parquet", "LicenseRef-D", profile),)))
+    return scan.select(F.col("source").alias("id"), F.sha2("text", 256).alias("text_sha256"), "license", "meta", "reject_reason")
+
+
 def conversation_redaction(spark, d):
     """A mail address in each message redacted by message; roles and order stay."""
     from loomwright import registry

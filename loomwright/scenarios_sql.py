@@ -118,4 +118,11 @@ SQL = {
     "resolved_parameters": """WITH p AS (SELECT plan_id, ceil(requested_tokens / 1024)::BIGINT AS s, coalesce(shuffle_buffer_records, 1024)::BIGINT AS b FROM data_plans WHERE requested_tokens > 0)
         SELECT plan_id, s AS steps, 1::BIGINT AS epochs, s * 1024 AS token_capacity, greatest(least(100, s // 10), CASE WHEN s > 1 THEN 1 ELSE 0 END) AS warmup_steps, least(500, s) AS checkpoint_every, b AS shuffle_records, 'corpus-balanced-shuffle-v1' AS policy, round(0.001 / greatest(least(100, s // 10), 1), 12) AS first_rate, 0.0::DOUBLE AS last_rate FROM p""",
 }
+SQL["loss_masks"] = f"""WITH {TURNS}, m AS (SELECT conv_id, string_agg(repeat('0', length(role) + 13) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, octet_length(encode(content)) + 11), '' ORDER BY turn, role, content) || CASE WHEN arg_max(role, (turn, role, content)) = 'assistant' THEN '1' ELSE '0' END AS c,
+        string_agg(repeat('0', length(role) + CASE WHEN role = 'assistant' THEN 1 ELSE 2 END) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, octet_length(encode(content))), '00' ORDER BY turn, role, content) || CASE WHEN arg_max(role, (turn, role, content)) = 'assistant' THEN '1' ELSE '0' END AS p FROM turns GROUP BY 1)
+        SELECT conv_id, sha256(c) AS markup_sha256, sha256(p) AS plain_sha256 FROM m"""
+SQL["decoded_conversations"] = f"""WITH {TURNS}, c AS (SELECT conv_id, {VALID} AND conv_id % 5 <> 0 AS good, count(*) AS n, string_agg(content, chr(10) ORDER BY turn, role, content) AS t FROM turns GROUP BY 1)
+        SELECT conv_id, CASE WHEN good THEN n ELSE 0 END::INT AS messages, CASE WHEN good THEN sha256(t) END AS contents_sha256 FROM c"""
+SQL["parquet_nested_records"] = f"""SELECT doc_id::VARCHAR AS id, sha256(CASE WHEN regexp_full_match(text, '[\\s\\x0B]*') THEN '' ELSE text END) AS text_sha256, coalesce(nullif({_license('license')}, ''), 'LicenseRef-D') AS license, CASE WHEN lang IS NOT NULL THEN '{{"lang":' || to_json(lang)::VARCHAR || '}}' END AS meta,
+        CASE WHEN regexp_full_match(text, '[\\s\\x0B]*') THEN 'empty' END AS reject_reason FROM documents WHERE text IS NOT NULL"""
 SQL["disclosure_gap_counts"] = f"SELECT section, field, count(*) AS gaps, min(name) AS first_name FROM ({SQL['disclosure_gaps']}) GROUP BY 1, 2"

@@ -186,3 +186,29 @@ def test_recounted_tokens(spark):
 
     rows = spark.createDataFrame([(1, "abc", 3), (2, "abcd", 3)], "id bigint, text string, token_count bigint").withColumns({"content_sha256": F.sha2("text", 256), "language_score": F.lit(1), "meta": F.lit(None).cast("string")})
     assert [tuple(r) for r in audit.violations(rows, "id", recount=F.octet_length("text")).collect()] == [(2, "tokens-differ")]
+
+
+def test_nested_records_read_their_leaves_alone(spark, tmp_path):
+    row = "struct(struct('t' AS body, 1 AS n) AS doc, array(struct('MIT' AS id)) AS lic, 'x' AS unused)"
+    spark.range(1).selectExpr(f"inline(array({row}))").write.parquet(str(tmp_path / "p"))
+    profile = Profile("record-map", {"text": "doc.body", "license": "lic[].id"})
+    scan = ingest.scan_plan(spark, Plan((Input(str(tmp_path / "p"), "parquet", "LicenseRef-D", profile),)))
+    schema = scan._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+    assert "unused" not in schema and "doc:struct<body:string>" in schema and ":int" not in schema
+    assert [(r.text, r.license) for r in scan.collect()] == [("t", "MIT")]
+
+
+def test_masks_and_strict_decoding(spark):
+    from loomwright.operators import mapping, training
+
+    messages = "array(named_struct('role', 'user', 'content', 'é'), named_struct('role', 'assistant', 'content', 'ab'))"
+    row = spark.range(1).selectExpr(f"{messages} AS m")
+    for template in ("chatml-v1", "user-assistant-v1"):
+        total, trained = training.supervised_bytes(F.col("m"), template, ["assistant"])
+        mask = training.loss_mask(F.col("m"), template, ["assistant"])
+        r = row.select(total.alias("total"), trained.alias("trained"), F.size(mask).alias("n"), F.size(F.filter(mask, lambda x: x)).alias("on")).first()
+        assert (r.n, r.on) == (r.total, r.trained)
+    payload = mapping.encode_conversation(F.col("m"))
+    bad = [F.lit("{"), F.lit(None).cast("string"), F.lit("[]"), F.replace(payload, F.lit('"messages"'), F.lit('"x":1,"messages"')), F.replace(payload, F.lit('"content":"ab"'), F.lit('"content":"ab","more":1')), F.replace(payload, F.lit('"assistant"'), F.lit('"user"'))]
+    got = row.select(mapping.decoded_conversation(payload).alias("good"), *[mapping.decoded_conversation(b).alias(f"b{i}") for i, b in enumerate(bad)]).first()
+    assert [m.content for m in got.good] == ["é", "ab"] and all(x is None for x in got[1:])
