@@ -17,7 +17,7 @@ Texts are lower-cased, white space is collapsed and trimmed. Exact copies form c
 only a class's smallest row id takes part in the search.
 
 At the threshold a segment survives with probability 0.458 (0.426 without the code) and a group
-gives a key with 0.252, so that all groups miss one pair in a hundred; recall is measured in
+gives a key with 0.252, so that all groups miss three pairs in a thousand; recall is measured in
 ``tests/llm/test_recall.py`` and told in the README.
 
 Defined results: null texts, texts under the least length and rows without an id take no part; a row id counts once;
@@ -42,7 +42,7 @@ LEAST_CHARS = 500
 LEAST_SIMILARITY = 75
 
 #: Groups of segments, segments of a group, minhashes of a segment and the bits that each gives.
-GROUPS, IN_GROUP, SEGMENT = 16, 4, 23
+GROUPS, IN_GROUP, SEGMENT = 20, 4, 23
 PARTS = (8, 8, 7)
 SEGMENTS = GROUPS * IN_GROUP
 BINS = 290
