@@ -24,6 +24,7 @@ lines is one sentence; repeated rows give repeated results once; extra columns a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,6 +81,9 @@ _LONGEST = max(map(len, _DICTIONARY))
 _REACH = 12
 #: Gaps without an end mark: white space between two letters of Chinese or Japanese, within a line.
 _WIDE_GAP = re.compile(r"(?<=[\u3040-\u30ff\u3400-\u9fff])[ \t\u3000]+(?=[\u3040-\u30ff\u3400-\u9fff])")
+_SOLID = re.compile(r"\S")
+#: Letters behind a gap that its score looks at, from the first that isn't white space.
+_AHEAD = 200
 _SPEECH = re.compile(r"^[^।.!?]{0,80}(?:पूछा|कहा|बोला|बोली|लिखा|उत्तर|जवाब)")
 
 
@@ -150,29 +154,28 @@ def _gap_score(text: str, start: int, at: int, to: int, end: int, base: float) -
 
 def _wide_score(text: str, start: int, node: re.Match, end: int) -> float:
     """Gap after an end mark of a spaceless script."""
-    following = text[node.end() : end]
-    ahead = following.lstrip()
-    if not any(c in _CLOSERS for c in node.group()) or not ahead:
+    solid = _SOLID.search(text, node.end(), end)
+    if not any(c in _CLOSERS for c in node.group()) or not solid:
         return 1.0
+    ahead = text[solid.start() : min(end, solid.start() + _AHEAD)]
     if ahead[0] in "，、；：,;:":
         return -1.0
     if node.group()[-1] in ")）]】" and not any(c in "\"”’»」』" for c in node.group()):
         return 1.0
-    return _gap_score(text, start, node.start(), node.end() + len(following) - len(ahead), end, 0.8)
+    return _gap_score(text, start, node.start(), solid.start(), end, 0.8)
 
 
 def _score(text: str, start: int, node: re.Match, end: int) -> float:
     """Positive for a boundary after the node, negative for none."""
     marks = node.group()
-    after = text[node.end() : end]
-    if not after.strip():
+    solid = _SOLID.search(text, node.end(), end)
+    if not solid:
         return 1.0
     if _WIDE_END.search(marks):
         return _wide_score(text, start, node, end)
-    spaced = after[0].isspace()
-    if not spaced:
-        return 1.0 if marks[0] in "!?।॥" and _spaceless(after[0]) else -9.0
-    ahead = after.lstrip()
+    if solid.start() == node.end():
+        return 1.0 if marks[0] in "!?।॥" and _spaceless(solid.group()) else -9.0
+    ahead = text[solid.start() : min(end, solid.start() + _AHEAD)]
     first = next((c for c in ahead if c not in _OPENERS), "")
     closed = any(c in _CLOSERS for c in marks)
     if ahead[0] in "—–-" and len(ahead) > 1 and (ahead[1:].lstrip()[:1].islower() or closed):
@@ -267,11 +270,12 @@ def _best_path(nodes: list[tuple[int, float]], quotations: list[tuple[int, int,
 
 def _closings(text: str, nodes: list[tuple[int, float]], start: int, end: int) -> list[tuple[int, int, int]]:
     """Quotations of a block with the node that takes in each one's closing mark, with the marks behind it."""
-    out = []
+    out, positions = [], [p for p, _ in nodes]
     for opened, closed in _quotations(text, start, end):
-        last = next((p for p, _ in nodes if p > closed), end + 1)
+        k = bisect_right(positions, closed)
+        last = positions[k] if k < len(positions) else end + 1
         closing = closed + 1 <= last <= closed + 4 and all(c in _CLOSERS for c in text[closed:last])
-        out.append((opened, closed, last if closing else (-1 if text[closed + 1 : end].strip() else 0)))
+        out.append((opened, closed, last if closing else (-1 if _SOLID.search(text, closed + 1, end) else 0)))
     return out
 
 
