@@ -17,7 +17,7 @@ several times is reported once; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,7 +135,9 @@ class Normalised:
 
 # ---- detectors --------------------------------------------------------------------------
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
+_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
+#: Characters of the part before the at sign, of which a dot may not be the last.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _DIGITS = re.compile(r"[+(\d][\d().\-/ ]{5,}[\dXx]")
 _PHONE = re.compile(
@@ -296,12 +298,19 @@ _NATIVE = [
 
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
-    if "@" in t:
-        for m in _EMAIL.finditer(t):
-            start = m.start()
+    """Addresses from their at signs on, so that long runs of letters cost nothing."""
+    done = 0
+    at = t.find("@")
+    while at >= 0:
+        if at > done and t[at - 1] in _LOCAL and t[at - 1] != "." and (host := _HOST.match(t, at + 1)):
+            start = at
+            while start > done and t[start - 1] in _LOCAL:
+                start -= 1
             while t[start] in ".%+-":
                 start += 1
-            yield start, m.end()
+            yield start, host.end()
+            done = host.end()
+        at = t.find("@", max(at + 1, done))
 
 
 def _streets(t: str) -> Iterator[tuple[int, int]]:
@@ -316,14 +325,12 @@ def _numbers(t: str) -> Iterator[tuple[str, int, int]]:
     for c in _DIGITS.finditer(t):
         if sum(map(str.isdigit, c.group())) < 7:
             continue
-        for m in _IDENTITY.finditer(t, c.start()):
-            if m.start() >= c.end():
-                break
+        # a number may end in a bracket behind the run, and what follows is looked at by two characters
+        until = c.end() + 4
+        for m in _IDENTITY.finditer(t, c.start(), until):
             if not _THING.search(t, max(0, m.start() - 24), m.start()) and not _DIALLED.search(t, max(0, m.start() - 5), m.start()):
                 yield "identity_number", m.start(), m.end()
-        for m in _PHONE.finditer(t, c.start()):
-            if m.start() >= c.end():
-                break
+        for m in _PHONE.finditer(t, c.start(), until):
             if 7 <= sum(map(str.isdigit, m.group())) <= 15 and not _THING.search(t, max(0, m.start() - 24), m.start()):
                 yield "phone", m.start(), m.end()
     if not _SIX.search(t):
@@ -390,11 +397,14 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
     t = n.text
     found = [(0, a, b) for a, b in _streets(t)] + [(1, a, b) for a, b in _emails(t)]
     found += [(KINDS.index(k), a, b) for k, a, b in _numbers(t)] + [(4, a, b) for a, b in _names(t)]
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     out = []
     for kind, a, b in sorted(set(found), key=lambda x: (x[0], x[1], -x[2])):
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        k = bisect_left(starts, a)
+        if (k == len(starts) or starts[k] >= b) and (not k or ends[k - 1] <= a):
+            starts.insert(k, a)
+            ends.insert(k, b)
             out.append((KINDS[kind], *n.span(a, b)))
     return sorted(out, key=lambda x: x[1])
 
