@@ -111,6 +111,21 @@ def running_before(df: DataFrame, order: list[str], value: Column, out: str, by:
     return ranked.alias("p").join(starts.alias("s"), same).select(*[F.col(f"p.{c}") for c in df.columns], total)
 
 
+def slices(batch: pa.RecordBatch, column: int, most_rows: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of bounded rows and text bytes; a row is never parted, so one over the bound is a part of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == most_rows or held + size > most_bytes):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
     """Python strings of an Arrow column; bytes that aren't UTF-8 become replacement characters."""
     try:

@@ -212,3 +212,13 @@ def test_masks_and_strict_decoding(spark):
     bad = [F.lit("{"), F.lit(None).cast("string"), F.lit("[]"), F.replace(payload, F.lit('"messages"'), F.lit('"x":1,"messages"')), F.replace(payload, F.lit('"content":"ab"'), F.lit('"content":"ab","more":1')), F.replace(payload, F.lit('"assistant"'), F.lit('"user"'))]
     got = row.select(mapping.decoded_conversation(payload).alias("good"), *[mapping.decoded_conversation(b).alias(f"b{i}") for i, b in enumerate(bad)]).first()
     assert [m.content for m in got.good] == ["é", "ab"] and all(x is None for x in got[1:])
+
+
+def test_batches_are_sliced_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from loomwright.runtime import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a", None, "b" * 50, "", "cc", "dd"])], names=["id", "text"])
+    assert [p.column(0).to_pylist() for p in slices(batch, 1, 3, 10)] == [[0, 1], [2], [3, 4, 5]]
+    assert [p.num_rows for p in slices(batch, 1, 2, 1_000)] == [2, 2, 2] and list(slices(batch.slice(0, 0), 1, 2)) == []
