@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.tokens import SPLIT_PATTERN
-from loomwright.runtime import map_arrow, spread, strings
+from loomwright.runtime import map_arrow, slices, spread, strings
 
 #: Where the vocabulary and its merges lie; a parameter.
 MODEL_PATH = "/opt/tokenizers/byte_bpe_50k.json"
@@ -175,8 +175,7 @@ def encode_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
             _models[path] = RecursiveBpe(path)
         model = _models[path]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
+            for part in slices(batch, 1, 2_000):
                 ids = model.encode(strings(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 

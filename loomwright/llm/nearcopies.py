@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.runtime import cut, map_arrow, spread, strings
+from loomwright.runtime import cut, map_arrow, slices, spread, strings
 
 SHINGLE = 5
 LEAST_CHARS = 500
@@ -167,8 +167,7 @@ def _prints(rows: DataFrame, least: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
+            for part in slices(batch, 1, 1_000):
                 texts = [normal(t) if t else "" for t in strings(part.column(1))]
                 kept = [i for i, t in enumerate(texts) if len(t) >= least]
                 texts = [texts[i] for i in kept]
